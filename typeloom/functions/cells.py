@@ -7,6 +7,7 @@ is column expressions, so a literal target type lets the optimizer drop every br
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 from typeloom.functions import types as N
 from typeloom.functions.floats import plain_double
 from typeloom.functions.lexical import (
-    DECIMAL_PATTERN, ascii_lower, ascii_upper, parse_boolean, parse_double, parse_integer, trim_blanks,
+    DECIMAL_PATTERN, folded, parse_boolean, parse_double, parse_integer, trim_blanks,
 )
 
 CELL = (
@@ -130,13 +131,22 @@ def coerce_cell(cell: Column, target: Column | str) -> Column:
     )
 
 
+def not_null_word(trimmed: Column) -> Column:
+    """Trimmed text; NULL when it is empty or the word ``null`` in any case."""
+    return F.when(~trimmed.rlike(NULL_TEXT), trimmed)
+
+
+def given_text(text: Column) -> Column:
+    """Edited text without outer blanks; NULL when it is blank or the word ``null`` in any case."""
+    return not_null_word(trim_blanks(text))
+
+
 def parse_for_type(text: Column, declared: Column | str) -> Column:
     """Read an edited text toward a column type name; what cannot be read stays as trimmed text.
 
     Blank text and the word ``null`` in any case are NULL.
     """
-    trimmed = trim_blanks(text)
-    given = F.when((trimmed != "") & (ascii_upper(trimmed) != "NULL"), trimmed)
+    given = given_text(text)
     readings = [
         (("INT",), N.INT64, parse_integer(given)),
         (("FLOAT", "REAL", "DOUBLE"), N.FLOAT64, parse_double(given)),
@@ -148,8 +158,7 @@ def parse_for_type(text: Column, declared: Column | str) -> Column:
             if any(word in declared.upper() for word in words):
                 branches.append((parsed.isNotNull(), kind, parsed))
         else:
-            name = ascii_upper(declared)
-            asked = reduce(or_, [name.contains(word) for word in words])
+            asked = reduce(or_, [folded(declared).contains(word.lower()) for word in words])
             branches.append((asked & parsed.isNotNull(), kind, parsed))
     return _first_value([*branches, (given.isNotNull(), N.TEXT, given)])
 
@@ -162,6 +171,9 @@ TIMESTAMP_SHAPE = rf"\A[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}([ T]{_CLOCK})?\z"
 ZONED_SHAPE = rf"\A[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[ T]{_CLOCK} ?(Z|[+-][0-9]{{2}}:[0-9]{{2}})\z"
 UUID_SHAPE = r"(?i)\A[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\z"
 
+# Trimmed text that stands for NULL in an edited cell.
+NULL_TEXT = r"(?i)\A(null)?\z"
+
 # Microseconds in each unit an epoch number may be counted in.
 EPOCH_UNITS = {"s": 1_000_000, "ms": 1_000, "us": 1}
 # First and last microsecond of the years 1 to 9999; other epoch numbers are not taken as moments.
@@ -175,51 +187,84 @@ def _clock_micros(text: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH), whole)
 
 
-def assign_value(
-    value: Column, target: N.NativeType, time_type: bool = False, epoch_unit: str | None = None
-) -> Column:
-    """The typed column content for a value; NULL both for a NULL value and for one that does not fit.
-
-    Numbers become temporal only when ``epoch_unit`` says what they count.
-    """
-    long, real, text = value["int64"], value["float64"], value["text"]
-    kind, dtype = target.kind, target.spark_type(time_type)
-
-    if kind == N.INT64:
-        return long
-    if kind == N.FLOAT64:
-        return real
-    if kind == N.BOOL:
-        return value["bool"]
-    if kind == N.TEXT:
-        return text
-    if kind == N.BLOB:
-        return value["blob"]
-    if kind == N.UUID:
-        return F.when(text.rlike(UUID_SHAPE), ascii_lower(text))
-    if kind == N.DECIMAL:
-        return F.coalesce(
-            long.try_cast(dtype),
-            real.try_cast(dtype),
-            F.when(text.rlike(DECIMAL_PATTERN), text.try_cast(dtype)),
-        )
-
-    spelled = _temporal_text(text, kind, time_type)
-    if epoch_unit is None:
-        return spelled
-    factor = EPOCH_UNITS[epoch_unit]
-    scaled = F.coalesce(long.cast(T.DecimalType(38, 0)), F.round(real, 6).try_cast(T.DecimalType(38, 6))) * factor
+@dataclass(frozen=True)
+class Payload:
+    """Columns of which at most one is not NULL: what one cell, value or text holds."""
+
+    i: Column | None = None
+    r: Column | None = None
+    z: Column | None = None
+    t: Column | None = None
+    b: Column | None = None
+
+    @classmethod
+    def of_cell(cls, cell: Column) -> "Payload":
+        return cls(i=cell["i"], r=cell["r"], t=cell["t"], b=cell["b"])
+
+    @classmethod
+    def of_value(cls, value: Column) -> "Payload":
+        return cls(i=value["int64"], r=value["float64"], z=value["bool"], t=value["text"], b=value["blob"])
+
+    def given(self) -> Column:
+        """Whether there is anything but NULL."""
+        return reduce(or_, [p.isNotNull() for p in (self.i, self.r, self.z, self.t, self.b) if p is not None])
+
+    def kind(self) -> Column:
+        """The value kind of what is held."""
+        named = ((self.i, N.INT64), (self.r, N.FLOAT64), (self.z, N.BOOL), (self.t, N.TEXT), (self.b, N.BLOB))
+        return F.coalesce(*[F.when(p.isNotNull(), kind) for p, kind in named if p is not None])
+
+    def text(self) -> Column:
+        """What is held as plain text, blobs in hex digits."""
+        shown = [p.cast("string") for p in (self.t, self.i, self.r, self.z) if p is not None]
+        return F.coalesce(*shown, *([] if self.b is None else [F.concat(F.lit("0x"), F.lower(F.hex(self.b)))]))
+
+    def as_type(self, target: N.NativeType, time_type: bool = False, epoch_unit: str | None = None) -> Column:
+        """Coerced and cast to a native type; NULL both for NULL and for what does not fit.
+
+        Numbers become temporal only when ``epoch_unit`` says what they count.
+        """
+        kind, dtype = target.kind, target.spark_type(time_type)
+        readings = {
+            N.INT64: [(self.i, _same), (self.r, truncated_long), (self.t, parse_integer)],
+            N.FLOAT64: [(self.r, _same), (self.i, lambda i: i.cast("double")), (self.t, parse_double)],
+            N.BOOL: [(self.z, _same), (self.i, lambda i: i != 0), (self.t, parse_boolean)],
+            N.TEXT: [(self.t, _same), (self.i, lambda i: i.cast("string")), (self.r, plain_double)],
+            N.BLOB: [(self.b, _same)],
+            N.UUID: [(self.t, lambda t: F.when(t.rlike(UUID_SHAPE), F.lower(t)))],
+            N.DECIMAL: [
+                (self.i, lambda i: i.try_cast(dtype)),
+                (self.r, lambda r: r.try_cast(dtype)),
+                (self.t, lambda t: F.when(t.rlike(DECIMAL_PATTERN), t.try_cast(dtype))),
+            ],
+        }.get(kind)
+        if readings is None:
+            readings = [(self.t, lambda t: _temporal_text(t, kind, time_type))]
+            if epoch_unit is not None:
+                factor = EPOCH_UNITS[epoch_unit]
+                readings += [
+                    (self.i, lambda i: _temporal_number(i.cast(T.DecimalType(38, 0)) * factor, kind, time_type)),
+                    (self.r, lambda r: _temporal_number(r.try_cast(T.DecimalType(38, 6)) * factor, kind, time_type)),
+                ]
+        found = [read(part) for part, read in readings if part is not None]
+        return F.coalesce(*found) if found else F.lit(None).cast(dtype)
+
+
+def _same(column: Column) -> Column:
+    return column
+
+
+def _temporal_number(scaled: Column, kind: str, time_type: bool) -> Column:
+    """A count of microseconds since the epoch, or since midnight, as a temporal value."""
     micros = F.when(scaled.between(_FIRST_MICRO, _LAST_MICRO), F.floor(scaled).try_cast("bigint"))
     moment = F.timestamp_add("MICROSECOND", micros, F.expr(_EPOCH))
     if kind == N.DATE:
-        counted = moment.cast("date")
-    elif kind == N.TIMESTAMP:
-        counted = moment
-    elif kind == N.TIMESTAMPTZ:
-        counted = F.timestamp_micros(micros)
-    else:
-        counted = _time_of_day(F.when((micros >= 0) & (micros < 86_400_000_000), micros), time_type)
-    return F.coalesce(spelled, counted)
+        return moment.cast("date")
+    if kind == N.TIMESTAMP:
+        return moment
+    if kind == N.TIMESTAMPTZ:
+        return F.timestamp_micros(micros)
+    return _time_of_day(F.when((micros >= 0) & (micros < 86_400_000_000), micros), time_type)
 
 
 def _time_of_day(micros: Column, time_type: bool) -> Column:

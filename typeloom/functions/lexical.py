@@ -6,8 +6,6 @@ double.  Every cast below is therefore guarded by a pattern on the whole text.
 
 from __future__ import annotations
 
-import string
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +20,7 @@ BLANK_CODE_POINTS = (
 BLANKS = "".join(map(chr, BLANK_CODE_POINTS))
 
 # Whole-text patterns.  \z rather than $, which would allow a trailing newline.
+UNSIGNED_PATTERN = r"\A\+?[0-9]+\z"
 INTEGER_PATTERN = r"\A[+-]?[0-9]+\z"
 DECIMAL_PATTERN = r"(?i)\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?\z"
 FLOAT_PATTERN = r"(?i)\A[+-]?(inf|infinity|nan|([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?)\z"
@@ -32,18 +31,27 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def ascii_upper(text: Column) -> Column:
-    """Upper-case A-Z only; Spark's ``upper`` also folds letters such as the long s."""
-    return F.translate(text, string.ascii_lowercase, string.ascii_uppercase)
+def folded(text: Column) -> Column:
+    """Lower case, for comparison with words in any letter case.
+
+    No letter outside A-Z has a lower case within the words this library compares with (only the Kelvin sign
+    has one in a-z at all), so this is as good as folding A-Z alone.  ``upper`` would not be: of the long s.
+    """
+    return F.lower(text)
 
 
-def ascii_lower(text: Column) -> Column:
-    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+def is_word(text: Column, *words: str) -> Column:
+    """Whether the text is one of ``words`` in any letter case."""
+    return folded(text).isin(*[word.lower() for word in words])
 
 
 def trim_blanks(text: Column) -> Column:
-    """Trim every Unicode blank; Spark's one-argument ``trim`` strips U+0020 only."""
-    return F.btrim(text, F.lit(BLANKS))
+    """Trim every Unicode blank; Spark's one-argument ``trim`` strips U+0020 only.
+
+    Most texts start and end with a printable ASCII character and are not searched for blanks at all.
+    """
+    printed = [end(text, F.lit(1)).between("!", "~") for end in (F.left, F.right)]
+    return F.when(printed[0] & printed[1], text).otherwise(F.btrim(text, F.lit(BLANKS)))
 
 
 def parse_integer(text: Column) -> Column:
@@ -53,7 +61,7 @@ def parse_integer(text: Column) -> Column:
 
 def parse_double(text: Column) -> Column:
     """The double spelled by the whole text, else NULL."""
-    signed_nan = ascii_lower(text).isin("+nan", "-nan")
+    signed_nan = is_word(text, "+nan", "-nan")
     return F.when(
         text.rlike(FLOAT_PATTERN),
         F.when(signed_nan, F.lit(float("nan"))).otherwise(text.try_cast("double")),
@@ -62,8 +70,7 @@ def parse_double(text: Column) -> Column:
 
 def parse_boolean(text: Column) -> Column:
     """The boolean spelled by the whole text, else NULL."""
-    word = ascii_lower(text)
-    return F.when(word.isin(*TRUE_WORDS), F.lit(True)).when(word.isin(*FALSE_WORDS), F.lit(False))
+    return F.when(is_word(text, *TRUE_WORDS), F.lit(True)).when(is_word(text, *FALSE_WORDS), F.lit(False))
 
 
 def quote_text(text: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from typeloom.functions.lexical import FLOAT_PATTERN, ascii_upper, parse_integer, trim_blanks
+from typeloom.functions.lexical import BLANKS, FLOAT_PATTERN, UNSIGNED_PATTERN, folded, is_word, trim_blanks
 
 # Native type names.
 INT64, FLOAT64, BOOL, TEXT, BLOB = "INT64", "FLOAT64", "BOOL", "TEXT", "BLOB"
@@ -50,10 +50,11 @@ SAFE_DEFAULT_WORDS = ("NULL", "TRUE", "FALSE", "CURRENT_TIMESTAMP")
 
 
 def first_word_match(text: Column, rules, fallback: str) -> Column:
-    """The label of the first rule with a word in ``text``; a word marked ``^`` must start it."""
+    """The label of the first rule with a word in the folded ``text``; a word marked ``^`` must start it."""
     result = None
     for label, words in rules:
-        hits = [text.startswith(w[1:]) if w.startswith("^") else text.contains(w) for w in words]
+        lower = [w.lower() for w in words]
+        hits = [text.startswith(w[1:]) if w.startswith("^") else text.contains(w) for w in lower]
         test = reduce(or_, hits)
         result = F.when(test, label) if result is None else result.when(test, label)
     return result.otherwise(fallback)
@@ -61,21 +62,17 @@ def first_word_match(text: Column, rules, fallback: str) -> Column:
 
 def _small_number(text: Column) -> Column:
     """An unsigned number up to 255, else NULL."""
-    number = parse_integer(trim_blanks(text))
-    signed = trim_blanks(text).startswith("-")
-    return F.when(~signed & (number <= MAX_DECLARED), number.cast("int"))
+    number = F.when(text.rlike(UNSIGNED_PATTERN), text.try_cast("bigint"))
+    return F.when(number <= MAX_DECLARED, number.cast("int"))
 
 
-def declared_precision_scale(declared: Column) -> tuple[Column, Column]:
-    """Precision and scale between the first ``(`` and the first ``)``; both NULL when no precision is readable."""
+def _bracketed(declared: Column, part: int) -> Column:
+    """The trimmed n-th comma part between the first ``(`` and the first ``)``, NULL when there is none."""
     opening, closing = F.instr(declared, "("), F.instr(declared, ")")
     inner = F.when(
         (opening > 0) & (closing > opening), F.substr(declared, opening + 1, closing - opening - 1)
     )
-    parts = F.split(inner, ",", -1)
-    precision = _small_number(F.get(parts, F.lit(0)))
-    scale = F.coalesce(_small_number(F.get(parts, F.lit(1))), F.lit(0))
-    return precision, F.when(precision.isNotNull(), scale)
+    return F.btrim(F.get(F.split(inner, ",", -1), F.lit(part)), F.lit(BLANKS))
 
 
 def map_declared_types(df: DataFrame, column: str) -> DataFrame:
@@ -83,24 +80,22 @@ def map_declared_types(df: DataFrame, column: str) -> DataFrame:
 
     A NULL declaration counts as an empty one, which is text.
     """
-    declared = trim_blanks(F.coalesce(F.col(column), F.lit("")))
-    kind = first_word_match(ascii_upper(declared), DECLARED_WORDS, TEXT)
-    raw_precision, raw_scale = declared_precision_scale(declared)
-    clamped = F.greatest(F.least(raw_precision, F.lit(MAX_PRECISION)), F.lit(1))
-    precision = F.when(raw_precision.isNotNull(), clamped)
-    is_decimal = F.col("type") == DECIMAL
-    stated = F.col("__precision").isNotNull()
+    declared = F.btrim(F.coalesce(F.col(column), F.lit("")), F.lit(BLANKS))
+    is_decimal, stated = F.col("type") == DECIMAL, F.col("__precision").isNotNull()
+    clamped = F.greatest(F.least("__precision", F.lit(MAX_PRECISION)), F.lit(1))
+    scale = F.least(F.coalesce("__scale", F.lit(0)), clamped)
+    # One step per projection: what a later step uses often is then computed once.
     return (
-        df.withColumns({"type": kind, "__precision": precision, "__scale": raw_scale})
+        df.withColumn("__declared", declared)
+        .withColumn("__folded", folded(F.col("__declared")))
+        .withColumn("type", first_word_match(F.col("__folded"), DECLARED_WORDS, TEXT))
+        .withColumns({name: F.when(is_decimal, _bracketed(F.col("__declared"), n))
+                      for n, name in enumerate(("__precision", "__scale"))})
+        .withColumns({name: _small_number(F.col(name)) for name in ("__precision", "__scale")})
         .withColumns(
             {
-                "precision": F.when(
-                    is_decimal, F.when(stated, F.col("__precision")).otherwise(DEFAULT_PRECISION)
-                ),
-                "scale": F.when(
-                    is_decimal,
-                    F.when(stated, F.least("__scale", "__precision")).otherwise(DEFAULT_SCALE),
-                ),
+                "precision": F.when(is_decimal, F.when(stated, clamped).otherwise(DEFAULT_PRECISION)),
+                "scale": F.when(is_decimal, F.when(stated, scale).otherwise(DEFAULT_SCALE)),
             }
         )
         .withColumn(
@@ -108,13 +103,13 @@ def map_declared_types(df: DataFrame, column: str) -> DataFrame:
             F.when(is_decimal, F.concat(F.lit("DECIMAL("), "precision", F.lit(","), "scale", F.lit(")")))
             .otherwise(F.col("type")),
         )
-        .drop("__precision", "__scale")
+        .drop("__declared", "__folded", "__precision", "__scale")
     )
 
 
 def affinity(native_type: Column) -> Column:
     """The storage affinity of a native type name."""
-    return first_word_match(ascii_upper(native_type), AFFINITY_WORDS, "TEXT")
+    return first_word_match(folded(native_type), AFFINITY_WORDS, "TEXT")
 
 
 def sqlite_affinity(df: DataFrame, column: str) -> DataFrame:
@@ -126,7 +121,7 @@ def is_safe_default(default: Column) -> Column:
     """Whether a default expression may be carried over as it stands; FALSE for NULL."""
     text = trim_blanks(default)
     safe = (
-        ascii_upper(text).isin(*SAFE_DEFAULT_WORDS)
+        is_word(text, *SAFE_DEFAULT_WORDS)
         | text.rlike(FLOAT_PATTERN)
         | (text.startswith("'") & text.endswith("'"))
     )

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from typeloom.functions.cells import assign_value, parse_for_type
+from typeloom.functions.cells import Payload, given_text
 from typeloom.functions.lexical import named, trim_blanks
 from typeloom.functions.types import INT64, NativeType, column_kind, native_type_of
 from typeloom.operators.audit import Constraint
@@ -58,10 +58,10 @@ def key_predicate(row: Mapping[str, Any]) -> Column:
 def typed_text(text: Column, field: T.StructField) -> Column:
     """Edited text as content of the column: parsed by its kind, then cast; text that does not fit fails the job."""
     target = NativeType.parse(native_type_of(field))
-    value = parse_for_type(text, target.kind)
-    typed = assign_value(value, target, isinstance(field.dataType, T.TimeType)).cast(field.dataType)
+    given = given_text(text)
+    typed = Payload(t=given).as_type(target, isinstance(field.dataType, T.TimeType)).cast(field.dataType)
     message = F.concat(F.lit(f"column {field.name}: not a {native_type_of(field)}: "), text)
-    unfit = typed.isNull() & (value["kind"] != "NULL")
+    unfit = typed.isNull() & given.isNotNull()
     return F.when(unfit, F.raise_error(message).cast(field.dataType)).otherwise(typed)
 
 

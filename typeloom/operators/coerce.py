@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from typeloom.functions import types as N
-from typeloom.functions.cells import CELL, VALUE, assign_value, coerce_cell, is_struct_of, parse_for_type
-from typeloom.functions.lexical import named
-from typeloom.functions.render import blob_text
+from typeloom.functions.cells import CELL, VALUE, Payload, coerce_cell, is_struct_of, not_null_word, parse_for_type
+from typeloom.functions.lexical import named, trim_blanks
 
 REJECTED, ERRORS = "rejected", "errors"
 ERROR_TYPE = "array<struct<column:string,target:string,kind:string,text:string>>"
@@ -30,60 +29,58 @@ def parse_columns(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     return df.withColumns({name: parse_for_type(named(name), text) for name, text in types.items()})
 
 
-def as_value(df: DataFrame, name: str, target: N.NativeType) -> Column:
-    """The column as a value: cells are coerced, text is parsed toward ``target``, values pass."""
+def _payload(df: DataFrame, name: str) -> Payload:
+    """What a column holds: cells, values, or edited text."""
     dtype = df.schema[name].dataType
     if is_struct_of(dtype, VALUE):
-        return named(name)
+        return Payload.of_value(named(name))
     if is_struct_of(dtype, CELL):
-        return coerce_cell(named(name), target.kind)
+        return Payload.of_cell(named(name))
     if isinstance(dtype, T.StringType):
-        return parse_for_type(named(name), target.kind)
+        return Payload(t=named(name))
     raise TypeError(f"column {name!r} holds {dtype.simpleString()}, not cells, values or text")
 
 
-def value_text(value: Column) -> Column:
-    """The payload of a value as text for an error entry, blobs whole."""
-    return F.coalesce(
-        value["text"],
-        value["int64"].cast("string"),
-        value["float64"].cast("string"),
-        value["bool"].cast("string"),
-        blob_text(value["blob"], full=True),
-    )
+def _computed_once(flag: Column) -> Column:
+    """``flag``, kept by the optimizer in the projection that makes it.
+
+    It would otherwise move a later filter on the flag below that projection, with everything the flag is made
+    of, and so parse every cell once more just to filter.
+    """
+    return flag & (F.spark_partition_id() >= 0)
 
 
 def check_types(df: DataFrame, types: Mapping[str, str], epoch_unit: str | None = None) -> DataFrame:
     """Type every listed column; add ``rejected`` and ``errors``, one entry per cell that does not fit.
 
-    ``errors`` is NULL for a clean row.  Cells that do not fit are NULL in their typed column.
+    The columns hold cells, values or edited text.  Filter rows before, not after: the check is a barrier.  ``errors`` is NULL for a clean row.  Cells that do not fit
+    are NULL in their typed column.
     """
     time_type = df.sparkSession.conf.get("spark.sql.timeType.enabled", "false") == "true"
     targets = {name: N.NativeType.parse(text) for name, text in types.items()}
     typed_name = {name: f"__typed_{n}" for n, name in enumerate(targets)}
 
-    values = df.withColumns({name: as_value(df, name, target) for name, target in targets.items()})
-    typed = values.withColumns(
-        {
-            typed_name[name]: assign_value(named(name), target, time_type, epoch_unit)
-            for name, target in targets.items()
-        }
+    texts = [name for name in targets if isinstance(df.schema[name].dataType, T.StringType)]
+    trimmed = df.withColumns({name: trim_blanks(named(name)) for name in texts})
+    trimmed = trimmed.withColumns({name: not_null_word(named(name)) for name in texts})
+    held = {name: _payload(df, name) for name in targets}
+    typed = trimmed.withColumns(
+        {typed_name[name]: held[name].as_type(target, time_type, epoch_unit) for name, target in targets.items()}
     )
 
     def unfit(name: str) -> Column:
-        return F.col(typed_name[name]).isNull() & (named(name)["kind"] != "NULL")
+        return F.col(typed_name[name]).isNull() & held[name].given()
 
     def error(name: str) -> Column:
-        value = named(name)
         entry = F.struct(
             F.lit(name).alias("column"),
             F.lit(types[name]).alias("target"),
-            value["kind"].alias("kind"),
-            value_text(value).alias("text"),
+            held[name].kind().alias("kind"),
+            held[name].text().alias("text"),
         )
         return F.when(unfit(name), entry)
 
-    rejected = reduce(or_, [unfit(name) for name in targets], F.lit(False))
+    rejected = _computed_once(reduce(or_, [unfit(name) for name in targets], F.lit(False)))
     found = F.array_compact(F.array(*[error(name) for name in targets])).cast(ERROR_TYPE)
     output = []
     for name in df.columns:

@@ -1 +1,6 @@
 """Whole jobs: the migration run and the registered queries."""
+
+from typeloom.plans import relational, typed
+from typeloom.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "relational", "typed"]

@@ -1,0 +1,31 @@
+"""Registered queries: a function of (session, table directory), with the SQL that must give the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under ``name``; ``oracle`` is its SQL, left out where SQL cannot say it."""
+
+    def register(function: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"query {name!r} is registered twice")
+        QUERIES[name] = function
+        if oracle is not None:
+            ORACLES[name] = oracle
+        return function
+
+    return register
+
+
+def load(spark: SparkSession, sf: str, table: str) -> DataFrame:
+    """One of the given tables."""
+    return spark.read.parquet(f"{sf}/{table}.parquet")
