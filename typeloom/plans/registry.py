@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from typeloom.session import ship_package
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -18,7 +21,13 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     def register(function: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name!r} is registered twice")
-        QUERIES[name] = function
+
+        @wraps(function)
+        def shipped(spark: SparkSession, sf: str) -> DataFrame:
+            ship_package(spark)
+            return function(spark, sf)
+
+        QUERIES[name] = shipped
         if oracle is not None:
             ORACLES[name] = oracle
         return function

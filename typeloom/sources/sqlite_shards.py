@@ -147,8 +147,18 @@ def _stored(column: pa.Array) -> list:
     return values
 
 
-def export_sqlite(df: DataFrame, path: str, table: str, keys: Sequence[str] = (), mode: str = "errorifexists") -> None:
-    """Write a table as SQLite shards; ``keys`` becomes the primary key of each shard's table."""
+def export_sqlite(
+    df: DataFrame,
+    path: str,
+    table: str,
+    keys: Sequence[str] = (),
+    mode: str = "errorifexists",
+    ddl: str | None = None,
+) -> None:
+    """Write a table as SQLite shards.
+
+    ``keys`` becomes the primary key of each shard's table; ``ddl`` replaces the whole ``CREATE TABLE`` text.
+    """
     if mode not in ("errorifexists", "append", "overwrite"):
         raise ValueError(f"mode must be errorifexists, append or overwrite, not {mode!r}")
     folder = local_path(path)
@@ -160,7 +170,7 @@ def export_sqlite(df: DataFrame, path: str, table: str, keys: Sequence[str] = ()
         stored.write.format("sqlite_shards")
         .mode("overwrite" if mode == "overwrite" else "append")
         .option("table", table)
-        .option("ddl", table_ddl(df.schema, table, keys))
+        .option("ddl", ddl or table_ddl(df.schema, table, keys))
         .save(path)
     )
 
