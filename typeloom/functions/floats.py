@@ -9,9 +9,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Two different decimals of at most 15 digits never share a double (in the normal range), so a JVM text of
-# 15 digits or fewer is already the shortest.  Longer JVM texts are not always, and go through ``repr``.
-_PROVEN_DIGITS = 15
+# Two different decimals of at most 15 digits never share a double (in the normal range), so a JVM text of 15
+# digits or fewer is already the shortest.  Longer JVM texts are not always, and go through ``repr``.  A text of
+# 16 characters has 15 digits at most, as it has a point.
+_PROVEN_LENGTH = 16
 _WHOLE_LIMIT = 1e15
 
 
@@ -29,33 +30,32 @@ def _cut_zeros(text: Column) -> Column:
     return F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
 
 
-def plain_double(value: Column) -> Column:
-    """``1`` for 1.0, ``0.00001`` for 1e-5; ``NaN``, ``inf`` and ``-inf`` for the others."""
-    text = value.cast("string")
-    size = F.abs(value)
-    finite = ~F.isnan(value) & (size < float("inf"))
-    digits = F.length(F.ltrim(F.translate(F.substring_index(text, "E", 1), "-.", ""), F.lit("0")))
-    proven = digits <= _PROVEN_DIGITS
-    bare = (value == 0) | ((size >= 1e-3) & (size < 1e7))
-    large = (size >= 1e7) & (size < _WHOLE_LIMIT)
-    small = (size >= 1e-19) & (size < 1e-3)
-    native = proven & (bare | large | small)
+def _double_text(value: Column, bare_text, whole_text) -> Column:
+    """Text of a double; ``bare_text`` shapes JVM text without exponent, ``whole_text`` whole numbers below 1e15."""
+    text, size = value.cast("string"), F.abs(value)
+    proven = F.length(text) <= _PROVEN_LENGTH
+    bare = proven & ((value == 0) | ((size >= 1e-3) & (size < 1e7)))
+    whole = (size < _WHOLE_LIMIT) & (value == F.floor(value))
+    large = proven & (size >= 1e7) & (size < _WHOLE_LIMIT)
+    small = proven & (size >= 1e-19) & (size < 1e-3)
+    other = ~(bare | whole | large | small | F.isnan(value) | (size == float("inf")))
     return (
-        F.when(F.isnan(value), F.lit("NaN"))
+        F.when(bare, bare_text(text))
+        .when(whole, whole_text(value.try_cast("bigint").cast("string")))
+        .when(large, _cut_zeros(text.try_cast(T.DecimalType(38, 18)).cast("string")))
+        .when(small, _cut_zeros(text.try_cast(T.DecimalType(38, 37)).cast("string")))
+        .when(F.isnan(value), F.lit("NaN"))
         .when(value == float("inf"), F.lit("inf"))
         .when(value == float("-inf"), F.lit("-inf"))
-        .when(native & bare, F.regexp_replace(text, r"\.0$", ""))
-        .when(native & large, _cut_zeros(text.try_cast(T.DecimalType(38, 18)).cast("string")))
-        .when(native & small, _cut_zeros(text.try_cast(T.DecimalType(38, 37)).cast("string")))
-        .when(value.isNotNull(), _exact_text(F.when(finite & ~native, value)))
+        .otherwise(_exact_text(F.when(other, value)))
     )
 
 
+def plain_double(value: Column) -> Column:
+    """``1`` for 1.0, ``0.00001`` for 1e-5; ``NaN``, ``inf`` and ``-inf`` for the others."""
+    return _double_text(value, _cut_zeros, lambda digits: digits)
+
+
 def display_double(value: Column) -> Column:
     """As :func:`plain_double`, but a whole number below 1e15 keeps one decimal: ``1.0``."""
-    whole = (value == F.floor(value)) & (F.abs(value) < _WHOLE_LIMIT)
-    return (
-        F.when(value == 0, value.cast("string"))
-        .when(whole, F.concat(value.try_cast("bigint").cast("string"), F.lit(".0")))
-        .otherwise(plain_double(F.when(~whole, value)))
-    )
+    return _double_text(value, lambda text: text, lambda digits: F.concat(digits, F.lit(".0")))

@@ -1,6 +1,6 @@
 """Whole jobs: the migration run and the registered queries."""
 
-from typeloom.plans import relational, sinks, typed, values
+from typeloom.plans import catalogs, edits, relational, sinks, typed, values
 from typeloom.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "relational", "sinks", "typed", "values"]
+__all__ = ["ORACLES", "QUERIES", "catalogs", "edits", "relational", "sinks", "typed", "values"]
