@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from typeloom.functions.cells import Payload, given_text
+from typeloom.functions.cells import Payload, not_null_word
 from typeloom.functions.lexical import named, trim_blanks
 from typeloom.functions.types import INT64, NativeType, column_kind, native_type_of
 from typeloom.operators.audit import Constraint
@@ -55,14 +55,36 @@ def key_predicate(row: Mapping[str, Any]) -> Column:
     return reduce(and_, [named(k).eqNullSafe(F.lit(v)) for k, v in row.items()])
 
 
-def typed_text(text: Column, field: T.StructField) -> Column:
-    """Edited text as content of the column: parsed by its kind, then cast; text that does not fit fails the job."""
+def _typed(n: int) -> Column:
+    return F.col(f"__typed_{n}")
+
+
+def _trimmed(n: int) -> Column:
+    return F.col(f"__text_{n}")
+
+
+def with_typed_texts(df: DataFrame, texts: Sequence[tuple[Column, T.StructField]]) -> DataFrame:
+    """Add ``__text_<n>``, each text trimmed, and ``__typed_<n>``, the same as content of its field.
+
+    Text is parsed by the field's kind, then cast; text that does not fit fails the job.  One step per
+    projection, as each step uses the one before several times.
+    """
+    fields = [field for _, field in texts]
+    df = df.withColumns({f"__text_{n}": trim_blanks(text) for n, (text, _) in enumerate(texts)})
+    df = df.withColumns({f"__given_{n}": not_null_word(_trimmed(n)) for n in range(len(texts))})
+    df = df.withColumns({f"__typed_{n}": _read(F.col(f"__given_{n}"), field) for n, field in enumerate(fields)})
+    checked = {}
+    for n, field in enumerate(fields):
+        given = F.col(f"__given_{n}")
+        message = F.concat(F.lit(f"column {field.name}: not a {native_type_of(field)}: "), given)
+        failed = F.raise_error(message).cast(field.dataType)
+        checked[f"__typed_{n}"] = F.when(given.isNotNull() & _typed(n).isNull(), failed).otherwise(_typed(n))
+    return df.withColumns(checked).drop(*[f"__given_{n}" for n in range(len(texts))])
+
+
+def _read(given: Column, field: T.StructField) -> Column:
     target = NativeType.parse(native_type_of(field))
-    given = given_text(text)
-    typed = Payload(t=given).as_type(target, isinstance(field.dataType, T.TimeType)).cast(field.dataType)
-    message = F.concat(F.lit(f"column {field.name}: not a {native_type_of(field)}: "), text)
-    unfit = typed.isNull() & given.isNotNull()
-    return F.when(unfit, F.raise_error(message).cast(field.dataType)).otherwise(typed)
+    return Payload(t=given).as_type(target, isinstance(field.dataType, T.TimeType)).cast(field.dataType)
 
 
 def _checked_column(column: Column, allowed: Sequence[str]) -> Column:
@@ -79,9 +101,18 @@ def _latest(seq: str, column: Column, name: str, value: Column) -> Column:
     return F.max(F.when(column == name, F.struct(named(seq).alias("seq"), value.alias("value"))))
 
 
-def _updated(base: DataFrame, name: str, write: Column, live: Column | None = None) -> Column:
-    applies = write.isNotNull() if live is None else write.isNotNull() & live
-    return F.when(applies, typed_text(write["value"], base.schema[name])).otherwise(named(name)).alias(name)
+def _merged(rows: DataFrame, base: DataFrame, writes: Mapping[str, Column], since: Column | None = None) -> DataFrame:
+    """The base columns of ``rows`` with their last writes applied; with ``since``, only later writes are."""
+    names = list(writes)
+    typed = with_typed_texts(rows, [(writes[name]["value"], base.schema[name]) for name in names])
+    columns = []
+    for name in base.columns:
+        if name not in writes:
+            columns.append(named(name))
+            continue
+        applies = writes[name].isNotNull() if since is None else writes[name]["seq"] > since
+        columns.append(F.when(applies, _typed(names.index(name))).otherwise(named(name)).alias(name))
+    return typed.select(*columns)
 
 
 def apply_updates(base: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -102,7 +133,7 @@ def apply_updates(base: DataFrame, changes: DataFrame, keys: Sequence[str]) -> D
         )
     )
     joined = base.join(writes, key_match(keys), "left")
-    return joined.select(*[_updated(base, name, F.col(f"__write_{n}")) for n, name in enumerate(base.columns)])
+    return _merged(joined, base, {name: F.col(f"__write_{n}") for n, name in enumerate(base.columns)})
 
 
 def apply_deletes(base: DataFrame, keys_df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -112,12 +143,6 @@ def apply_deletes(base: DataFrame, keys_df: DataFrame, keys: Sequence[str]) -> D
     return base.join(gone, key_match(keys), "left_anti")
 
 
-def _given(rows: Column, name: str) -> Column:
-    """The text given for a column; NULL when it is left out or blank, which both mean "default"."""
-    text = rows[name]
-    return F.when(trim_blanks(text) != "", text)
-
-
 def _checked_names(given: Column, allowed: Sequence[str]) -> Column:
     unknown = F.array_except(F.map_keys(given), F.array(*[F.lit(c) for c in allowed]))
     message = F.concat(F.lit("cannot set column "), F.array_join(unknown, ", "))
@@ -125,27 +150,25 @@ def _checked_names(given: Column, allowed: Sequence[str]) -> Column:
     return F.when(F.size(unknown) > 0, failed).otherwise(given)
 
 
-def _defaulted(base: DataFrame, name: str, text: Column, explicit_null: Column, defaults: Mapping[str, Any]) -> Column:
-    field = base.schema[name]
-    default = defaults.get(name)
-    fallback = default if isinstance(default, Column) else F.lit(default)
-    return (
-        F.when(explicit_null, F.lit(None).cast(field.dataType))
-        .when(text.isNotNull(), typed_text(text, field))
-        .otherwise(fallback.cast(field.dataType))
-    )
-
-
 def _inserted(base: DataFrame, rows: DataFrame, defaults: Mapping[str, Any], extra: Sequence[str] = ()) -> DataFrame:
-    """Typed rows from ``set map<string,string>``; a key mapped to NULL is an explicit NULL."""
+    """Typed rows from ``set map<string,string>``.
+
+    A column left out or blank takes its default; one mapped to NULL or the word ``null`` is an explicit NULL.
+    """
     given = F.coalesce(F.col("set"), F.create_map().cast("map<string,string>"))
     checked = rows.withColumn("set", _checked_names(given, base.columns))
+    typed = with_typed_texts(checked, [(F.col("set")[f.name], f) for f in base.schema.fields])
     columns = []
-    for name in base.columns:
-        text = _given(F.col("set"), name)
-        explicit_null = F.map_contains_key(F.col("set"), name) & F.col("set")[name].isNull()
-        columns.append(_defaulted(base, name, text, explicit_null, defaults).alias(name))
-    return checked.select(*[F.col(e) for e in extra], *columns)
+    for n, field in enumerate(base.schema.fields):
+        default = defaults.get(field.name)
+        fallback = default if isinstance(default, Column) else F.lit(default)
+        left_out = _trimmed(n).isNull() & ~F.map_contains_key("set", field.name)
+        columns.append(
+            F.when(left_out | (_trimmed(n) == ""), fallback.cast(field.dataType))
+            .otherwise(_typed(n))
+            .alias(field.name)
+        )
+    return typed.select(*[F.col(e) for e in extra], *columns)
 
 
 def apply_inserts(
@@ -165,7 +188,7 @@ def apply_inserts(
     if column_kind(base.schema[auto_number]) != INT64:
         raise TypeError(f"column {auto_number!r} is not an integer")
 
-    own = _given(F.col("set"), auto_number).isNotNull()
+    own = trim_blanks(F.col("set")[auto_number]) != ""
     numbered_already = _inserted(base, rows.filter(F.coalesce(own, F.lit(False))), defaults)
     open_rows = number_rows(rows.filter(~F.coalesce(own, F.lit(False))), "seq")
     taken = base.select(auto_number).unionByName(numbered_already.select(auto_number))
@@ -212,16 +235,7 @@ def apply_changes(
     )
     writes = {name: F.col(f"__write_{n}") for n, name in enumerate(settable)}
 
-    def merged(rows: DataFrame, live: Column | None) -> list[Column]:
-        return [
-            _updated(rows, name, writes[name], None if live is None else live(writes[name]))
-            if name in writes
-            else named(name)
-            for name in base.columns
-        ]
-
     old = base.join(state, key_match(keys), "left").filter(F.col("__deleted").isNull())
-    old = old.select(*merged(base, None))
 
     inserts = log.filter(F.col("op") == INSERT)
     others = F.map_filter(
@@ -236,8 +250,7 @@ def apply_changes(
     new = typed.join(state, key_match(keys), "left").filter(
         F.col("__deleted").isNull() | (F.col("__seq") > F.col("__deleted"))
     )
-    new = new.select(*merged(base, lambda write: write["seq"] > F.col("__seq")))
-    return old.unionByName(new)
+    return _merged(old, base, writes).unionByName(_merged(new, base, writes, since=F.col("__seq")))
 
 
 def change_report(base: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:

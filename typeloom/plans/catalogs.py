@@ -23,15 +23,19 @@ from typeloom.plans.registry import load, query
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 # One declared column per part; the same expressions serve both engines.
-DECLARED = """'db' || CAST(CAST(floor(p_partkey / 50) AS BIGINT) AS STRING) AS "database",
-    't' || CAST(CAST(floor(p_partkey / 10) AS BIGINT) % 5 AS STRING) AS "table",
-    CAST(p_partkey % 10 AS INT) AS cid,
-    p_name || CASE WHEN p_partkey % 10 = 7 THEN ' "x" ' ELSE ' ' END || CAST(p_partkey AS STRING) AS name,
-    CASE p_type WHEN 'ECONOMY' THEN 'DECIMAL(' || CAST(p_size AS STRING) || ',2)' WHEN 'SMALL' THEN 'VARCHAR(20)'
-        WHEN 'LARGE' THEN 'BIGINT' WHEN 'STANDARD' THEN 'DATETIME' ELSE 'BLOB' END AS decl,
-    p_size > 25 AS not_null,
-    p_partkey % 10 = 0 OR (p_partkey % 10 = 3 AND p_brand < 'Brand#2') AS pk,
-    CASE p_brand WHEN 'Brand#1' THEN '0' WHEN 'Brand#2' THEN 'random()' WHEN 'Brand#3' THEN '''n/a''' END AS "default" """
+FIELDS = ("database", "table", "cid", "name", "decl", "not_null", "pk", "default")
+VALUES = (
+    "'db' || CAST(CAST(floor(p_partkey / 50) AS BIGINT) AS STRING)",
+    "'t' || CAST(CAST(floor(p_partkey / 10) AS BIGINT) % 5 AS STRING)",
+    "CAST(p_partkey % 10 AS INT)",
+    """p_name || CASE WHEN p_partkey % 10 = 7 THEN ' "x" ' ELSE ' ' END || CAST(p_partkey AS STRING)""",
+    """CASE p_type WHEN 'ECONOMY' THEN 'DECIMAL(' || CAST(p_size AS STRING) || ',2)' WHEN 'SMALL' THEN 'VARCHAR(20)'
+        WHEN 'LARGE' THEN 'BIGINT' WHEN 'STANDARD' THEN 'DATETIME' ELSE 'BLOB' END""",
+    "p_size > 25",
+    "p_partkey % 10 = 0 OR (p_partkey % 10 = 3 AND p_brand < 'Brand#2')",
+    "CASE p_brand WHEN 'Brand#1' THEN '0' WHEN 'Brand#2' THEN 'random()' WHEN 'Brand#3' THEN '''n/a''' END",
+)
+DECLARED = ", ".join(f'{value} AS "{field}"' for field, value in zip(FIELDS, VALUES))
 NATIVE = """CASE WHEN decl LIKE 'DECIMAL%' THEN 'DECIMAL(' || least(CAST(p_size AS INT), 18) || ','
     || least(2, least(CAST(p_size AS INT), 18)) || ')' WHEN decl = 'VARCHAR(20)' THEN 'TEXT'
     WHEN decl = 'BIGINT' THEN 'INT64' WHEN decl = 'DATETIME' THEN 'TIMESTAMP' ELSE 'BLOB' END"""
@@ -42,8 +46,8 @@ DECLARED_CTE = f"""declared AS (SELECT {DECLARED}, p_size, p_brand, p_partkey FR
 
 
 def declared_parts(spark: SparkSession, sf: str) -> DataFrame:
-    load(spark, sf, "part").createOrReplaceTempView("declared_part")
-    return spark.sql(f"SELECT {DECLARED.replace(chr(34) + 'x' + chr(34), chr(1)).replace(chr(34), '`').replace(chr(1), chr(34) + 'x' + chr(34))}, p_brand, p_partkey FROM declared_part")
+    columns = [F.expr(value).alias(field) for field, value in zip(FIELDS, VALUES)]
+    return load(spark, sf, "part").select(*columns, "p_brand", "p_partkey")
 
 
 def part_columns(spark: SparkSession, sf: str) -> DataFrame:
@@ -152,11 +156,11 @@ def fingerprints(spark: SparkSession, sf: str) -> DataFrame:
         defined AS (SELECT *, quoted || ' ' || native || CASE WHEN pk AND n_keys = 1 THEN ' PRIMARY KEY'
             WHEN not_null THEN ' NOT NULL' ELSE '' END || CASE WHEN safe THEN ' DEFAULT ' || "default" ELSE '' END AS line
             FROM lines)
-        SELECT "database", "table", 'CREATE TABLE "' || "table" || '" (' || chr(10) || '  '
+        SELECT "database", "table", 'CREATE TABLE "' || any_value("table") || '" (' || chr(10) || '  '
             || string_agg(line, ',' || chr(10) || '  ' ORDER BY cid)
             || CASE WHEN max(n_keys) > 1 THEN ',' || chr(10) || '  PRIMARY KEY ('
                 || string_agg(quoted, ', ' ORDER BY cid) FILTER (WHERE pk) || ')' ELSE '' END
-            || chr(10) || ')' AS ddl FROM defined GROUP BY ALL""",
+            || chr(10) || ')' AS ddl FROM defined GROUP BY "database", "table" """,
 )
 def table_ddl(spark: SparkSession, sf: str) -> DataFrame:
     return create_table_ddl(declared_parts(spark, sf))

@@ -13,16 +13,20 @@ from typeloom.plans.registry import load, query
 
 # One edit per line item: which cell of its order, and the new text; the same expressions serve both engines.
 # The sequence number is unique per order but for lines that are equal in all columns used here.
-CHANGE = """l_orderkey AS o_orderkey,
-    l_partkey * 1000000 + l_suppkey * 10 + l_linenumber AS seq,
-    CASE l_returnflag WHEN 'A' THEN 'o_totalprice' WHEN 'N' THEN 'o_orderstatus' ELSE 'o_orderpriority' END AS "column",
-    CASE l_returnflag WHEN 'A' THEN ' ' || CAST(l_extendedprice AS STRING) WHEN 'N' THEN l_linestatus
-        ELSE CASE WHEN l_quantity > 25 THEN 'Null' ELSE 'q' || CAST(l_linenumber AS STRING) END END AS "value" """
+CHANGE_VALUES = {
+    "o_orderkey": "l_orderkey",
+    "seq": "l_partkey * 1000000 + l_suppkey * 10 + l_linenumber",
+    "column": """CASE l_returnflag WHEN 'A' THEN 'o_totalprice' WHEN 'N' THEN 'o_orderstatus'
+        ELSE 'o_orderpriority' END""",
+    "value": """CASE l_returnflag WHEN 'A' THEN ' ' || CAST(l_extendedprice AS STRING) WHEN 'N' THEN l_linestatus
+        ELSE CASE WHEN l_quantity > 25 THEN 'Null' ELSE 'q' || CAST(l_linenumber AS STRING) END END""",
+}
+CHANGE = ", ".join(f'{value} AS "{field}"' for field, value in CHANGE_VALUES.items())
 
 
 def order_changes(spark: SparkSession, sf: str) -> DataFrame:
-    load(spark, sf, "lineitem").createOrReplaceTempView("edit_lineitem")
-    return spark.sql(f"SELECT {CHANGE.replace(chr(34), '`')} FROM edit_lineitem")
+    columns = [F.expr(value).alias(field) for field, value in CHANGE_VALUES.items()]
+    return load(spark, sf, "lineitem").select(*columns)
 
 
 @query(
