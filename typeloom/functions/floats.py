@@ -17,13 +17,16 @@ _WHOLE_LIMIT = 1e15
 
 
 def _without_exponent(value: float) -> str:
-    text = format(Decimal(repr(value)), "f")
+    text = repr(value)
+    if "e" in text:
+        text = format(Decimal(text), "f")
     return text.removesuffix(".0")
 
 
 @F.pandas_udf(T.StringType())
 def _exact_text(values: pd.Series) -> pd.Series:
-    return values.map(_without_exponent, na_action="ignore").astype(object)
+    """Texts of the values that the JVM's own text is not proven for; the others arrive as NULL."""
+    return pd.Series([None if value != value else _without_exponent(value) for value in values.tolist()], dtype=object)
 
 
 def _cut_zeros(text: Column) -> Column:

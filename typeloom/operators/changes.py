@@ -1,8 +1,9 @@
 """Keyed edits: batches of inserts, updates and deletes that turn one table snapshot into the next.
 
 Edits are reduced to one row per key by an aggregation (which pre-aggregates, so a hot key is cheap), then met
-with the table in one NULL-safe join.  Spark broadcasts the edits when their measured size is small and splits
-skewed partitions of the table side otherwise.
+with the table in one NULL-safe join.  Spark broadcasts the edits when their measured size is small.  Otherwise
+it splits skewed partitions of the table side; it can do so because the NULL-safe keys are shuffled anew after the
+aggregation (a join that inherits the partitioning of an aggregation is never split).
 """
 
 from __future__ import annotations
@@ -282,20 +283,30 @@ def delete_cascade(
 ) -> dict[str, DataFrame]:
     """Delete rows of ``parent`` by key, and all rows that reach them over foreign keys.
 
-    Returns the surviving rows of every table reached.  A foreign key with a NULL reaches nothing.  A table
-    that refers to itself is followed level by level, each level checkpointed; longer cycles are refused.
+    Returns the surviving rows of every table reached.  A foreign key with a NULL reaches nothing.  A table may
+    refer to itself; longer cycles are refused.  The keys deleted at each level are checkpointed: they are used
+    for the survivors and for the next level, and each table is then joined with plain stored keys.
     """
     _require_keys(keys)
-    order = _cascade_order(edges, parent)
-    gone_keys = keys_df.select(*_renamed_keys(keys)).distinct()
-    gone = {parent: tables[parent].join(gone_keys, key_match(keys), "left_semi")}
-    kept = {parent: tables[parent].join(gone_keys, key_match(keys), "left_anti")}
-    for table in order:
+    doomed = keys_df.select(*_renamed_keys(keys)).distinct()
+    kept = {parent: tables[parent].join(doomed, key_match(keys), "left_anti")}
+    gone = {parent: tables[parent].join(doomed, key_match(keys), "left_semi")}
+    stored: dict[tuple, DataFrame] = {}
+
+    def deleted_keys(edge: Constraint) -> DataFrame:
+        wanted = (edge.ref_table, edge.ref_columns)
+        if wanted not in stored:
+            stored[wanted] = checkpointed(_referenced(edge, gone[edge.ref_table]))
+        return stored[wanted]
+
+    for table in _cascade_order(edges, parent):
         incoming = [e for e in edges if e.table == table and e.ref_table in gone and e.ref_table != table]
         if table != parent:
-            kept[table], gone[table] = _cut(tables[table], [(e, gone[e.ref_table]) for e in incoming])
+            kept[table], gone[table] = _cut(tables[table], [(e, deleted_keys(e)) for e in incoming])
         for loop in [e for e in edges if e.table == e.ref_table == table]:
-            kept[table], gone[table] = _follow_loop(loop, kept[table], gone[table])
+            reached = _reached_in_loop(loop, kept[table], _referenced(loop, gone[table]))
+            kept[table], more = _cut(kept[table], [(loop, reached)])
+            gone[table] = gone[table].unionByName(more)
     return kept
 
 
@@ -326,20 +337,21 @@ def _refers(edge: Constraint) -> Column:
 
 
 def _cut(table: DataFrame, hits: Sequence[tuple[Constraint, DataFrame]]) -> tuple[DataFrame, DataFrame]:
-    """Split a table into rows that refer to none of the deleted rows and rows that do."""
+    """Split a table into rows that refer to none of the deleted keys and rows that do."""
     kept, parts = table, []
     for edge, deleted in hits:
-        refs = _referenced(edge, deleted)
-        parts.append(kept.join(refs, _refers(edge), "left_semi"))
-        kept = kept.join(refs, _refers(edge), "left_anti")
+        parts.append(kept.join(deleted, _refers(edge), "left_semi"))
+        kept = kept.join(deleted, _refers(edge), "left_anti")
     return kept, reduce(DataFrame.unionByName, parts)
 
 
-def _follow_loop(edge: Constraint, kept: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
-    level = gone
+def _reached_in_loop(edge: Constraint, rows: DataFrame, start: DataFrame) -> DataFrame:
+    """All keys reached from ``start`` within a table that refers to itself, level by level."""
+    reached = level = checkpointed(start)
+    names = [_key_name(n) for n in range(len(edge.columns))]
     while True:
-        kept, level = _cut(kept, [(edge, level)])
-        kept, level = checkpointed(kept), checkpointed(level)
+        below = _referenced(edge, rows.join(level, _refers(edge), "left_semi"))
+        level = checkpointed(below.join(reached, names, "left_anti"))
         if level.isEmpty():
-            return kept, gone
-        gone = gone.unionByName(level)
+            return reached
+        reached = checkpointed(reached.unionByName(level))
