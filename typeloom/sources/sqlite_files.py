@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import glob
 import json
+import math
 import os
 import sqlite3
 from collections.abc import Iterator
@@ -172,7 +173,18 @@ def sqlite_counts(spark: SparkSession, path: str) -> DataFrame:
 
 # --- rows ---------------------------------------------------------------------------------------------------
 
-Range = tuple[int, int]
+# How many bytes of a text key place it among the others.
+KEY_BYTES = 64
+_FIRST_ID, _LAST_ID = -(2**63), 2**63 - 1
+Span = tuple[int, int]
+
+
+@dataclass(frozen=True)
+class Condition:
+    """A SQL condition on the key, and what it binds."""
+
+    sql: str
+    bound: tuple = ()
 
 
 @dataclass
@@ -180,77 +192,151 @@ class Scan(InputPartition):
     """One task's share: whole files, or key ranges of a single large file."""
 
     files: list[str]
-    key: str | None = None
-    ranges: list[Range] | None = None
+    conditions: list[Condition] | None = None
 
 
-def _range_key(connection: sqlite3.Connection, table: str) -> str | None:
-    """What to cut a table by: its row id, or the leading integer key column of a table without one."""
-    names = {row[1].lower() for row in table_columns(connection, table)}
-    for alias in ("rowid", "_rowid_", "oid"):
-        if alias not in names:
-            try:
-                connection.execute(f"SELECT {alias} FROM {quoted(table)} LIMIT 0")
-                return alias
-            except sqlite3.OperationalError:
-                break
-    leading = [row for row in table_columns(connection, table) if row[5] == 1]
-    if leading:
-        key = quoted(leading[0][1])
-        ends = [
-            connection.execute(f"SELECT {key} FROM {quoted(table)} ORDER BY {key} {way} LIMIT 1").fetchone()
-            for way in ("ASC", "DESC")
-        ]
-        # Numbers sort before text and blobs, so integers at both ends leave room for reals at most.
-        if all(end and isinstance(end[0], int) for end in ends):
-            return key
-    return None
+@dataclass(frozen=True)
+class KeySpace:
+    """Keys of one storage class, placed on a line of integers in key order.
 
+    A number sits at its integer part, a text at its first bytes read as one large number.
+    """
 
-def occupied_ranges(connection: sqlite3.Connection, table: str, key: str, pieces: int) -> list[list[Range]]:
-    """Cut the keys of a table into at most about ``pieces`` groups of ranges of like width.
+    connection: sqlite3.Connection
+    table: str
+    key: str
+    text: bool = False
+    within: str = "1"
+
+    def _bound(self, place: int):
+        if not self.text:
+            return place
+        return place.to_bytes(KEY_BYTES + 1, "big")[1:].rstrip(b"\0")
+
+    def _place(self, value) -> int:
+        if self.text:
+            return int.from_bytes(value[:KEY_BYTES].ljust(KEY_BYTES, b"\0"), "big")
+        if math.isinf(value):
+            return _LAST_ID if value > 0 else _FIRST_ID
+        return max(_FIRST_ID, min(_LAST_ID, math.floor(value)))
+
+    def condition(self, span: Span | None) -> Condition:
+        """The keys of a span; of the whole space for None."""
+        if span is None:
+            return Condition(self.within)
+        marker = "CAST(? AS TEXT)" if self.text else "?"
+        first, last = (0, 256**KEY_BYTES - 1) if self.text else (_FIRST_ID, _LAST_ID)
+        low, high = span
+        tests, bound = [self.within], []
+        # Open at both ends of the line: infinities sit there.
+        if low > first:
+            tests.append(f"{self.key} >= {marker}")
+            bound.append(self._bound(low))
+        if high < last:
+            tests.append(f"{self.key} < {marker}")
+            bound.append(self._bound(high + 1))
+        return Condition(" AND ".join(tests), tuple(bound))
+
+    def edges(self, span: Span | None) -> list[Span]:
+        """The span from the first to the last key within a span, by two index probes; none if it is empty."""
+        condition, shown = self.condition(span), f"CAST({self.key} AS BLOB)" if self.text else self.key
+        found = []
+        for way in ("ASC", "DESC"):
+            query = (
+                f"SELECT {shown} FROM {quoted(self.table)} WHERE {condition.sql} ORDER BY {self.key} {way} LIMIT 1"
+            )
+            row = self.connection.execute(query, condition.bound).fetchone()
+            if row is None:
+                return []
+            found.append(self._place(row[0]))
+        return [(found[0], found[1])]
+
+
+def _width(spans: list[Span]) -> int:
+    return sum(high - low + 1 for low, high in spans)
+
+
+def occupied_spans(space: KeySpace, pieces: int) -> list[list[Span]]:
+    """Cut a key space into at most about ``pieces`` groups of spans of like width.
 
     Gaps between keys are cut away by index probes, so that the width of what is left bounds its rows: a table
     whose keys sit in a few far clusters is still cut evenly.
     """
-
-    def edge(low: int, high: int, way: str) -> int | None:
-        query = f"SELECT {key} FROM {quoted(table)} WHERE {key} BETWEEN ? AND ? ORDER BY {key} {way} LIMIT 1"
-        row = connection.execute(query, (low, high)).fetchone()
-        return None if row is None else row[0]
-
-    def shrink(low: int, high: int) -> list[Range]:
-        first = edge(low, high, "ASC")
-        return [] if first is None else [(first, edge(low, high, "DESC"))]
-
-    def width(ranges: list[Range]) -> int:
-        return sum(high - low + 1 for low, high in ranges)
-
-    ranges = shrink(-(2**63), 2**63 - 1)
-    while ranges:
-        total = width(ranges)
+    spans = space.edges(None)
+    while spans:
+        total = _width(spans)
         step = -(-total // pieces)
-        cut = [
+        spans = [
             part
-            for low, high in ranges
+            for low, high in spans
             for start in range(low, high + 1, step)
-            for part in shrink(start, min(start + step - 1, high))
+            for part in space.edges((start, min(start + step - 1, high)))
         ]
-        ranges = cut
-        if width(cut) > 0.9 * total:
+        if _width(spans) > 0.9 * total:
             break
-    if not ranges:
+    if not spans:
         return []
 
-    step = -(-width(ranges) // pieces)
-    groups: list[list[Range]] = [[]]
-    for part in ranges:
-        if groups[-1] and width(groups[-1]) + width([part]) > step:
+    step = -(-_width(spans) // pieces)
+    groups: list[list[Span]] = [[]]
+    for part in spans:
+        if groups[-1] and _width(groups[-1]) + _width([part]) > step:
             groups.append([])
         groups[-1].append(part)
     return groups
 
 
+def _row_id(connection: sqlite3.Connection, table: str) -> str | None:
+    """A name of the table's row id that no column hides; None for a table without one."""
+    names = {row[1].lower() for row in table_columns(connection, table)}
+    for alias in ("rowid", "_rowid_", "oid"):
+        if alias not in names:
+            try:
+                connection.execute(f"SELECT {alias} FROM {quoted(table)} LIMIT 0")
+                return alias
+            except sqlite3.OperationalError:
+                return None
+    return None
+
+
+def _is_binary(connection: sqlite3.Connection, table: str) -> bool:
+    """Whether the leading key column sorts by its bytes."""
+    for index in connection.execute(f"PRAGMA index_list({quoted(table)})").fetchall():
+        if index[3] == "pk":
+            members = connection.execute(f"PRAGMA index_xinfo({quoted(index[1])})").fetchall()
+            return members[0][4] == "BINARY" and not members[0][3]
+    return False
+
+
+def table_conditions(connection: sqlite3.Connection, table: str, pieces: int) -> list[list[Condition]]:
+    """Conditions that cut a table into about ``pieces`` shares, each row in exactly one.
+
+    The cut is by row id, or by the leading key column of a table without one, there by storage class: numbers
+    first, then text, then blobs.  Text is only cut where it sorts by its bytes and no comparison would turn it
+    into a number; what is not cut is one share.
+    """
+    row_id = _row_id(connection, table)
+    if row_id is not None:
+        space = KeySpace(connection, table, row_id)
+        return [[space.condition(span) for span in group] for group in occupied_spans(space, pieces)]
+
+    leading = next((row for row in table_columns(connection, table) if row[5] == 1), None)
+    if leading is None or not _is_binary(connection, table):
+        return [[Condition("1")]]
+    key, declared = quoted(leading[1]), (leading[2] or "").upper()
+    is_text = "INT" not in declared and any(word in declared for word in ("CHAR", "CLOB", "TEXT"))
+    numeric = not is_text and bool(declared) and ("INT" in declared or "BLOB" not in declared)
+    numbers = KeySpace(connection, table, key, within=f"{key} < ''")
+    texts = KeySpace(connection, table, key, text=True, within=f"({key} >= '' AND {key} < x'')")
+    shares = []
+    for space, cut in ((numbers, not is_text), (texts, not numeric)):
+        if cut:
+            shares += [[space.condition(span) for span in group] for group in occupied_spans(space, pieces)]
+        else:
+            shares.append([space.condition(None)])
+    return [*shares, [Condition(f"{key} >= x''")]]
+
+
 class SqliteRawSource(DataSource):
     """Rows of one table as cells, from every file that has the table.  Options: ``table``; ``columns`` (a JSON list, default all);
     ``split_bytes`` (how much of the files one task reads, about)."""
@@ -300,12 +386,9 @@ class SqliteRawReader(DataSourceReader):
 
     def _cut(self, file: str, pieces: int) -> list[InputPartition]:
         with closing(connect(file)) as connection:
-            key = _range_key(connection, self.table)
-            if key is None:
-                return [Scan([file])]
-            return [
-                Scan([file], key, ranges) for ranges in occupied_ranges(connection, self.table, key, pieces)
-            ]
+            if not table_columns(connection, self.table):
+                return []
+            return [Scan([file], conditions) for conditions in table_conditions(connection, self.table, pieces)]
 
     def read(self, partition: Scan) -> Iterator[pa.RecordBatch]:
         for file in partition.files:
@@ -318,12 +401,8 @@ class SqliteRawReader(DataSourceReader):
                     raise ValueError(f"table {self.table!r} of {file!r} lacks columns {missing}")
                 listed = ", ".join(quoted(c) for c in self.columns)
                 query = f"SELECT {listed} FROM {quoted(self.table)}"
-                if partition.ranges is None:
-                    yield from self._batches(connection.execute(query))
-                else:
-                    query += f" WHERE {partition.key} BETWEEN ? AND ?"
-                    for bounds in partition.ranges:
-                        yield from self._batches(connection.execute(query, bounds))
+                for condition in partition.conditions or [Condition("1")]:
+                    yield from self._batches(connection.execute(f"{query} WHERE {condition.sql}", condition.bound))
 
     def _batches(self, cursor: sqlite3.Cursor) -> Iterator[pa.RecordBatch]:
         while rows := cursor.fetchmany(BATCH_ROWS):
