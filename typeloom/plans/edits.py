@@ -12,10 +12,10 @@ from typeloom.operators.changes import (
 from typeloom.plans.registry import load, query
 
 # One edit per line item: which cell of its order, and the new text; the same expressions serve both engines.
-# The sequence number is unique per order but for lines that are equal in all columns used here.
+# The sequence number, from price, part and line, is unique per order.
 CHANGE_VALUES = {
     "o_orderkey": "l_orderkey",
-    "seq": "l_partkey * 1000000 + l_suppkey * 10 + l_linenumber",
+    "seq": "CAST(round(l_extendedprice * 100) AS BIGINT) * 10000000 + l_partkey * 10 + l_linenumber",
     "column": """CASE l_returnflag WHEN 'A' THEN 'o_totalprice' WHEN 'N' THEN 'o_orderstatus'
         ELSE 'o_orderpriority' END""",
     "value": """CASE l_returnflag WHEN 'A' THEN ' ' || CAST(l_extendedprice AS STRING) WHEN 'N' THEN l_linestatus
@@ -90,7 +90,7 @@ def inserted_orders(spark: SparkSession, sf: str) -> DataFrame:
 
 # A mixed log on orders and on new keys, one entry per line item; the same expressions serve both engines.
 LOG = """l_orderkey + CASE WHEN l_linenumber > 5 THEN 1000000000 ELSE 0 END AS o_orderkey,
-    l_partkey * 1000000 + l_suppkey * 10 + l_linenumber AS seq,
+    CAST(round(l_extendedprice * 100) AS BIGINT) * 10000000 + l_partkey * 10 + l_linenumber AS seq,
     CASE WHEN l_quantity > 45 THEN 'delete' WHEN l_linenumber IN (1, 6) THEN 'insert' ELSE 'update' END AS op,
     CASE WHEN l_returnflag <> 'R' THEN l_linestatus END AS status,
     CASE WHEN l_returnflag = 'A' THEN CAST(l_extendedprice AS STRING) END AS price"""
