@@ -50,6 +50,8 @@ def test_bad_updates_fail(spark, base):
         apply_updates(base, changes(spark, [(1, "x", 1, "v", "abc")]), ["a", "b"]).collect()
     with pytest.raises(Exception, match="cannot set column w"):
         apply_updates(base, changes(spark, [(1, "x", 1, "w", "1")]), ["a", "b"]).collect()
+    with pytest.raises(Exception, match="cannot set column v"):
+        apply_updates(base, changes(spark, [(1, "x", 1, "v", "1")]), ["a", "b"], columns=["note"]).collect()
     for edit in (apply_updates, apply_deletes, apply_changes, change_report):
         with pytest.raises(ValueError, match="without key columns"):
             edit(base, base, [])

@@ -10,7 +10,7 @@ from tests.conftest import rows
 from typeloom.operators.coerce import assign_types
 from typeloom.plans.migrate import MigrateOptions, migrate
 from typeloom.sources.sqlite_files import (
-    KeySpace, connect, list_files, occupied_spans, read_cells, sqlite_columns, sqlite_counts, sqlite_indexes,
+    KeySpace, SqliteRawReader, connect, list_files, occupied_spans, read_cells, sqlite_columns, sqlite_counts, sqlite_indexes,
 )
 from typeloom.sources.sqlite_shards import export_sqlite, export_sqlite_database
 from typeloom.sources.tables import open_catalog
@@ -55,7 +55,9 @@ def test_catalogs(spark, make):
         ("sqlitedata", 2, 'odd "name', "", False, False, None),
     ]
     assert rows(sqlite_indexes(spark, path).drop("file")) == [("ix_two", "sqlitedata", True, ["n", "k"])]
-    assert rows(sqlite_counts(spark, path).drop("file"), "table") == [("inline_unique", 0), ("sqlitedata", 3)]
+    assert rows(sqlite_counts(spark, path, "sqlitedata").drop("file")) == [(3,)]
+    assert rows(sqlite_counts(spark, path, "inline_unique").drop("file")) == [(0,)]
+    assert rows(sqlite_counts(spark, path, "nothing")) == []
 
 
 def test_missing_file_is_an_error(spark, tmp_path):
@@ -91,6 +93,18 @@ def test_large_files_are_cut_into_even_ranges(spark, make):
     cells = read_cells(spark, path, "t", split_bytes=100_000)
     assert cells.rdd.getNumPartitions() > 4
     assert cells.select("id.i").distinct().count() == 20000
+    counted = sqlite_counts(spark, path, "t", split_bytes=100_000)
+    assert counted.count() > 4 and counted.agg({"rows": "sum"}).first()[0] == 20000
+
+
+def test_wide_rows_make_small_batches(spark, make):
+    path = make("wide.db", """CREATE TABLE t (id INTEGER PRIMARY KEY, v BLOB);
+        WITH RECURSIVE n(i) AS (SELECT 1 UNION ALL SELECT i + 1 FROM n WHERE i < 200)
+        INSERT INTO t SELECT i, zeroblob(500000) FROM n;""")
+    reader = SqliteRawReader({"path": path, "table": "t"}, ["id", "v"])
+    batches = [batch.num_rows for share in reader.partitions() for batch in reader.read(share)]
+    assert sum(batches) == 200 and max(batches) <= 64 and batches[1] <= 34
+    assert read_cells(spark, path, "t").selectExpr("sum(octet_length(v.b))").first()[0] == 200 * 500000
 
 
 def test_tables_without_rowid(spark, make):

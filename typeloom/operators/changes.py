@@ -116,25 +116,28 @@ def _merged(rows: DataFrame, base: DataFrame, writes: Mapping[str, Column], sinc
     return typed.select(*columns)
 
 
-def apply_updates(base: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
+def apply_updates(
+    base: DataFrame, changes: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None
+) -> DataFrame:
     """Set cells by key from ``changes(keys..., seq, column, value)``; per cell the highest ``seq`` wins.
 
-    ``value`` is text, read by the column's kind.  Key columns may be set too.
+    ``value`` is text, read by the column's kind.  Key columns may be set too.  ``columns`` says which columns
+    the changes may set (default all): naming them keeps the work small on a wide table.
     """
     _require_keys(keys)
-    target = _checked_column(F.col("column"), base.columns)
+    settable = list(columns or base.columns)
     writes = (
-        changes.select(*_renamed_keys(keys), "seq", target.alias("column"), "value")
+        changes.select(*_renamed_keys(keys), "seq", _checked_column(F.col("column"), settable).alias("column"), "value")
         .groupBy(*[_key_name(n) for n in range(len(keys))])
         .agg(
             *[
                 _latest("seq", F.col("column"), name, F.col("value")).alias(f"__write_{n}")
-                for n, name in enumerate(base.columns)
+                for n, name in enumerate(settable)
             ]
         )
     )
     joined = base.join(writes, key_match(keys), "left")
-    return _merged(joined, base, {name: F.col(f"__write_{n}") for n, name in enumerate(base.columns)})
+    return _merged(joined, base, {name: F.col(f"__write_{n}") for n, name in enumerate(settable)})
 
 
 def apply_deletes(base: DataFrame, keys_df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -116,8 +116,10 @@ def migrate(spark: SparkSession, path: str, out: str, options: MigrateOptions =
         loaded = _load(spark, path, out, table, sort_by if options.sort else [], options)
         good[table.name], rejects[table.name] = loaded
 
-    counts = sqlite_counts(spark, path).groupBy("table").agg(F.sum("rows").alias("rows")).collect()
-    totals = {r["table"]: r["rows"] for r in counts}
+    totals = {
+        table.name: sqlite_counts(spark, path, table.name, options.split_bytes).agg(F.sum("rows")).first()[0] or 0
+        for table in tables
+    }
     outcome = {r["table"]: r for r in reconcile({}, good, rejects).collect()}
     ddl = {r["table"]: r["ddl"] for r in create_table_ddl(declared).collect()}
     warnings: dict[str, list[str]] = {}

@@ -1,9 +1,10 @@
 """Reading SQLite files: their catalogs, and their rows as raw cells.
 
-Two Python data sources, both read in parallel with read-only connections made inside the tasks:
+Three Python data sources, all read in parallel with read-only connections made inside the tasks:
 
-``sqlite_catalog``  option ``kind``: ``columns``, ``indexes`` or ``counts`` of every file
+``sqlite_catalog``  option ``kind``: ``columns`` or ``indexes`` of every file
 ``sqlite_raw``      option ``table``: that table's rows over all files, every column a cell struct
+``sqlite_counts``   option ``table``: how many rows it has
 
 ``path`` is a file, a directory of files, or a glob, on storage that every executor sees.  Files must not change
 while they are read.
@@ -30,7 +31,8 @@ from typeloom.functions.lexical import quoted
 
 # Names with this prefix are the file format's own; matched as it stands, so sqlitedata is a user table.
 _USER_OBJECT = "lower(substr(name, 1, 7)) <> 'sqlite_'"
-BATCH_ROWS = 8192
+# One Arrow batch holds about this much, and never more rows than this.
+BATCH_BYTES, BATCH_ROWS = 16 * 1024 * 1024, 16384
 SPLIT_BYTES = 128 * 1024 * 1024
 
 
@@ -95,19 +97,12 @@ def _index_rows(file: str, connection: sqlite3.Connection) -> Iterator[tuple]:
             yield file, index, table, unique, columns
 
 
-def _count_rows(file: str, connection: sqlite3.Connection) -> Iterator[tuple]:
-    for table in _user_tables(connection):
-        (rows,) = connection.execute(f"SELECT count(*) FROM {quoted(table)}").fetchone()
-        yield file, table, rows
-
-
 _CATALOGS = {
     "columns": (
         "file string, table string, cid int, name string, decl string, not_null boolean, pk boolean, default string",
         _column_rows,
     ),
     "indexes": ("file string, index string, table string, unique boolean, columns array<string>", _index_rows),
-    "counts": ("file string, table string, rows bigint", _count_rows),
 }
 
 
@@ -166,11 +161,6 @@ def sqlite_indexes(spark: SparkSession, path: str) -> DataFrame:
     return _catalog(spark, path, "indexes")
 
 
-def sqlite_counts(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, table, rows)`` of every user table of every file."""
-    return _catalog(spark, path, "counts")
-
-
 # --- rows ---------------------------------------------------------------------------------------------------
 
 # How many bytes of a text key place it among the others.
@@ -391,6 +381,12 @@ class SqliteRawReader(DataSourceReader):
             return [Scan([file], conditions) for conditions in table_conditions(connection, self.table, pieces)]
 
     def read(self, partition: Scan) -> Iterator[pa.RecordBatch]:
+        listed = ", ".join(quoted(c) for c in self.columns)
+        for cursor, _ in self._cursors(partition, listed):
+            yield from self._batches(cursor)
+
+    def _cursors(self, partition: Scan, selected: str) -> Iterator[tuple[sqlite3.Cursor, str]]:
+        """A cursor over each part of the share, with the part's file; files without the table have none."""
         for file in partition.files:
             with closing(connect(file)) as connection:
                 known = {row[1] for row in table_columns(connection, self.table)}
@@ -399,14 +395,38 @@ class SqliteRawReader(DataSourceReader):
                 missing = [c for c in self.columns if c not in known]
                 if missing:
                     raise ValueError(f"table {self.table!r} of {file!r} lacks columns {missing}")
-                listed = ", ".join(quoted(c) for c in self.columns)
-                query = f"SELECT {listed} FROM {quoted(self.table)}"
+                query = f"SELECT {selected} FROM {quoted(self.table)}"
                 for condition in partition.conditions or [Condition("1")]:
-                    yield from self._batches(connection.execute(f"{query} WHERE {condition.sql}", condition.bound))
+                    yield connection.execute(f"{query} WHERE {condition.sql}", condition.bound), file
 
     def _batches(self, cursor: sqlite3.Cursor) -> Iterator[pa.RecordBatch]:
-        while rows := cursor.fetchmany(BATCH_ROWS):
-            yield pa.RecordBatch.from_arrays([cell_array(values) for values in zip(*rows)], self.columns)
+        size = 64
+        while rows := cursor.fetchmany(size):
+            batch = pa.RecordBatch.from_arrays([cell_array(values) for values in zip(*rows)], self.columns)
+            yield batch
+            size = max(1, min(BATCH_ROWS, 4 * size, BATCH_BYTES * len(rows) // max(1, batch.nbytes)))
+
+
+class SqliteCountSource(DataSource):
+    """Row counts of one table, per file and share.  Options as for ``sqlite_raw``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "sqlite_counts"
+
+    def schema(self) -> str:
+        return "file string, rows bigint"
+
+    def reader(self, schema: T.StructType) -> "SqliteCountReader":
+        return SqliteCountReader(self.options, [])
+
+
+class SqliteCountReader(SqliteRawReader):
+    """Counts where :class:`SqliteRawReader` would read, in the same shares."""
+
+    def read(self, partition: Scan) -> Iterator[tuple]:
+        for cursor, file in self._cursors(partition, "count(*)"):
+            yield file, cursor.fetchone()[0]
 
 
 _CLASS_OF = {type(None): "null", int: "integer", float: "real", str: "text", bytes: "blob"}
@@ -437,3 +457,9 @@ def read_cells(
     if columns is not None:
         reader = reader.option("columns", json.dumps(columns))
     return reader.load(path)
+
+
+def sqlite_counts(spark: SparkSession, path: str, table: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """``(file, rows)`` of a table; a large file has a row per share."""
+    spark.dataSource.register(SqliteCountSource)
+    return spark.read.format("sqlite_counts").option("table", table).option("split_bytes", split_bytes).load(path)

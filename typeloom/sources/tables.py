@@ -57,5 +57,10 @@ def write_table(
 
 
 def save_bucketed(df: DataFrame, table: str, keys: Sequence[str], buckets: int, mode: str = "errorifexists") -> None:
-    """Save a catalog table bucketed and sorted by ``keys``: joins on them then need no shuffle."""
-    df.write.mode(mode).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+    """Save a catalog table bucketed and sorted by ``keys``: joins on them then need no shuffle.
+
+    Rows are first brought together by bucket, so that a bucket is one file; the rebalancing cuts the bucket of
+    a hot key into several.
+    """
+    together = df.hint("rebalance", buckets, *[named(k) for k in keys])
+    together.write.mode(mode).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
