@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,10 +23,10 @@ def _without_exponent(value: float) -> str:
     return text.removesuffix(".0")
 
 
-@F.pandas_udf(T.StringType())
-def _exact_text(values: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def _exact_text(values: pa.Array) -> pa.Array:
     """Texts of the values that the JVM's own text is not proven for; the others arrive as NULL."""
-    return pd.Series([None if value != value else _without_exponent(value) for value in values.tolist()], dtype=object)
+    return pa.array([None if value is None else _without_exponent(value) for value in values.to_pylist()], pa.string())
 
 
 def _cut_zeros(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,9 +31,10 @@ def split_text(script: str) -> list[str]:
     return [piece for piece in (p.strip(BLANKS) for p in pieces) if piece]
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _split(scripts: pd.Series) -> pd.Series:
-    return scripts.map(split_text, na_action="ignore").astype(object)
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _split(scripts: pa.Array) -> pa.Array:
+    pieces = [None if script is None else split_text(script) for script in scripts.to_pylist()]
+    return pa.array(pieces, pa.list_(pa.string()))
 
 
 def split_scripts(df: DataFrame, id_column: str, text: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,13 +24,15 @@ REPORT_TYPE = (
 @dataclass(frozen=True)
 class MigrateOptions:
     """``on_error``: ``reject`` keeps bad rows apart, ``fail`` stops at the first.  ``sort``: lay each table out
-    by its key, or its first index, as a stand-in for the index."""
+    by its key, or its first index, as a stand-in for the index.  ``tables_at_once``: small tables would leave
+    most of a cluster idle one by one."""
 
     on_error: str = "reject"
     create_indexes: bool = True
     sort: bool = True
     epoch_unit: str | None = None
     split_bytes: int = SPLIT_BYTES
+    tables_at_once: int = 4
 
 
 @dataclass(frozen=True)
@@ -39,6 +42,13 @@ class _Table:
     keys: list[str]
 
 
+@dataclass(frozen=True)
+class _Loaded:
+    source_rows: int
+    good: DataFrame
+    rejects: DataFrame
+
+
 def _declared(spark: SparkSession, path: str) -> DataFrame:
     """The declared columns, each once; files that declare a table differently are an error."""
     distinct = (
@@ -65,7 +75,9 @@ def _plan(declared: DataFrame) -> list[_Table]:
     return list(tables.values())
 
 
-def _load(spark: SparkSession, path: str, out: str, table: _Table, sort_by: list[str], options: MigrateOptions):
+def _load(
+    spark: SparkSession, path: str, out: str, table: _Table, sort_by: list[str], options: MigrateOptions
+) -> _Loaded:
     """One scan of the source into a staged table; the loaded and rejected rows are written from there.
 
     Staging cuts the lineage at the slow scan: sorting samples its input, and a lost executor must not mean
@@ -83,7 +95,8 @@ def _load(spark: SparkSession, path: str, out: str, table: _Table, sort_by: list
     good, rejects = f"{out}/tables/{table.name}.parquet", f"{out}/rejects/{table.name}.parquet"
     write_table(rows.filter(~F.col(REJECTED)).drop(REJECTED, ERRORS), good, "overwrite", sort_by or None)
     write_table(rows.filter(REJECTED).drop(REJECTED), rejects, "overwrite")
-    return spark.read.parquet(good), spark.read.parquet(rejects)
+    counted = sqlite_counts(spark, path, table.name, options.split_bytes).agg(F.sum("rows")).first()[0]
+    return _Loaded(counted or 0, spark.read.parquet(good), spark.read.parquet(rejects))
 
 
 def _drop_folder(spark: SparkSession, folder: str) -> None:
@@ -109,18 +122,16 @@ def migrate(spark: SparkSession, path: str, out: str, options: MigrateOptions =
     index_ddl = {r["index"]: r["ddl"] for r in create_index_ddl(indexes).collect()} if index_rows else {}
     by_table = {t.name: [r for r in index_rows if r["table"] == t.name] for t in tables}
 
-    good, rejects = {}, {}
-    for table in tables:
+    def load(table: _Table) -> _Loaded:
         indexed = by_table[table.name]
         sort_by = table.keys or (list(indexed[0]["columns"]) if indexed else [])
-        loaded = _load(spark, path, out, table, sort_by if options.sort else [], options)
-        good[table.name], rejects[table.name] = loaded
-
-    totals = {
-        table.name: sqlite_counts(spark, path, table.name, options.split_bytes).agg(F.sum("rows")).first()[0] or 0
-        for table in tables
-    }
-    outcome = {r["table"]: r for r in reconcile({}, good, rejects).collect()}
+        return _load(spark, path, out, table, sort_by if options.sort else [], options)
+
+    with ThreadPoolExecutor(options.tables_at_once) as pool:
+        loaded = dict(zip([t.name for t in tables], pool.map(load, tables)))
+
+    counts = reconcile({}, {t: x.good for t, x in loaded.items()}, {t: x.rejects for t, x in loaded.items()})
+    outcome = {r["table"]: r for r in counts.collect()}
     ddl = {r["table"]: r["ddl"] for r in create_table_ddl(declared).collect()}
     warnings: dict[str, list[str]] = {}
     for row in dropped_defaults(declared).orderBy("table", "warning").collect():
@@ -129,12 +140,11 @@ def migrate(spark: SparkSession, path: str, out: str, options: MigrateOptions =
 
     report = []
     for table in tables:
-        name, done = table.name, outcome[table.name]
-        loaded, rejected = done["loaded_rows"], done["rejected_rows"]
-        ok = totals[name] == loaded + rejected
+        name, source_rows = table.name, loaded[table.name].source_rows
+        good, rejected = outcome[name]["loaded_rows"], outcome[name]["rejected_rows"]
         statements = [index_ddl[r["index"]] for r in by_table[name]]
         report.append(
-            (name, totals[name], loaded, rejected, ok, len(table.types), len(statements),
+            (name, source_rows, good, rejected, source_rows == good + rejected, len(table.types), len(statements),
              warnings.get(name, []), ddl[name], statements)
         )
     result = spark.createDataFrame(report, REPORT_TYPE)

@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Recording where in Python each column expression was made costs more than making it.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # The JVM never compiles methods above 8,000 bytes; Spark then does better without fusing the stage.
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }

@@ -22,6 +22,7 @@ from contextlib import closing
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql import types as T
@@ -431,21 +432,33 @@ class SqliteCountReader(SqliteRawReader):
 
 _CLASS_OF = {type(None): "null", int: "integer", float: "real", str: "text", bytes: "blob"}
 _FIELDS = (("i", int, pa.int64()), ("r", float, pa.float64()), ("t", str, pa.string()), ("b", bytes, pa.binary()))
+_CELL_NAMES = ["k", *[name for name, _, _ in _FIELDS]]
 
 
 def cell_array(values: tuple) -> pa.StructArray:
     """Cells of the values of one column."""
+    present = set(map(type, values)) - {type(None)}
+    if len(present) <= 1:
+        return _uniform_cells(values, present.pop() if present else None)
     types = [type(v) for v in values]
-    present = set(types) - {type(None)}
     fields = [pa.array([_CLASS_OF[t] for t in types], pa.string())]
     for _, cls, arrow in _FIELDS:
-        if cls not in present:
-            fields.append(pa.nulls(len(values), arrow))
-        elif len(present) == 1:
-            fields.append(pa.array(values, arrow))
-        else:
+        if cls in present:
             fields.append(pa.array([v if t is cls else None for v, t in zip(values, types)], arrow))
-    return pa.StructArray.from_arrays(fields, ["k", *[name for name, _, _ in _FIELDS]])
+        else:
+            fields.append(pa.nulls(len(values), arrow))
+    return pa.StructArray.from_arrays(fields, _CELL_NAMES)
+
+
+def _uniform_cells(values: tuple, only: type | None) -> pa.StructArray:
+    """Cells of values that are all of one class or NULL."""
+    payload = {cls: pa.nulls(len(values), arrow) for _, cls, arrow in _FIELDS}
+    classes = pa.repeat("null", len(values))
+    if only is not None:
+        payload[only] = pa.array(values, payload[only].type)
+        held = pa.repeat(_CLASS_OF[only], len(values))
+        classes = pc.if_else(payload[only].is_null(), classes, held) if payload[only].null_count else held
+    return pa.StructArray.from_arrays([classes, *payload.values()], _CELL_NAMES)
 
 
 def read_cells(
