@@ -14,7 +14,7 @@ from typeloom.session import fresh_path
 from typeloom.sources.exports import (
     CSV_OPTIONS, export_csv, export_dump, export_json, export_markdown, export_sql_insert,
 )
-from typeloom.sources.sqlite_files import read_cells
+from typeloom.sources.sqlite_files import read_cells, sqlite_columns, sqlite_counts, sqlite_indexes
 from typeloom.sources.sqlite_shards import export_sqlite
 from typeloom.sources.tables import open_catalog, write_table
 
@@ -188,11 +188,12 @@ def sqlite_storage(spark: SparkSession, sf: str) -> DataFrame:
     return cells.select(tags.alias("tag")).groupBy("tag.column", "tag.k").agg(F.count(F.lit(1)).alias("n"))
 
 
-# Key and the declared types of what is migrated: richer than the storage affinities of the shards.
+# Keys, index and the declared types of what is migrated: richer than the storage affinities of the shards.
 DECLARED = {
     "orders": """CREATE TABLE "orders" ("o_orderkey" INTEGER PRIMARY KEY, "o_custkey" BIGINT NOT NULL,
         "o_orderstatus" CHAR(1) DEFAULT 'O', "o_totalprice" DECIMAL(12,2), "o_orderdate" DATETIME,
-        "o_orderpriority" INT DEFAULT (abs(-1)))""",
+        "o_orderpriority" INT DEFAULT (abs(-1)));
+        CREATE INDEX "ix customer" ON "orders" ("o_custkey", "o_orderdate")""",
     "customer": """CREATE TABLE "customer" ("c_custkey" INTEGER, "c_name" VARCHAR(25), "c_nationkey" INT,
         "c_acctbal" DOUBLE, "c_mktsegment", PRIMARY KEY ("c_custkey", "c_nationkey"))""",
 }
@@ -212,10 +213,37 @@ def _database(spark: SparkSession, sf: str) -> str:
     return f"{path}/*/*.sqlite"
 
 
+@query(
+    "sqlite_catalog",
+    """WITH sizes AS (SELECT 'orders' AS "table", count(*) AS n_rows, 'ix customer' AS indexes,
+            'o_custkey,o_orderdate' AS indexed FROM orders
+            UNION ALL SELECT 'customer', count(*), NULL, NULL FROM customer),
+        declared AS (SELECT 'orders' AS "table", unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice',
+                'o_orderdate', 'o_orderpriority']) AS name,
+                unnest(['INTEGER', 'BIGINT', 'CHAR(1)', 'DECIMAL(12,2)', 'DATETIME', 'INT']) AS decl,
+                unnest([true, false, false, false, false, false]) AS pk
+            UNION ALL SELECT 'customer',
+                unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment']),
+                unnest(['INTEGER', 'VARCHAR(25)', 'INT', 'DOUBLE', '']), unnest([true, false, true, false, false]))
+        SELECT * FROM declared JOIN sizes USING ("table")""",
+)
+def sqlite_catalog(spark: SparkSession, sf: str) -> DataFrame:
+    path = _database(spark, sf)
+    columns = sqlite_columns(spark, path).select("table", "name", "decl", "pk").distinct()
+    indexes = sqlite_indexes(spark, path).select(
+        "table", F.col("index").alias("indexes"), F.array_join("columns", ",").alias("indexed")
+    )
+    counts = [
+        sqlite_counts(spark, path, table).select(F.lit(table).alias("table"), "rows") for table in DECLARED
+    ]
+    sizes = counts[0].unionByName(counts[1]).groupBy("table").agg(F.sum("rows").alias("n_rows"))
+    return columns.join(sizes, "table").join(indexes.distinct(), "table", "left")
+
+
 @query(
     "migrate",
     """SELECT 'orders' AS "table", count(*) AS source_rows, count(*) FILTER (WHERE o_totalprice > 50000) AS loaded_rows,
-           count(*) FILTER (WHERE o_totalprice <= 50000) AS rejected_rows, true AS ok, 6 AS columns, 0 AS indexes,
+           count(*) FILTER (WHERE o_totalprice <= 50000) AS rejected_rows, true AS ok, 6 AS columns, 1 AS indexes,
            'Dropped default for orders.o_orderpriority' AS warnings FROM orders
        UNION ALL SELECT 'customer', count(*), count(*), 0, true, 5, 0, '' FROM customer""",
 )

@@ -67,7 +67,7 @@ class Shard(WriterCommitMessage):
 
 
 class SqliteShardsSource(DataSource):
-    """Options: ``path``, ``table``, and ``ddl``, the statement that makes the table in each file."""
+    """Options: ``path``, ``table``, and ``ddl``, the statements that make the table in each file."""
 
     @classmethod
     def name(cls) -> str:
@@ -109,7 +109,7 @@ class SqliteShardsWriter(DataSourceArrowWriter):
         connection = sqlite3.connect(file)
         connection.execute("PRAGMA journal_mode = OFF")
         connection.execute("PRAGMA synchronous = OFF")
-        connection.execute(self.ddl)
+        connection.executescript(self.ddl)
         return connection
 
     def commit(self, messages: list[Shard | None]) -> None:
@@ -157,7 +157,7 @@ def export_sqlite(
 ) -> None:
     """Write a table as SQLite shards.
 
-    ``keys`` becomes the primary key of each shard's table; ``ddl`` replaces the whole ``CREATE TABLE`` text.
+    ``keys`` becomes the primary key of each shard's table; ``ddl`` replaces the statements that make it.
     """
     if mode not in ("errorifexists", "append", "overwrite"):
         raise ValueError(f"mode must be errorifexists, append or overwrite, not {mode!r}")
