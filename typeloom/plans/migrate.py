@@ -12,6 +12,7 @@ from typeloom.functions.types import map_declared_types
 from typeloom.operators.audit import reconcile
 from typeloom.operators.catalog import create_index_ddl, create_table_ddl, dropped_defaults
 from typeloom.operators.coerce import ERRORS, REJECTED, check_types, failing
+from typeloom.sources.folders import drop_folder
 from typeloom.sources.sqlite_files import SPLIT_BYTES, read_cells, sqlite_columns, sqlite_counts, sqlite_indexes
 from typeloom.sources.tables import write_table
 
@@ -99,11 +100,6 @@ def _load(
     return _Loaded(counted or 0, spark.read.parquet(good), spark.read.parquet(rejects))
 
 
-def _drop_folder(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def migrate(spark: SparkSession, path: str, out: str, options: MigrateOptions = MigrateOptions()) -> DataFrame:
     """Migrate every table of the SQLite files at ``path``; returns the report, one row per table.
 
@@ -149,5 +145,5 @@ def migrate(spark: SparkSession, path: str, out: str, options: MigrateOptions =
         )
     result = spark.createDataFrame(report, REPORT_TYPE)
     result.coalesce(1).write.mode("overwrite").json(f"{out}/report")
-    _drop_folder(spark, f"{out}/_staged")
+    drop_folder(spark, f"{out}/_staged")
     return result

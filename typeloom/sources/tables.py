@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from typeloom.functions.lexical import named
+from typeloom.sources.folders import entry_names
 
 SUFFIX = ".parquet"
 
@@ -17,11 +18,8 @@ def open_catalog(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
 
     A missing directory is an error.
     """
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(directory)
-    listing = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
     tables = {}
-    for name in sorted(status.getPath().getName() for status in listing):
+    for name in entry_names(spark, directory):
         if name.endswith(SUFFIX):
             table = name.removesuffix(SUFFIX)
             tables[table] = spark.read.parquet(f"{directory}/{name}")
