@@ -53,8 +53,8 @@ def _computed_once(flag: Column) -> Column:
 def check_types(df: DataFrame, types: Mapping[str, str], epoch_unit: str | None = None) -> DataFrame:
     """Type every listed column; add ``rejected`` and ``errors``, one entry per cell that does not fit.
 
-    The columns hold cells, values or edited text.  Filter rows before, not after: the check is a barrier.  ``errors`` is NULL for a clean row.  Cells that do not fit
-    are NULL in their typed column.
+    The columns hold cells, values or edited text.  ``errors`` is NULL for a clean row.  Cells that do not fit
+    are NULL in their typed column.  Filter rows before, not after: the check is a barrier to the optimizer.
     """
     time_type = df.sparkSession.conf.get("spark.sql.timeType.enabled", "false") == "true"
     targets = {name: N.NativeType.parse(text) for name, text in types.items()}

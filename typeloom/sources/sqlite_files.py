@@ -329,9 +329,10 @@ def table_conditions(connection: sqlite3.Connection, table: str, pieces: int) ->
 
 
 class SqliteRawSource(DataSource):
-    """Rows of one table as cells, from every file that has the table.  Options: ``table``; ``columns`` (a JSON list, default all);
-    ``split_bytes`` (how much of the files one task reads, about)."""
+    """Rows of one table as cells, from every file that has the table.
 
+    Options: ``table``; ``columns`` (a JSON list, default all); ``split_bytes`` (what one task reads, about).
+    """
     @classmethod
     def name(cls) -> str:
         return "sqlite_raw"
