@@ -186,8 +186,14 @@ def test_migrate_fails_on_request(spark, make, tmp_path):
 def test_conflicting_declarations_are_refused(spark, make, tmp_path):
     make("a.db", "CREATE TABLE t (id INT);")
     make("b.db", "CREATE TABLE t (id TEXT);")
-    with pytest.raises(ValueError, match="declare these tables differently"):
+    with pytest.raises(ValueError, match=r"declare these tables differently: \['t'\]"):
         migrate(spark, f"{tmp_path}/*.db", f"{tmp_path}/out")
+    make("c.sq", "CREATE TABLE t (a INT, b INT); CREATE INDEX i ON t (a);")
+    make("d.sq", "CREATE TABLE t (a INT, b INT); CREATE INDEX i ON t (b);")
+    with pytest.raises(ValueError, match=r"declare these indexes differently: \['i'\]"):
+        migrate(spark, f"{tmp_path}/*.sq", f"{tmp_path}/out")
+    report = migrate(spark, f"{tmp_path}/*.sq", f"{tmp_path}/out", MigrateOptions(create_indexes=False))
+    assert [(r["table"], r["source_rows"], r["indexes"]) for r in report.collect()] == [("t", 0, 0)]
 
 
 @pytest.fixture(scope="module")

@@ -195,12 +195,13 @@ def apply_inserts(
     own = trim_blanks(F.col("set")[auto_number]) != ""
     numbered_already = _inserted(base, rows.filter(F.coalesce(own, F.lit(False))), defaults)
     open_rows = number_rows(rows.filter(~F.coalesce(own, F.lit(False))), "seq")
-    taken = base.select(auto_number).unionByName(numbered_already.select(auto_number))
-    highest = F.coalesce(taken.agg(F.max(auto_number)).scalar(), F.lit(0))
+    number = named(auto_number)
+    taken = base.select(number).unionByName(numbered_already.select(number))
+    highest = F.coalesce(taken.agg(F.max(number)).scalar(), F.lit(0))
     counted = _inserted(base, open_rows, defaults, extra=[NUMBER]).withColumn(
         auto_number, (highest + F.col(NUMBER)).cast(base.schema[auto_number].dataType)
     )
-    return base.unionByName(numbered_already).unionByName(counted.select(*base.columns))
+    return base.unionByName(numbered_already).unionByName(counted.drop(NUMBER))
 
 
 def apply_changes(

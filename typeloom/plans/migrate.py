@@ -50,18 +50,12 @@ class _Loaded:
     rejects: DataFrame
 
 
-def _declared(spark: SparkSession, path: str) -> DataFrame:
-    """The declared columns, each once; files that declare a table differently are an error."""
-    distinct = (
-        sqlite_columns(spark, path)
-        .drop("file")
-        .distinct()
-        .select(F.lit("").alias("database"), "*")
-        .persist()
-    )
-    clash = distinct.groupBy("table", "cid").count().filter("count > 1").select("table").distinct().collect()
+def _once(rows: DataFrame, what: str, *identity: str) -> DataFrame:
+    """Catalog rows of many files, each once; files that declare one thing differently are an error."""
+    distinct = rows.drop("file").distinct().select(F.lit("").alias("database"), "*").persist()
+    clash = distinct.groupBy(*identity).count().filter("count > 1").select(identity[0]).distinct().collect()
     if clash:
-        raise ValueError(f"files declare these tables differently: {sorted(r[0] for r in clash)}")
+        raise ValueError(f"files declare these {what} differently: {sorted(r[0] for r in clash)}")
     return distinct
 
 
@@ -108,14 +102,17 @@ def migrate(spark: SparkSession, path: str, out: str, options: MigrateOptions =
     """
     if options.on_error not in ("reject", "fail"):
         raise ValueError(f"on_error must be reject or fail, not {options.on_error!r}")
-    declared = _declared(spark, path)
+    declared = _once(sqlite_columns(spark, path), "tables", "table", "cid")
     tables = _plan(declared)
     if not tables:
         raise ValueError(f"no tables in {path!r}")
 
-    indexes = sqlite_indexes(spark, path).drop("file").distinct().select(F.lit("").alias("database"), "*")
-    index_rows = indexes.orderBy("index").collect() if options.create_indexes else []
-    index_ddl = {r["index"]: r["ddl"] for r in create_index_ddl(indexes).collect()} if index_rows else {}
+    index_rows, index_ddl = [], {}
+    if options.create_indexes:
+        indexes = _once(sqlite_indexes(spark, path), "indexes", "index")
+        index_rows = indexes.orderBy("index").collect()
+        index_ddl = {r["index"]: r["ddl"] for r in create_index_ddl(indexes).collect()}
+        indexes.unpersist()
     by_table = {t.name: [r for r in index_rows if r["table"] == t.name] for t in tables}
 
     def load(table: _Table) -> _Loaded:

@@ -333,6 +333,7 @@ class SqliteRawSource(DataSource):
 
     Options: ``table``; ``columns`` (a JSON list, default all); ``split_bytes`` (what one task reads, about).
     """
+
     @classmethod
     def name(cls) -> str:
         return "sqlite_raw"
