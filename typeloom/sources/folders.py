@@ -20,3 +20,9 @@ def drop_folder(spark: SparkSession, folder: str) -> None:
     """Remove a folder that this library wrote."""
     path, system = _resolve(spark, folder)
     system.delete(path, True)
+
+
+def path_exists(spark: SparkSession, folder: str) -> bool:
+    """Whether a path names anything."""
+    path, system = _resolve(spark, folder)
+    return system.exists(path)
