@@ -44,31 +44,31 @@ def rotate(turns: DataFrame, speaker: str = "role", piece_turns: int = PIECE_TUR
     mark; names have blanks and marks replaced.  Other columns are ignored.
     """
     rows = turns.select(
-        F.col("conv_id").alias("conv"),
+        F.struct("conv_id").alias("conv"),
         F.col("turn"),
         F.coalesce(F.col(f"`{speaker}`").cast("string"), F.lit(NOBODY)).alias("speaker"),
         F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("body"),
     )
     people = rows.filter(F.col("speaker") != SYSTEM).select("conv", F.col("speaker").alias("viewer")).distinct()
-    # First by ranges of ``turn``, then by place in the range: a long conversation spreads over many tasks.
-    span = F.coalesce(F.floor(F.col("turn") / piece_turns), F.lit(2**62)).alias("span")
-    place = F.row_number().over(
-        W.partitionBy("conv", "span").orderBy(F.col("turn").asc_nulls_last(), "speaker", "body")
-    )
-    rows = rows.select("*", span).withColumn("place", place - 1)
-    part = F.floor(F.col("place") / piece_turns).alias("part")
-    parts = rows.groupBy("conv", "span", part).agg(
+    # Places are found within ranges of ``turn``, so a long conversation spreads over many tasks.
+    span = F.coalesce(F.floor(F.col("turn") / piece_turns), F.lit(2**62))
+    rows = rows.withColumn("span", span)
+    ahead = F.sum("n").over(W.partitionBy("conv").orderBy("span").rowsBetween(W.unboundedPreceding, -1))
+    spans = rows.groupBy("conv", "span").agg(F.count("*").alias("n"))
+    spans = spans.select("conv", "span", F.coalesce(ahead, F.lit(0)).alias("ahead"))
+    order = W.partitionBy("conv", "span").orderBy(F.col("turn").asc_nulls_last(), "speaker", "body")
+    rows = rows.join(spans, ["conv", "span"]).withColumn("place", F.col("ahead") + F.row_number().over(order) - 1)
+    part = F.floor(F.col("place") / piece_turns).alias("piece")
+    parts = rows.groupBy("conv", part).agg(
         F.sort_array(F.collect_list(F.struct("place", "speaker", "body"))).alias("turns")
     )
-    people = people.withColumnRenamed("conv", "of")
-    seen = parts.join(people, F.col("conv").eqNullSafe(F.col("of"))).drop("of")
+    seen = parts.join(people, "conv")
     seen = seen.withColumn("said", _piece(F.col("turns"), F.col("viewer"))).drop("turns")
     whole = F.transform("said", lambda x: F.concat(x["head"], x["body"], F.lit("\n")))
     seen = seen.withColumn("dialogue", F.array_join(whole, ""))
-    order = W.partitionBy("conv", "viewer").orderBy("span", "part")
+    order = W.partitionBy("conv", "viewer").orderBy("piece")
     ahead = F.sum(F.char_length("dialogue").cast("long")).over(order.rowsBetween(W.unboundedPreceding, -1))
     seen = seen.withColumn("start", F.coalesce(ahead, F.lit(0)))
-    seen = seen.withColumn("piece", F.row_number().over(order).cast("long") - 1)
     spans = F.expr(
         """aggregate(said, named_struct('at', start, 'spans', CAST(array() AS array<string>)), (state, x) -> named_struct(
             'at', state.at + char_length(x.head) + char_length(x.body) + 1,
@@ -78,7 +78,7 @@ def rotate(turns: DataFrame, speaker: str = "role", piece_turns: int = PIECE_TUR
             state -> array_join(state.spans, ','))"""
     )
     return seen.select(
-        F.col("conv").alias("conv_id"),
+        F.col("conv.conv_id").alias("conv_id"),
         F.col("viewer").alias("participant"),
         "piece",
         "start",

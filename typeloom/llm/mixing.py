@@ -27,11 +27,11 @@ REST, NO_SOURCE = "(rest)", "(none)"
 ADDED = ("mix_stream", "mix_block", "mix_slot", "mix_offset", "in_mix")
 
 
-def _sized(documents: DataFrame) -> DataFrame:
-    """Every row as ``row``, with its source, size and place in the order of its source."""
+def _sized(documents: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of every row as ``row``, with its source, size and place in the order of its source."""
     place = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit("")))
     return documents.select(
-        F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"),
+        F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"),
         F.coalesce("source", F.lit(NO_SOURCE)).alias("source"),
         F.md5(place).alias("place"),
         F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("size"),
@@ -79,9 +79,13 @@ def _round(weighed: DataFrame, slots: int) -> DataFrame:
 
 
 def mix(
-    documents: DataFrame, block_chars: int = BLOCK_CHARS, slots: int = SLOTS, streams: int = STREAMS
+    documents: DataFrame,
+    keep: list[str] | None = None,
+    block_chars: int = BLOCK_CHARS,
+    slots: int = SLOTS,
+    streams: int = STREAMS,
 ) -> DataFrame:
-    """``documents`` with the block and slot that each row starts in, ``mix_offset`` characters into that block.
+    """The columns ``keep`` (all) with the block and slot that each row starts in, ``mix_offset`` characters into it.
 
     Reading rows by ``mix_slot`` and ``mix_offset`` gives the mix.  No row is dropped or repeated: ``in_mix`` holds up
     to the first slot whose stream has run out, and later rows keep their slots in the same schedule.  A null source is
@@ -90,8 +94,7 @@ def mix(
     """
     if not 0 < streams < slots:
         raise ValueError("each stream needs a slot in the round")
-    kept = documents.select(*(f"`{c}`" for c in documents.columns if c not in ADDED))
-    rows = _sized(kept)
+    rows = _sized(documents, [c for c in keep or documents.columns if c not in ADDED])
     # One row per stream and first digits of the place: what stands before each of them in its stream.
     buckets = rows.groupBy("source", F.substring("place", 1, 3).alias("bucket")).agg(F.sum("size").alias("size"))
     buckets = stored(buckets, "mix-sizes")
@@ -180,5 +183,4 @@ FROM placed JOIN turns USING (stream) WHERE nth = start // {BLOCK_CHARS} % parts
 
 @query("op10_source_mixing", ORACLE)
 def op10_source_mixing(spark, sf):
-    documents = load(spark, sf, "documents").select("doc_id", "source", "text")
-    return mix(documents).drop("text")
+    return mix(load(spark, sf, "documents"), keep=["doc_id", "source"])

@@ -1,6 +1,19 @@
 """Importing this module registers every query of the corpus operators."""
 
-from typeloom.llm import chat, mixing, secrets, toxicity
+from typeloom.llm import chat, decontaminate, linedup, mixing, neardup, pii, quality, secrets, suffixes, toxicity
 from typeloom.llm.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "chat", "mixing", "secrets", "toxicity"]
+__all__ = [
+    "ORACLES",
+    "QUERIES",
+    "chat",
+    "decontaminate",
+    "linedup",
+    "mixing",
+    "neardup",
+    "pii",
+    "quality",
+    "secrets",
+    "suffixes",
+    "toxicity",
+]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from typeloom.llm.common import text_of
+from typeloom.llm.common import stored, text_of
 from typeloom.llm.registry import load, query
 from typeloom.session import fresh_path
 from typeloom.sources.folders import path_exists
@@ -103,7 +103,9 @@ def scan_versions(versions: DataFrame, ledger: str, path: str = "doc_id", rules:
     unseen.groupBy("blob").agg(F.first("text").alias("text")).mapInArrow(_scan(rules), FINDINGS).write.mode(
         "append"
     ).parquet(ledger)
-    return rows.select("path", "blob").join(read_ledger(spark, ledger, rules), "blob").withColumnRenamed("path", path)
+    # Written once more, the findings are a plain side of the join, in which Spark can split the rows of a hot blob.
+    findings = stored(read_ledger(spark, ledger, rules), "findings")
+    return rows.select("path", "blob").join(findings, "blob").withColumnRenamed("path", path)
 
 
 @query("op5_secret_scans")
