@@ -49,7 +49,8 @@ def _short_seeds(rows: DataFrame, keep: list[str], lengths: list[int]) -> DataFr
 
 
 def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Verified overlaps: document, item, first word in the document, words, exchanged words, and worth.
+    """Verified overlaps: document, item, first word in the document, words, exchanged words, worth, and ``id`` of the
+    document's id and text.
 
     One row for each way an item lies on a document.  A null text has no words.  Rows alike in id and text overlap
     alike, and each gets its rows; an item given twice counts once.  Items of fewer words than :data:`SHORT` are too
@@ -58,7 +59,7 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.select("item_id", words_of(text_of()).alias("words"))
     items = items.filter(F.size("words") >= SHORT).distinct()
     items = stored(items.withColumn("item", F.xxhash64("item_id", "words")), "benchmark-items")
-    rows = documents.select("doc_id", text_of().alias("text"), digest(F.col("doc_id"), F.col("text")).alias("id"))
+    rows = documents.select("doc_id", text_of().alias("text"), digest(F.col("doc_id"), text_of()).alias("id"))
     tokens = rows.select("id", words_of(F.col("text")).alias("words"))
     # What repeats is each length below a window's, so the list has a few entries at most.
     short = items.filter(F.size("words") < SPAN)
@@ -78,7 +79,7 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = sought.join(F.broadcast(seeds) if few else seeds, "seed")
     hits = hits.select("id", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     hits = stored(hits, "benchmark-hits")
-    found = rows.join(hits, "id").select("doc_id", words_of(F.col("text")).alias("words"), "item", "shift")
+    found = rows.join(hits, "id").select("doc_id", "id", words_of(F.col("text")).alias("words"), "item", "shift")
     found = found.join(items.select("item", "item_id", F.col("words").alias("wanted")), "item")
     first, last = "greatest(0, -shift)", "least(size(wanted), size(words) - shift) - 1"
     # The best run: it starts anew wherever what came before is worth nothing.
@@ -99,9 +100,16 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         length.cast("long").alias("n_words"),
         F.expr(f"(run.end - run.start - run.best) div {PENALTY + 1}").cast("long").alias("n_exchanged"),
         F.col("run.best").cast("long").alias("worth"),
+        "id",
     )
 
 
+def drop_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``documents`` without those that overlap a benchmark item."""
+    leaks = overlaps(documents, benchmark).select("id").distinct().withColumnRenamed("id", "leak")
+    return documents.join(leaks, digest(F.col("doc_id"), text_of()) == F.col("leak"), "left_anti")
+
+
 @query("op9_benchmark_decontamination")
 def op9_benchmark_decontamination(spark, sf):
-    return overlaps(load(spark, sf, "documents"), load(spark, sf, "benchmark"))
+    return overlaps(load(spark, sf, "documents"), load(spark, sf, "benchmark")).drop("id")

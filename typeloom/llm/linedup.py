@@ -183,6 +183,19 @@ def cut_lines(documents: DataFrame) -> DataFrame:
     )
 
 
+def cut_documents(documents: DataFrame) -> DataFrame:
+    """``documents`` with what is left of their texts, and its length as ``n_chars``; a row that loses all goes."""
+    found = cut_lines(documents)
+    changed = F.col("n_removed") > 0
+    found = found.filter(~changed | F.col("kept").rlike(r"[^ \t-\r]"))
+    new = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")}
+    columns = [
+        F.when(changed, new[c]).otherwise(F.col(f"row.`{c}`")).alias(c) if c in new else F.col(f"row.`{c}`").alias(c)
+        for c in documents.columns
+    ]
+    return found.select(*columns)
+
+
 @query("op7_line_dedup")
 def op7_line_dedup(spark, sf):
     found = cut_lines(load(spark, sf, "documents").select("doc_id", "text"))

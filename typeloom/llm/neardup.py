@@ -88,6 +88,8 @@ def labelled_shingles(texts: list[str], words: dict | None = None) -> tuple[np.n
 def sketches(labelled: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """A row of sketch keys for each text that has shingles."""
     counts = counts[counts > 0]
+    if not len(counts):
+        return np.zeros((0, SKETCHES), np.uint64)
     starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
     keys = np.empty((len(counts), SKETCHES), np.uint64)
     for n, odd in enumerate(_ODD):
@@ -263,6 +265,15 @@ def classes(documents: DataFrame) -> DataFrame:
     return rows.join(named, "comp").drop("comp")
 
 
+def first_of_each(documents: DataFrame) -> DataFrame:
+    """One row of ``documents`` for each class: that with the least id; of rows alike in id and text, one."""
+    kept = classes(documents).select(F.col("first_id").alias("id"), F.col("class_id").alias("of")).distinct()
+    whole = F.struct(*(F.col(f"`{c}`") for c in documents.columns))
+    rows = documents.select(whole.alias("row"), digest(text_of()).alias("id")).join(kept, "id")
+    rows = rows.filter(F.col("row.doc_id").eqNullSafe(F.col("of")))
+    return rows.groupBy("id").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
+
+
 @query("op2_order_minhash")
 def op2_order_minhash(spark, sf):
     found = classes(load(spark, sf, "documents"))

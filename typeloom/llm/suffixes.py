@@ -8,12 +8,17 @@ at the anchors, and the reversed prefixes before them, are sorted by merging, wh
 polynomial hashes, a binary search giving their common extension.  The neighbours in both orders bound what can repeat
 and mostly show that it does; what they leave open is settled by the hashes of the strings themselves.  Every extension
 that counts is compared byte by byte before it is used.
+
+A group too large for one task is refined instead: what its anchors own is cut into cells, at equal distances from the
+anchor, and Spark counts for each cell the bytes that all its strings share and those that they make up together.  A
+cell repeats if the latter do, and cannot if the former do not; the strings of the few others are counted one by one.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +34,8 @@ LENGTH, GRAM = 400, 50
 GRAMS = LENGTH - GRAM + 1
 #: Bytes that a task hashes at once.  Longer texts are done in overlapping parts.
 PART = 1 << 20
-#: Anchors of a group that are compared in one go.  Larger groups are dealt out, and their strings counted by hash.
-GROUP = 1000
+#: Different anchors of a group that one task compares; larger groups are refined.  Starts in a cell.
+GROUP, CELL = 1000, 25
 
 _RANDOM = np.random.default_rng(7)
 _BYTES = _RANDOM.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -276,116 +281,138 @@ def _settle(hashed, strings, place, owned, at, group, least, most, open_rows, fo
                     found[r].append((x - b, x - b))
 
 
-_FOUND = pa.schema(
-    [("id", pa.binary()), ("first", pa.int64()), ("last", pa.int64()), ("key", pa.binary()), ("n", pa.int64())]
-)
-FOUND = "id binary, first long, last long, key binary, n long"
+FOUND = "id binary, first long, last long"
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by ``gram`` and ``salt`` become the repeated starts, and the keys of strings in dealt-out groups."""
+    """Rows that lie together by ``gram`` become the repeated starts of each text."""
     pending: list[dict] = []
     size = 0
-
-    def flush(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        for dealt in (False, True):
-            own = [r for r in rows if (r["salts"] > 1) == dealt]
-            if own:
-                out += (_by_hash if dealt else _by_suffix)(own)
-        if out:
-            columns = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t.type) for c, t in zip(columns, _FOUND, strict=True)], schema=_FOUND
-            )
-
     for batch in batches:
         for row in batch.to_pylist():
-            new = not pending or (row["gram"], row["salt"]) != (pending[-1]["gram"], pending[-1]["salt"])
-            if new and size > PART // 2:
-                yield from flush(pending)
+            # A group has GROUP strings of 751 bytes at most, so with it the rows still fit into a part.
+            if size > PART // 4 and row["gram"] != pending[-1]["gram"]:
+                yield _repeats(pending)
                 pending, size = [], 0
             pending.append(row)
             size += len(row["string"])
-    yield from flush(pending)
-
-
-def _by_suffix(rows: list[dict]) -> list[tuple]:
-    groups: dict[tuple, int] = {}
-    number = [groups.setdefault((r["gram"], r["salt"]), len(groups)) for r in rows]
-    out = []
-    # A group has 1,000 strings of 800 bytes at most; as many groups go together as fit into a part.
-    start = 0
-    while start < len(rows):
-        end, size = start, 0
-        while end < len(rows):
-            stop = end
-            while stop < len(rows) and number[stop] == number[end]:
-                stop += 1
-            more = sum(len(r["string"]) for r in rows[end:stop])
-            if end > start and size + more > PART:
-                break
-            end, size = stop, size + more
-        own = rows[start:end]
-        found = repeated_starts(
-            [r["string"] for r in own],
-            np.array([r["place"] for r in own], np.int64),
-            np.array([len(r["string"]) - LENGTH + 1 for r in own], np.int64),
-            np.array(number[start:end]),
-            np.array([r["closed"] for r in own], bool),
+    if pending:
+        yield _repeats(pending)
+
+
+def _repeats(rows: list[dict]) -> pa.RecordBatch:
+    found = repeated_starts(
+        [r["string"] for r in rows],
+        np.array([r["place"] for r in rows], np.int64),
+        np.array([len(r["string"]) - LENGTH + 1 for r in rows], np.int64),
+        np.unique([r["gram"] for r in rows], return_inverse=True)[1],
+        np.array([r["closed"] for r in rows], bool),
+    )
+    spans = [(r["id"], r["low"] + a, r["low"] + b) for r, own in zip(rows, found, strict=True) for a, b in own]
+    columns = list(zip(*spans, strict=True)) or [()] * 3
+    kinds = (pa.binary(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["id", "first", "last"]
+    )
+
+
+def _rows(made: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Batches of some thousand rows."""
+    while rows := list(islice(made, 4000)):
+        columns = zip(*rows, strict=True)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema
         )
-        for row, ranges in zip(own, found, strict=True):
-            out += [(row["id"], row["low"] + a, row["low"] + b, None, 0) for a, b in ranges]
-        start = end
-    return out
-
-
-def _by_hash(rows: list[dict]) -> list[tuple]:
-    held: dict[bytes, list] = {}
-    out = []
-    group = None
-    for row in rows:
-        if (row["gram"], row["salt"]) != group:
-            out += [(*where, key, n) for key, (where, n) in held.items()]
-            held, group = {}, (row["gram"], row["salt"])
-        text = memoryview(row["string"])
-        for start in range(len(text) - LENGTH + 1):
-            key = xxhash.xxh3_128_digest(text[start : start + LENGTH])
-            where = (row["id"], row["low"] + start, row["low"] + start)
-            if key not in held:
-                held[key] = [where, 1]
-            else:
-                out.append((*where, None, 0))
-                if held[key][1] == 1:
-                    out.append((*held[key][0], None, 0))
-                held[key][1] += 1
-    return out + [(*where, key, n) for key, (where, n) in held.items()]
 
 
-def _ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _owned(batches: Iterator[pa.RecordBatch], large: bool) -> Iterator[tuple]:
+    """Every sent anchor of the large groups or of the others: its fields, text id, first start, place and string."""
     for batch in batches:
         for row in batch.to_pylist():
-            if not row["sent"]:
-                continue
-            text = row["text"].encode("utf-8", "surrogatepass")
-            made = []
-            for s in row["sent"]:
+            sent = [s for s in row["sent"] or () if s["large"] == large]
+            text = row["text"].encode("utf-8", "surrogatepass") if sent else b""
+            for s in sent:
                 low, place, more = s["pack"] >> 18, (s["pack"] >> 9) & 511, s["pack"] & 511
-                made.append((s["gram"], s["salt"], s["salts"], row["id"], low, place, s["closed"], text[low : low + more + LENGTH]))
-            for start in range(0, len(made), 2000):
-                columns = zip(*made[start : start + 2000], strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t.type) for c, t in zip(columns, _SHIPPED, strict=True)], schema=_SHIPPED
-                )
+                yield s, row["id"], low, place, text[low : low + more + LENGTH]
 
 
 _SHIPPED = pa.schema(
     [
-        ("gram", pa.int64()), ("salt", pa.int32()), ("salts", pa.int32()), ("id", pa.binary()), ("low", pa.int64()),
-        ("place", pa.int64()), ("closed", pa.bool_()), ("string", pa.binary()),
+        ("gram", pa.int64()), ("id", pa.binary()), ("low", pa.int64()), ("place", pa.int64()), ("closed", pa.bool_()),
+        ("string", pa.binary()),
     ]
 )
-SHIPPED = "gram long, salt int, salts int, id binary, low long, place long, closed boolean, string binary"
+SHIPPED = "gram long, id binary, low long, place long, closed boolean, string binary"
+
+
+def _ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    made = ((s["gram"], i, low, place, s["closed"], text) for s, i, low, place, text in _owned(batches, False))
+    return _rows(made, _SHIPPED)
+
+
+_CELLS = pa.schema(
+    [
+        ("core", pa.binary()), ("whole", pa.binary()), ("id", pa.binary()), ("first", pa.int64()), ("last", pa.int64()),
+        ("n", pa.int64()),
+    ]
+)
+CELLS = "core binary, whole binary, id binary, first long, last long, n long"
+
+
+def cells(place: int, text: bytes) -> Iterator[tuple[bytes, bytes, int, int]]:
+    """Keys of the shared and of all bytes of each cell of the starts owned, and its first and last start."""
+    for cell in range((place - len(text) + LENGTH) // CELL, place // CELL + 1):
+        near, far = cell * CELL, cell * CELL + CELL - 1
+        first, last = max(place - far, 0), min(place - near, len(text) - LENGTH)
+        core, whole = text[place - near : place - far + LENGTH], text[first : last + LENGTH]
+        name = b"%d:" % cell
+        yield (
+            xxhash.xxh3_128_digest(name + core),
+            xxhash.xxh3_128_digest(b"%d:%d:" % (place - first, place - last) + whole),
+            first,
+            last,
+        )
+
+
+def _cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    made = (
+        (core, whole, i, low + first, low + last, 1 + s["closed"])
+        for s, i, low, place, text in _owned(batches, True)
+        for core, whole, first, last in cells(place, text)
+    )
+    return _rows(made, _CELLS)
+
+
+_STRINGS = pa.schema([("key", pa.binary()), ("id", pa.binary()), ("first", pa.int64()), ("n", pa.int64())])
+
+
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made() -> Iterator[tuple]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                text = row["text"].encode("utf-8", "surrogatepass")
+                for cell in row["cells"]:
+                    for at in range(cell["first"], cell["last"] + 1):
+                        yield xxhash.xxh3_128_digest(text[at : at + LENGTH]), row["id"], at, cell["n"]
+
+    return _rows(made(), _STRINGS)
+
+
+def refined(whole: DataFrame) -> list[DataFrame]:
+    """Repeated starts of the anchors of large groups that ``whole`` holds, as :data:`FOUND`."""
+    found = stored(whole.mapInArrow(_cell_rows, CELLS), "suffix-cells")
+    first = F.min(F.struct("id", "first", "last")).alias("of")
+    same = stored(found.groupBy("core", "whole").agg(F.sum("n").alias("n"), first), "suffix-cell-groups")
+    equal = found.join(same.filter(F.col("n") > 1).select("core", "whole"), ["core", "whole"])
+    cores = same.groupBy("core").agg(F.sum("n").alias("all"), F.min("n").alias("least"))
+    cores = stored(cores.filter((F.col("all") > 1) & (F.col("least") == 1)).select("core"), "suffix-cores")
+    left = same.join(cores, "core").select("of.*", F.least("n", F.lit(2)).alias("n"))
+    left = left.groupBy("id").agg(F.collect_list(F.struct("first", "last", "n")).alias("cells"))
+    strings = whole.select("id", "text").join(left, "id").mapInArrow(_strings, "key binary, id binary, first long, n long")
+    strings = stored(strings, "suffix-strings")
+    twice = strings.groupBy("key").agg(F.sum("n").alias("all")).filter(F.col("all") > 1).select("key")
+    late = strings.filter(F.col("n") == 1).join(stored(twice, "suffix-twice"), "key")
+    return [equal.select("id", "first", "last"), late.select("id", "first", F.col("first").alias("last"))]
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,43 +446,35 @@ def cut_repeats(documents: DataFrame) -> DataFrame:
     texts = rows.select("id", "text")
     found = texts.filter(F.octet_length("text") >= LENGTH)
     found = found.mapInArrow(_find_anchors, "id binary, gram array<long>, whole array<long>, pack array<long>")
-    found = found.dropDuplicates(["id"])
+    found = stored(found.dropDuplicates(["id"]), "suffix-anchors")
     found = found.select("id", F.explode(F.arrays_zip("gram", "whole", "pack")).alias("x")).select("id", "x.*")
+    # What is written is a plain side of a join, in which Spark can split the rows of a hot gram.
     shared = found.groupBy("gram").count().filter(F.col("count") > 1).select("gram")
-    found = stored(found.join(shared, "gram"), "suffix-anchors")
+    found = stored(found.join(stored(shared, "suffix-grams"), "gram"), "suffix-shared")
 
     same = found.groupBy("gram", "whole").agg(F.count("*").alias("n"), F.min(F.struct("id", "pack")).alias("first"))
     same = stored(same, "suffix-groups")
     kinds = same.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("least"))
-    kinds = kinds.filter((F.col("kinds") > 1) & (F.col("least") == 1))
-    salts = F.ceil(F.col("kinds") / GROUP).cast("int")
-    sent = same.join(kinds, "gram").select(
-        "first.id",
-        F.struct(
-            "gram",
-            F.pmod(F.xxhash64("first"), salts).cast("int").alias("salt"),
-            salts.alias("salts"),
-            F.col("first.pack").alias("pack"),
-            (F.col("n") > 1).alias("closed"),
-        ).alias("sent"),
+    kinds = stored(kinds.filter((F.col("kinds") > 1) & (F.col("least") == 1)), "suffix-kinds")
+    sent = F.struct(
+        "gram",
+        F.col("first.pack").alias("pack"),
+        (F.col("n") > 1).alias("closed"),
+        (F.col("kinds") > GROUP).alias("large"),
     )
+    sent = same.join(kinds, "gram").select("first.id", sent.alias("sent"))
     sent = sent.groupBy("id").agg(F.collect_list("sent").alias("sent"))
     involved = found.select("id").distinct().join(sent, "id", "left")
     whole = texts.groupBy("id").agg(F.first("text").alias("text")).join(involved, "id")
     whole = stored(whole, "suffix-texts")
 
-    shipped = whole.mapInArrow(_ship, SHIPPED)
-    shipped = shipped.repartition("gram", "salt").sortWithinPartitions("gram", "salt")
-    open_found = stored(shipped.mapInArrow(_compare, FOUND), "suffix-found")
-    # Strings of dealt-out groups repeat if all parts of the group together hold two.
-    keyed = open_found.filter(F.col("key").isNotNull())
-    twice = keyed.groupBy("key").agg(F.sum("n").alias("all")).filter(F.col("all") > 1).select("key")
-    late = keyed.filter(F.col("n") == 1).join(twice, "key")
+    shipped = whole.mapInArrow(_ship, SHIPPED).repartition("gram").sortWithinPartitions("gram")
+    compared = stored(shipped.mapInArrow(_compare, FOUND), "suffix-found")
 
     low = F.shiftright("pack", 18)
     equal = found.join(same.filter(F.col("n") > 1).select("gram", "whole"), ["gram", "whole"])
     spans = equal.select("id", low.alias("first"), (low + F.col("pack").bitwiseAND(F.lit(511)) + LENGTH).alias("end"))
-    for part in (open_found.filter(F.col("key").isNull()), late):
+    for part in (compared, *refined(whole)):
         spans = spans.unionByName(part.select("id", "first", (F.col("last") + LENGTH).alias("end")))
     spans = spans.groupBy("id").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
     cut = whole.select("id", "text").join(spans, "id").mapInArrow(

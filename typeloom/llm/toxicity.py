@@ -24,7 +24,7 @@ SAMPLE_ROWS = 20_000
 #: Terms that get parameters: those whose share differs most between the classes of the sample.
 MODEL_TERMS = 20_000
 #: Least standard deviations between the two shares of a term, and least texts of the sample that hold it.
-LEAST_Z, LEAST_TEXTS = 4.0, 5
+LEAST_Z, LEAST_TEXTS = 4.0, 3
 FACTORS, EPOCHS, RATE, DECAY = 8, 300, 0.05, 1e-5
 #: Score from which a text is called toxic.
 THRESHOLD = 0.7
