@@ -8,8 +8,8 @@ from typeloom.operators.scripts import run_script, split_scripts, split_text
 from typeloom.sources.tables import open_catalog, save_bucketed, sorted_layout, write_table
 
 PIECES = [
-    ("SELECT ';'; INSERT INTO t VALUES (1); -- comment;\nSELECT 2;",
-     ["SELECT ';'", "INSERT INTO t VALUES (1)", "-- comment;\nSELECT 2"]),
+    ("UPDATE trips SET note = 'a; b' WHERE km > 3; DELETE FROM trips; -- all; gone\nSELECT max(km) FROM trips;",
+     ["UPDATE trips SET note = 'a; b' WHERE km > 3", "DELETE FROM trips", "-- all; gone\nSELECT max(km) FROM trips"]),
     ("a;;\n ;b", ["a", "b"]),
     ("SELECT 'it''s; ok', \"a;\"\"b\"; x", ["SELECT 'it''s; ok', \"a;\"\"b\"", "x"]),
     ("/* a; b */ c; /*/ d; */ e", ["/* a; b */ c", "/*/ d; */ e"]),
@@ -99,6 +99,19 @@ def test_pages_cover_the_table_once(keyed):
         browse_after(keyed, ["a", "b"], [1])
 
 
+def test_pages_of_repeating_keys(spark, monkeypatch):
+    data = [(1, "a"), (1, "a"), (1, "a"), (1, "b"), (None, "z"), (None, None), (2, "c"), (1, "a"), (2, "c")]
+    df = spark.createDataFrame(data, "k int, v string").repartition(3)
+    ordered = rows(df, "k", "v")
+    assert [r for n in range(6) for r in rows(browse(df, ["k"], n, 2))] == ordered
+    monkeypatch.setattr("typeloom.operators.browse.TOP_ROWS", 2)
+    assert [r for n in range(6) for r in rows(browse(df, ["k"], n, 2))] == ordered
+    found = browse(df, ["k"], 0, 2).collect()
+    while page := browse_after(df, ["k"], found[-1].asDict(), 2, sum(r == found[-1] for r in found)).collect():
+        found += page
+    assert [tuple(r) for r in found] == ordered
+
+
 def test_keyset_bound_reaches_the_scan(spark, keyed, tmp_path):
     write_table(keyed, f"{tmp_path}/t", sort_by=["b"])
     plan = browse_after(spark.read.parquet(f"{tmp_path}/t"), ["b", "a"], [400, 1])._jdf.queryExecution().executedPlan().toString()

@@ -16,40 +16,40 @@ DECLARED = "database string, table string, cid int, name string, decl string, no
 @pytest.fixture(scope="module")
 def tables(spark):
     return {
-        "authors": spark.createDataFrame([(1, "Ada", True, 4.9), (2, "Alan", False, 4.7)],
-                                         "id bigint, name string, verified boolean, rating double"),
-        "books": spark.createDataFrame([(1, 1, "Notes"), (2, 2, "Numbers")], "id bigint, author_id bigint, title string"),
-        "reviews": spark.createDataFrame([(1, 1, 5)], "id bigint, book_id bigint, stars bigint"),
+        "stations": spark.createDataFrame([(7, "quay", True, 1.25), (9, "ridge", False, 812.0)],
+                                          "id bigint, label string, indoor boolean, metres double"),
+        "probes": spark.createDataFrame([(1, 9, "hPa"), (4, 7, "mm")], "id bigint, station bigint, unit string"),
+        "alarms": spark.createDataFrame([(1, 4, 5)], "id bigint, probe bigint, level bigint"),
     }
 
 
 CONSTRAINTS = [
-    Constraint("authors", PRIMARY_KEY, ("id",)),
-    Constraint("authors", UNIQUE, ("name",)),
-    Constraint("authors", UNIQUE, ("verified", "rating")),
-    Constraint("books", PRIMARY_KEY, ("id",)),
-    Constraint("books", FOREIGN_KEY, ("author_id",), "authors", ("id",)),
-    Constraint("books", UNIQUE, ("author_id",)),
-    Constraint("reviews", FOREIGN_KEY, ("book_id",), "books", ("id",)),
-    Constraint("reviews", FOREIGN_KEY, ("stars",), "missing", ("id",)),
+    Constraint("stations", PRIMARY_KEY, ("id",)),
+    Constraint("stations", UNIQUE, ("label",)),
+    Constraint("stations", UNIQUE, ("indoor", "metres")),
+    Constraint("probes", PRIMARY_KEY, ("id",)),
+    Constraint("probes", FOREIGN_KEY, ("station",), "stations", ("id",)),
+    Constraint("probes", UNIQUE, ("station",)),
+    Constraint("alarms", FOREIGN_KEY, ("probe",), "probes", ("id",)),
+    Constraint("alarms", FOREIGN_KEY, ("level",), "missing", ("id",)),
 ]
 
 
 def test_column_catalog(spark, tables):
     columns, constraints = columns_of(spark, tables), constraints_of(spark, CONSTRAINTS)
     found = catalog_columns(columns, constraints).select("table", "column", "type", "nullable", "key", "default")
-    assert rows(found.filter("table <> 'reviews'"), "table", "column") == [
-        ("authors", "id", "INT64", "YES", "PK", ""), ("authors", "name", "TEXT", "YES", "UQ", ""),
-        ("authors", "rating", "FLOAT64", "YES", "", ""), ("authors", "verified", "BOOL", "YES", "", ""),
-        ("books", "author_id", "INT64", "YES", "FK", ""), ("books", "id", "INT64", "YES", "PK", ""),
-        ("books", "title", "TEXT", "YES", "", ""),
+    assert rows(found.filter("table <> 'alarms'"), "table", "column") == [
+        ("probes", "id", "INT64", "YES", "PK", ""), ("probes", "station", "INT64", "YES", "FK", ""),
+        ("probes", "unit", "TEXT", "YES", "", ""),
+        ("stations", "id", "INT64", "YES", "PK", ""), ("stations", "indoor", "BOOL", "YES", "", ""),
+        ("stations", "label", "TEXT", "YES", "UQ", ""), ("stations", "metres", "FLOAT64", "YES", "", ""),
     ]
     edges = fk_edges(constraints, columns).select("from_table", "from_columns", "to_table", "to_columns")
-    assert rows(edges, "from_table") == [("books", ["author_id"], "authors", ["id"]), ("reviews", ["book_id"], "books", ["id"])]
+    assert rows(edges, "from_table") == [("alarms", ["probe"], "probes", ["id"]), ("probes", ["station"], "stations", ["id"])]
 
 
 def test_sizes_and_counts(spark, tables):
-    assert rows(catalog_tables(tables), "table") == [("authors", 4, 2), ("books", 3, 2), ("reviews", 3, 1)]
+    assert rows(catalog_tables(tables), "table") == [("alarms", 3, 1), ("probes", 3, 2), ("stations", 4, 2)]
     indexes = spark.createDataFrame([("main", "ix")], "database string, index string")
     views = spark.createDataFrame([], "database string, view string")
     found = catalog_summary(columns_of(spark, tables), indexes, views)
@@ -62,8 +62,8 @@ def test_fingerprint_follows_the_schema(spark, tables):
 
     first = prints(tables)
     assert first == prints({k: v.limit(0) for k, v in tables.items()})
-    changed = prints({**tables, "books": tables["books"].withColumnRenamed("title", "name")})
-    assert {t for t in first if first[t] != changed[t]} == {"books"}
+    changed = prints({**tables, "probes": tables["probes"].withColumnRenamed("unit", "name")})
+    assert {t for t in first if first[t] != changed[t]} == {"probes"}
 
 
 def test_table_ddl(spark, tables):
@@ -83,8 +83,8 @@ def test_table_ddl(spark, tables):
     ]
     assert rows(dropped_defaults(declared)) == [("d", "one", "Dropped default for one.at")]
     native = create_table_ddl(declared_of(columns_of(spark, tables), constraints_of(spark, CONSTRAINTS)))
-    assert rows(native.filter("table = 'books'").select("ddl")) == [
-        ('CREATE TABLE "books" (\n  "id" INT64 PRIMARY KEY,\n  "author_id" INT64,\n  "title" TEXT\n)',)
+    assert rows(native.filter("table = 'probes'").select("ddl")) == [
+        ('CREATE TABLE "probes" (\n  "id" INT64 PRIMARY KEY,\n  "station" INT64,\n  "unit" TEXT\n)',)
     ]
 
 
@@ -99,7 +99,7 @@ def test_index_ddl(spark):
 
 
 def test_view(spark, tables):
-    register_view(spark, "named", tables["authors"].select("name"))
+    register_view(spark, "named", tables["stations"].select("label"))
     assert spark.sql("SELECT count(*) FROM named").first()[0] == 2
 
 

@@ -191,3 +191,17 @@ def test_cascade_in_a_tree_and_cycles(spark):
     cycle = [Constraint("t", FOREIGN_KEY, ("parent",), "u", ("id",)), Constraint("u", FOREIGN_KEY, ("id",), "t", ("id",))]
     with pytest.raises(ValueError, match="cycle"):
         delete_cascade({**tables, "u": tables["t"]}, cycle, "t", spark.createDataFrame([(1,)], "id int"), ["id"])
+
+
+def test_cascade_down_a_long_chain(spark):
+    chain = spark.range(1, 1001).selectExpr("id", "CASE WHEN id > 1 THEN id - 1 END AS above")
+    loop = [Constraint("t", FOREIGN_KEY, ("above",), "t", ("id",))]
+    kept = delete_cascade({"t": chain}, loop, "t", spark.createDataFrame([(5,)], "id bigint"), ["id"])
+    assert sorted(r["id"] for r in kept["t"].collect()) == [1, 2, 3, 4]
+
+
+def test_edits_never_sort_the_log_to_aggregate_it(spark, base):
+    log = spark.createDataFrame([(1, "x", 1, "update", {"v": "2"})], LOG)
+    edits = spark.createDataFrame([(1, "x", 1, "v", "2")], "a int, b string, seq bigint, column string, value string")
+    for df in (apply_changes(base, log, ["a", "b"]), apply_updates(base, edits, ["a", "b"])):
+        assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()

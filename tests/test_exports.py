@@ -13,7 +13,7 @@ TEXTS = ["a,b", 'q"q', "two\nlines", "p|q", " lead ", "", None, "#hash", "cr\rcr
 
 @pytest.fixture(scope="module")
 def users(spark):
-    return spark.createDataFrame([(1, "Ada"), (2, None)], "id bigint, name string").coalesce(1)
+    return spark.createDataFrame([(10, "Kestrel"), (11, None)], "id bigint, name string").coalesce(1)
 
 
 def content(path):
@@ -23,7 +23,7 @@ def content(path):
 
 def test_csv(users, tmp_path):
     export_csv(users, f"{tmp_path}/out")
-    assert content(f"{tmp_path}/out") == "id,name\n1,Ada\n2,\n"
+    assert content(f"{tmp_path}/out") == "id,name\n10,Kestrel\n11,\n"
 
 
 def test_csv_quotes_only_what_needs_it(spark, tmp_path):
@@ -60,15 +60,15 @@ def test_markdown(spark, tmp_path):
 def test_sql_insert(users, tmp_path):
     export_sql_insert(users, 'us"ers', f"{tmp_path}/out")
     assert content(f"{tmp_path}/out") == (
-        'INSERT INTO "us""ers" ("id", "name") VALUES (1, \'Ada\');\n'
-        'INSERT INTO "us""ers" ("id", "name") VALUES (2, NULL);\n'
+        'INSERT INTO "us""ers" ("id", "name") VALUES (10, \'Kestrel\');\n'
+        'INSERT INTO "us""ers" ("id", "name") VALUES (11, NULL);\n'
     )
 
 
-def test_blobs_are_cut_unless_asked(spark, tmp_path):
+def test_blobs_are_whole_unless_asked(spark, tmp_path):
     df = spark.createDataFrame([(bytes(33),)], T.StructType().add("b", T.BinaryType())).coalesce(1)
-    export_csv(df, f"{tmp_path}/cut")
-    export_csv(df, f"{tmp_path}/full", full_blobs=True)
+    export_csv(df, f"{tmp_path}/cut", short_blobs=True)
+    export_csv(df, f"{tmp_path}/full")
     assert content(f"{tmp_path}/cut") == "b\n0x" + "00" * 16 + "… (33 bytes)\n"
     assert content(f"{tmp_path}/full") == "b\n0x" + "00" * 33 + "\n"
 
@@ -85,6 +85,6 @@ def test_dump_runs_in_sqlite(spark, users, tmp_path):
 
     export_dump({"users": users}, f"{tmp_path}/out", [Constraint("users", PRIMARY_KEY, ("id",))])
     database = sqlite3.connect(":memory:")
-    database.executescript(content(f"{tmp_path}/out/users/ddl") + content(f"{tmp_path}/out/users/rows"))
+    database.executescript(content(f"{tmp_path}/out/ddl/table=users") + content(f"{tmp_path}/out/rows/users"))
     assert database.execute("SELECT * FROM users ORDER BY id").fetchall() == rows(users, "id")
     assert [c[5] for c in database.execute("PRAGMA table_info(users)")] == [1, 0]

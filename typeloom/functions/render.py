@@ -13,7 +13,6 @@ from typeloom.functions.lexical import named, quote_text
 # A blob above the limit shows its first bytes only.
 BLOB_LIMIT, BLOB_SHOWN = 32, 16
 ELLIPSIS = "…"
-_MICROS_PER_DAY = 86_400_000_000
 
 
 def _hex(data: Column) -> Column:

@@ -22,7 +22,7 @@ from typeloom.functions.lexical import named, trim_blanks
 from typeloom.functions.types import INT64, NativeType, column_kind, native_type_of
 from typeloom.operators.audit import Constraint
 from typeloom.operators.numbering import NUMBER, number_rows
-from typeloom.session import checkpointed
+from typeloom.session import checkpointed, stored
 
 INSERT, UPDATE, DELETE = "insert", "update", "delete"
 
@@ -94,24 +94,41 @@ def _checked_column(column: Column, allowed: Sequence[str]) -> Column:
     return F.when(column.isin(*allowed), column).otherwise(F.raise_error(message).cast("string"))
 
 
-def _latest(seq: str, column: Column, name: str, value: Column) -> Column:
-    """The last write to a column as ``struct(seq, value)``, NULL when there is none.
+def _last_writes(writes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key: in ``__writes`` the last write to each column that is set, as ``struct(column, seq, value)``.
 
-    The value may itself be NULL: the struct tells "set to NULL" from "not set".
+    ``writes`` has the keys, ``seq``, ``column`` and ``value``.  The last ``seq`` per key and column is a number of fixed
+    width and found by hashing, pre-aggregated; only the writes that have it go on, and there are no more of them per key
+    than columns.  The value may be NULL: that a column is listed says that it is set.
     """
-    return F.max(F.when(column == name, F.struct(named(seq).alias("seq"), value.alias("value"))))
+    by = [*keys, "column"]
+    last = writes.groupBy(*by).agg(F.max("seq").alias("__last"))
+    last = last.select("__last", *[F.col(k).alias(f"{k}__of") for k in by])
+    newest = writes.join(last, reduce(and_, [F.col(k).eqNullSafe(F.col(f"{k}__of")) for k in by]))
+    newest = newest.filter(F.col("seq") == F.col("__last"))
+    entries = F.array_sort(F.collect_set(F.struct("column", "seq", "value")))
+    return newest.groupBy(*keys).agg(entries.alias("__writes"))
 
 
-def _merged(rows: DataFrame, base: DataFrame, writes: Mapping[str, Column], since: Column | None = None) -> DataFrame:
-    """The base columns of ``rows`` with their last writes applied; with ``since``, only later writes are."""
-    names = list(writes)
+def _last_write(name: str | None) -> Column:
+    """The last write to a column, NULL if there is none; of several with one ``seq`` that of the largest value."""
+    listed = F.coalesce("__writes", F.array())
+    return F.try_element_at(F.filter(listed, lambda w: w["column"].eqNullSafe(F.lit(name))), F.lit(-1))
+
+
+def _merged(rows: DataFrame, base: DataFrame, names: Sequence[str], since: Column | None = None) -> DataFrame:
+    """The base columns of ``rows`` with the last writes to ``names`` applied; with ``since`` set, only later writes are."""
+    rows = rows.withColumns({f"__write_{n}": _last_write(name) for n, name in enumerate(names)})
+    writes = {name: F.col(f"__write_{n}") for n, name in enumerate(names)}
     typed = with_typed_texts(rows, [(writes[name]["value"], base.schema[name]) for name in names])
     columns = []
     for name in base.columns:
         if name not in writes:
             columns.append(named(name))
             continue
-        applies = writes[name].isNotNull() if since is None else writes[name]["seq"] > since
+        applies = writes[name].isNotNull()
+        if since is not None:
+            applies = applies & (since.isNull() | (writes[name]["seq"] > since))
         columns.append(F.when(applies, _typed(names.index(name))).otherwise(named(name)).alias(name))
     return typed.select(*columns)
 
@@ -126,18 +143,10 @@ def apply_updates(
     """
     _require_keys(keys)
     settable = list(columns or base.columns)
-    writes = (
-        changes.select(*_renamed_keys(keys), "seq", _checked_column(F.col("column"), settable).alias("column"), "value")
-        .groupBy(*[_key_name(n) for n in range(len(keys))])
-        .agg(
-            *[
-                _latest("seq", F.col("column"), name, F.col("value")).alias(f"__write_{n}")
-                for n, name in enumerate(settable)
-            ]
-        )
-    )
-    joined = base.join(writes, key_match(keys), "left")
-    return _merged(joined, base, {name: F.col(f"__write_{n}") for n, name in enumerate(settable)})
+    checked = _checked_column(F.col("column"), settable).alias("column")
+    writes = changes.select(*_renamed_keys(keys), "seq", checked, "value")
+    joined = base.join(_last_writes(writes, [_key_name(n) for n in range(len(keys))]), key_match(keys), "left")
+    return _merged(joined, base, settable)
 
 
 def apply_deletes(base: DataFrame, keys_df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -224,23 +233,13 @@ def apply_changes(
     )
     log = log.select(*[named(k) for k in keys], "seq", known_op.alias("op"), "set")
     is_update = F.col("op") == UPDATE
-
-    def last_write(name: str) -> Column:
-        write = F.struct(F.col("seq").alias("seq"), F.col("set")[name].alias("value"))
-        return F.max(F.when(is_update & F.map_contains_key("set", name), write))
-
-    checked = log.withColumn("set", F.when(is_update, _checked_names(F.col("set"), settable)).otherwise(F.col("set")))
-    state = (
-        checked.select(*_renamed_keys(keys), "seq", "op", "set")
-        .groupBy(*[_key_name(n) for n in range(len(keys))])
-        .agg(
-            F.max(F.when(F.col("op") == DELETE, F.col("seq"))).alias("__deleted"),
-            *[last_write(name).alias(f"__write_{n}") for n, name in enumerate(settable)],
-        )
-    )
-    writes = {name: F.col(f"__write_{n}") for n, name in enumerate(settable)}
-
-    old = base.join(state, key_match(keys), "left").filter(F.col("__deleted").isNull())
+    checked = F.when(is_update, _checked_names(F.col("set"), settable))
+    # Every write to a cell is an entry, and every delete one of no column.
+    written = F.transform(F.map_entries(checked), lambda e: F.struct(e["key"].alias("column"), e["value"].alias("value")))
+    nothing = F.struct(F.lit(None).cast("string").alias("column"), F.lit(None).cast("string").alias("value"))
+    entries = F.when(is_update, written).otherwise(F.array(nothing))
+    writes = log.filter(F.col("op") != INSERT).select(*_renamed_keys(keys), "seq", F.inline(entries))
+    state = _last_writes(writes, [_key_name(n) for n in range(len(keys))])
 
     inserts = log.filter(F.col("op") == INSERT)
     others = F.map_filter(
@@ -252,10 +251,12 @@ def apply_changes(
         {**(defaults or {}), **{k: F.col(_key_name(n)) for n, k in enumerate(keys)}},
         extra=["__seq"],
     )
-    new = typed.join(state, key_match(keys), "left").filter(
-        F.col("__deleted").isNull() | (F.col("__seq") > F.col("__deleted"))
-    )
-    return _merged(old, base, writes).unionByName(_merged(new, base, writes, since=F.col("__seq")))
+    # A row of the table is older than every entry.
+    rows = base.withColumn("__seq", F.lit(None).cast(typed.schema["__seq"].dataType)).unionByName(typed)
+    met = rows.join(state, key_match(keys), "left")
+    deleted = _last_write(None)["seq"]
+    lives = deleted.isNull() | F.coalesce(F.col("__seq") > deleted, F.lit(False))
+    return _merged(met.filter(lives), base, settable, since=F.col("__seq"))
 
 
 def change_report(base: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -350,12 +351,31 @@ def _cut(table: DataFrame, hits: Sequence[tuple[Constraint, DataFrame]]) -> tupl
 
 
 def _reached_in_loop(edge: Constraint, rows: DataFrame, start: DataFrame) -> DataFrame:
-    """All keys reached from ``start`` within a table that refers to itself, level by level."""
-    reached = level = checkpointed(start)
+    """All keys reached from ``start`` within a table that refers to itself.
+
+    Each round doubles the step: it knows the key so many rows above each row, and reaches every row for which that key
+    is reached.  So rounds grow with the logarithm of the depth, and what each needs is stored, so that planning it
+    costs the same.  Once a round finds nothing there is nothing further down either.
+    """
     names = [_key_name(n) for n in range(len(edge.columns))]
+    above = [f"__above_{n}" for n in range(len(edge.columns))]
+    own = [named(c).alias(k) for c, k in zip(edge.ref_columns, names, strict=True)]
+    parent = [named(c).alias(k) for c, k in zip(edge.columns, above, strict=True)]
+    step = rows.select(*own, *parent).dropna().distinct()
+    reached = stored(start.dropna().distinct(), "reached")
     while True:
-        below = _referenced(edge, rows.join(level, _refers(edge), "left_semi"))
-        level = checkpointed(below.join(reached, names, "left_anti"))
-        if level.isEmpty():
+        step = stored(step, "reach")
+        upper = reached.select(*[F.col(k).alias(a) for k, a in zip(names, above, strict=True)])
+        found = stored(step.join(upper, above, "left_semi").select(*names).distinct(), "reached")
+        more = found.join(reached, names, "left_anti")
+        if more.isEmpty():
             return reached
-        reached = checkpointed(reached.unionByName(level))
+        reached = stored(reached.unionByName(more), "reached")
+        # Rows that are reached need no further step of their own.
+        open_rows = step.join(reached, names, "left_anti")
+        via = step.select(
+            *[F.col(k).alias(f"__via_{n}") for n, k in enumerate(names)],
+            *[F.col(a).alias(f"__next_{n}") for n, a in enumerate(above)],
+        )
+        met = reduce(and_, [F.col(a) == F.col(f"__via_{n}") for n, a in enumerate(above)])
+        step = open_rows.join(via, met).select(*names, *[F.col(f"__next_{n}").alias(a) for n, a in enumerate(above)]).distinct()

@@ -2,34 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from typeloom.functions.lexical import named
+from typeloom.session import stored
 
-MAX_BUCKETS = 512
 NUMBER = "row_number"
+_WITHIN = (1 << 33) - 1
 
 
-def number_rows(df: DataFrame, order_by: str) -> DataFrame:
-    """Add ``row_number``, dense from 1 in the order of a numeric column that is unique per row.
+def number_rows(df: DataFrame, order_by: str | Sequence[str]) -> DataFrame:
+    """Add ``row_number``, dense from 1 in the order of the given columns; rows that are equal in them may change places.
 
-    The rows are cut at quantiles of ``order_by``, numbered within each range in parallel, and shifted by the
-    counts of the ranges before.  The driver holds the cut points and the range counts: at most
-    ``MAX_BUCKETS`` of each.  ``df`` must give the same rows each time it is run.
+    Spark cuts the rows into sorted ranges, which are written; each row is numbered within its range by its place
+    there, and shifted by the counts of the ranges before.  Nothing passes through the driver, and a task run again
+    reads the same ranges.
     """
-    buckets = min(MAX_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    shares = [i / buckets for i in range(1, buckets)]
-    cuts = df.agg(F.approx_percentile(named(order_by), shares, 10 * buckets)).first()[0] if shares else []
-    bounds = F.array(*[F.lit(c) for c in sorted(set(cuts or []))])
-    bucket = F.size(F.filter(bounds, lambda bound: bound < named(order_by))) if cuts else F.lit(0)
-    ranged = df.withColumn("__bucket", bucket)
-
-    sizes = {r[0]: r[1] for r in ranged.groupBy("__bucket").count().collect()}
-    start, offsets = 0, []
-    for key in sorted(sizes):
-        offsets += [F.lit(key), F.lit(start).cast("bigint")]
-        start += sizes[key]
-    within = F.row_number().over(Window.partitionBy("__bucket").orderBy(named(order_by)))
-    shift: Column = F.create_map(*offsets)[F.col("__bucket")] if offsets else F.lit(0)
-    return ranged.withColumn(NUMBER, (shift + within).cast("bigint")).drop("__bucket")
+    order = [named(c) for c in ([order_by] if isinstance(order_by, str) else order_by)]
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # The id holds the range in its upper bits and the place in it below.
+    ranged = stored(ranged.withColumn("__id", F.monotonically_increasing_id()), "numbered")
+    ranged = ranged.withColumn("__range", F.shiftright("__id", 33))
+    sizes = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__size"))
+    # One row for each range, so a window over all of them is small, and so is what the join sends.
+    earlier = Window.partitionBy(F.lit(1)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__range", F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__start"))
+    number = F.col("__start") + F.col("__id").bitwiseAND(F.lit(_WITHIN)) + 1
+    numbered = ranged.join(starts, "__range").withColumn(NUMBER, number.cast("bigint"))
+    return numbered.drop("__id", "__range", "__start")

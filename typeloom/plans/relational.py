@@ -251,3 +251,21 @@ def browse_page(spark: SparkSession, sf: str) -> DataFrame:
 def page_after(spark: SparkSession, sf: str) -> DataFrame:
     keys = ["l_returnflag", "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice"]
     return browse_after(load(spark, sf, "lineitem").select(*keys), keys, ["N", 700, 0, 0, 0.0])
+
+
+@query(
+    "browse_after_ties",
+    """SELECT l_returnflag, l_linestatus, l_quantity, l_discount FROM lineitem
+       ORDER BY l_returnflag NULLS FIRST, l_linestatus, l_quantity, l_discount LIMIT 900""",
+)
+def pages_of_ties(spark: SparkSession, sf: str) -> DataFrame:
+    """Three pages after one another, by a key that a third of the rows share; nothing is lost or shown twice."""
+    lines = load(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_discount")
+    pages, found = browse(lines, ["l_returnflag"], 0, 300), []
+    page = pages
+    for _ in range(2):
+        found += page.collect()
+        last = found[-1]
+        page = browse_after(lines, ["l_returnflag"], last.asDict(), 300, sum(r == last for r in found))
+        pages = pages.unionByName(page)
+    return pages

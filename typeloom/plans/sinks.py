@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from typeloom.operators.audit import PRIMARY_KEY, Constraint
@@ -16,7 +18,7 @@ from typeloom.sources.exports import (
 )
 from typeloom.sources.sqlite_files import read_cells, sqlite_columns, sqlite_counts, sqlite_indexes
 from typeloom.sources.sqlite_shards import export_sqlite
-from typeloom.sources.tables import open_catalog, write_table
+from typeloom.sources.tables import open_catalog, save_bucketed, write_table
 
 ORDER_TEXTS = f"""CAST(o_orderkey AS VARCHAR) AS k, CAST(o_custkey AS VARCHAR) AS c, nullif(o_orderstatus, 'P') AS s,
     CAST(o_totalprice AS VARCHAR) AS p, strftime(o_orderdate, {SECONDS}) AS d,
@@ -114,12 +116,36 @@ def dump_lines(spark: SparkSession, sf: str) -> DataFrame:
     tables = {"orders": _orders(spark, sf), "nation": load(spark, sf, "nation")}
     keys = [Constraint("orders", PRIMARY_KEY, ("o_orderkey",)), Constraint("nation", PRIMARY_KEY, ("n_nationkey",))]
     export_dump(tables, path, keys)
-    parts = [
-        _lines(spark, f"{path}/{table}/{part}").select(F.lit(table).alias("table"), "value")
-        for table in tables
-        for part in ("ddl", "rows")
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    written = spark.read.option("lineSep", "\n").text(f"{path}/ddl").select("table", "value")
+    for table in tables:
+        written = written.unionByName(_lines(spark, f"{path}/rows/{table}").select(F.lit(table).alias("table"), "value"))
+    return written
+
+
+BLOB_HEX = "md5(o_orderpriority || '1') || md5(o_orderpriority || '2') || md5(o_orderpriority || '3')"
+
+
+@query(
+    "export_blobs",
+    f"""SELECT format, o_orderkey, '0x' || {BLOB_HEX} AS blob FROM orders, (SELECT unnest(['csv', 'json', 'markdown']) AS format)""",
+)
+def exported_blobs(spark: SparkSession, sf: str) -> DataFrame:
+    """Blobs of 48 bytes come out whole in every text format."""
+    path = fresh_path(spark, "export-blobs")
+    orders = load(spark, sf, "orders").select("o_orderkey", F.unhex(F.expr(BLOB_HEX)).alias("blob"))
+    export_csv(orders, f"{path}/csv")
+    export_json(orders, f"{path}/json")
+    export_markdown(orders, f"{path}/markdown")
+    schema = "o_orderkey bigint, blob string"
+    found = {
+        "csv": spark.read.schema(schema).csv(f"{path}/csv", header=True),
+        "json": spark.read.schema(schema).json(f"{path}/json"),
+        "markdown": _lines(spark, f"{path}/markdown/rows").select(F.split("value", r" ?\| ?").alias("cells")).select(
+            F.col("cells")[1].cast("bigint").alias("o_orderkey"), F.col("cells")[2].alias("blob")
+        ),
+    }
+    tagged = [df.select(F.lit(name).alias("format"), "*") for name, df in found.items()]
+    return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
 
 
 @query("sorted_table", "SELECT * FROM lineitem")
@@ -129,6 +155,42 @@ def sorted_table(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+@query(
+    "sorted_order",
+    """SELECT count(*) AS n, min(l_orderkey) AS low, max(l_orderkey) AS high, true AS files_in_order FROM lineitem""",
+)
+def sorted_order(spark: SparkSession, sf: str) -> DataFrame:
+    """The least and greatest key of each file of a sorted table: none begins before the one before it ends."""
+    path = fresh_path(spark, "sorted-table")
+    write_table(load(spark, sf, "lineitem"), path, sort_by=["l_orderkey", "l_linenumber"], files=8)
+    key = F.struct("l_orderkey", "l_linenumber")
+    files = spark.read.parquet(path).groupBy(F.input_file_name().alias("file"))
+    files = files.agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("low"), F.max(key).alias("high"))
+    # One row per file.
+    before = F.lag("high").over(Window.partitionBy(F.lit(1)).orderBy("low", "high"))
+    in_order = F.coalesce(before <= F.col("low"), F.lit(True))
+    files = files.withColumn("in_order", in_order)
+    return files.agg(
+        F.sum("n").alias("n"), F.min("low.l_orderkey").alias("low"), F.max("high.l_orderkey").alias("high"),
+        (F.every("in_order") & (F.count(F.lit(1)) > 1)).alias("files_in_order"),
+    )
+
+
+@query(
+    "bucketed_join",
+    """SELECT o_orderkey, o_totalprice, count(*) AS lines FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+       GROUP BY o_orderkey, o_totalprice""",
+)
+def bucketed_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Tables saved in buckets of their join key, joined as saved."""
+    name = uuid.uuid4().hex
+    save_bucketed(load(spark, sf, "orders"), f"orders_{name}", ["o_orderkey"], 8)
+    save_bucketed(load(spark, sf, "lineitem"), f"lineitem_{name}", ["l_orderkey"], 8)
+    orders, lines = spark.table(f"orders_{name}"), spark.table(f"lineitem_{name}")
+    joined = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    return joined.groupBy("o_orderkey", "o_totalprice").agg(F.count(F.lit(1)).alias("lines"))
+
+
 @query(
     "open_catalog",
     """SELECT n_name, r_name, count(*) AS customers FROM nation JOIN region ON n_regionkey = r_regionkey
