@@ -289,8 +289,8 @@ def test_near_copies(spark):
 def test_a_group_with_many_centres(spark):
     # All copies of one text differ in so many places that links are few, yet most share a sketch.
     rng = random.Random(9)
-    text = " ".join(f"word{n}" for n in range(300))
-    rows = [(n, copies(rng, text, 4 + n % 5)) for n in range(80)]
+    text = " ".join(f"word{n}" for n in range(150))
+    rows = [(n, copies(rng, text, 2 + n % 4)) for n in range(50)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     found = sorted(((r["doc_id"], r["class_id"], r["class_size"]) for r in neardup.classes(frame).collect()), key=same)
     assert found == brute_classes(rows)
@@ -410,3 +410,20 @@ def test_pipeline_of_awkward_rows(spark, tmp_path):
             docs = stage(spark, clashing(edges(spark, rows), *CLASH), str(tmp_path))
             assert {"doc_id", "text", "lang", "source", "n_chars"} <= set(docs.columns)
             assert docs.count() <= len(rows)
+
+
+def test_near_copies_far_from_their_centre(spark, monkeypatch):
+    """Groups in which most copies are no link of the text they come from, but of others changed further."""
+    rng = random.Random(13)
+    text = " ".join(f"word{n}" for n in range(150))
+    rows = [(0, text)]
+    for n in range(5):
+        child = copies(rng, text, 4 + n)
+        rows += [(100 * n + 100 + k, copies(rng, child, 1)) for k in range(6)]
+        rows += [(100 * n + 150 + k, " ".join(child.split()[: 125 + 4 * k])) for k in range(5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = brute_classes(rows)
+    for rounds in (8, 1):
+        monkeypatch.setattr(neardup, "ROUNDS", rounds)
+        found = sorted(((r["doc_id"], r["class_id"], r["class_size"]) for r in neardup.classes(frame).collect()), key=same)
+        assert found == wanted

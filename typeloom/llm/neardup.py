@@ -145,22 +145,33 @@ def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+#: A link needs so many common shingles for each of both texts' together: the threshold as a share of their sum.
+NEEDED = LEAST / (1 + LEAST) - 1e-12
+
+
 def aligned_share(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> float:
     """Labelled shingles matched by the best alignment of two sequences within the band, over all of both.
 
-    Labels make the shingles of a text distinct, so the alignment is a longest increasing sequence of common places.
     Zero if all common shingles in any order could not reach ``least``.
     """
+    in_a, in_b = _common(a, b)
+    return _aligned_share(in_a, in_b, len(a), len(b), least)
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the common shingles in ``a`` and in ``b``, in the order of ``b``."""
     order = np.argsort(a)
-    sorted_a = a[order]
-    at = np.minimum(np.searchsorted(sorted_a, b), len(a) - 1)
-    in_b = np.flatnonzero(sorted_a[at] == b)
-    in_a = order[at[in_b]]
-    near = np.abs(in_a - in_b) <= BAND * max(len(a), len(b)) + abs(len(a) - len(b))
-    in_a = in_a[near]
-    if len(in_a) < least * (len(a) + len(b) - len(in_a)):
-        return 0.0
+    at = np.minimum(np.searchsorted(a[order], b), len(a) - 1)
+    in_b = np.flatnonzero(a[order[at]] == b)
+    return order[at[in_b]], in_b
+
+
+def _aligned_share(in_a: np.ndarray, in_b: np.ndarray, size_a: int, size_b: int, least: float) -> float:
+    """Labels make the shingles of a text distinct, so the alignment is a longest increasing run of common places."""
+    in_a = in_a[np.abs(in_a - in_b) <= BAND * max(size_a, size_b) + abs(size_a - size_b)]
     common = len(in_a)
+    if common < (least - 1e-12) * (size_a + size_b - common):
+        return 0.0
     if common > 1 and (np.diff(in_a) < 0).any():
         tails: list[int] = []
         for place in in_a.tolist():
@@ -170,83 +181,128 @@ def aligned_share(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> float:
             else:
                 tails[n] = place
         common = len(tails)
-    return common / (len(a) + len(b) - common)
+    return common / (size_a + size_b - common)
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text against its centre: common shingles, whether they are a link, and what the centre lacks."""
     for batch in batches:
-        kept = []
+        rows: list[tuple] = []
         for left, right in zip(batch.column("x"), batch.column("y"), strict=True):
             a, b = (np.frombuffer(s.as_buffer(), np.uint64) for s in (left, right))
-            # Compared with whole numbers' quotient, so that 0.8 itself is a link.
-            kept.append(aligned_share(a, b) >= LEAST - 1e-12)
-        yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+            in_a, in_b = _common(a, b)
+            own = np.ones(len(a), bool)
+            own[in_a] = False
+            # Whole numbers' quotients, so that 0.8 itself is a link.
+            linked = _aligned_share(in_a, in_b, len(a), len(b), LEAST) >= LEAST - 1e-12
+            rows.append((len(a), len(b), len(in_a), linked, a[own].view(np.int64)))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
+        columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+        made = [pa.array(list(c), kind) for c, kind in zip(columns, kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("cid"), *made], names=TESTED_NAMES)
 
 
-def _similar_size(n: str, other: str):
-    """Shingle counts that allow a link."""
-    return F.least(n, other) >= F.lit(LEAST - 1e-12) * F.greatest(n, other)
+TESTED_NAMES = ["id", "cid", "n", "cn", "common", "linked", "novel"]
+TESTED = "id binary, cid binary, n long, cn long, common long, linked boolean, novel array<long>"
+#: Rounds of new centres before what is left of a bucket is compared pair by pair.
+ROUNDS = 8
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    return rows.select(F.least("id", "cid").alias("a"), F.greatest("id", "cid").alias("b")).distinct()
+def _tested(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
+    sided = pairs.join(sequences.select("id", F.col("shingles").alias("x")), "id")
+    sided = sided.join(sequences.select(F.col("id").alias("cid"), F.col("shingles").alias("y")), "cid")
+    return stored(sided.select("id", "cid", "x", "y").mapInArrow(_compare, TESTED), "near-tested")
 
 
-def _linked(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
-    sided = pairs.join(sequences.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-    sided = sided.join(sequences.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    return stored(sided.select("a", "b", "x", "y").mapInArrow(_verify, "a binary, b binary"), "near-links")
+def _links(tested: DataFrame) -> DataFrame:
+    return tested.filter("linked").select(F.col("id").alias("a"), F.col("cid").alias("b"))
+
+
+def _centred(buckets: DataFrame) -> DataFrame:
+    """Each text of a bucket with the bucket's centre: the text that meets most others in all buckets.
+
+    The text that others were copied from meets more copies than a copy does, so it is the centre of most buckets of
+    its group, and what is compared with it is compared once.
+    """
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > 1)
+    shared = stored(buckets.join(sizes, "key"), "near-shared")
+    met = shared.groupBy("id").agg(F.sum("size").alias("met"))
+    ranked = shared.join(stored(met, "near-met"), "id").select("key", "id", F.struct("met", F.xxhash64("id"), "id").alias("rank"))
+    centres = ranked.groupBy("key").agg(F.max("rank").alias("centre")).select("key", F.col("centre.id").alias("cid"))
+    return shared.select("key", "id").join(stored(centres, "near-centres"), "key")
+
+
+def _named(rows: DataFrame, comps: DataFrame, id: str, comp: str) -> DataFrame:
+    """``rows`` with the component of the text ``id``, itself if it has no link."""
+    names = comps.select(F.col("id").alias(id), F.col("comp").alias(comp))
+    return rows.join(names, id, "left").withColumn(comp, F.coalesce(comp, id))
+
+
+def _shorter_pairs(tested: DataFrame) -> DataFrame:
+    """Pairs around a centre of which one could be a link within what it has in common with the centre.
+
+    Those are texts shorter by some percent, which are found by their lengths in steps of one percent.
+    """
+    step = lambda n: F.floor(F.log(n) / F.log(F.lit(1.01)))
+    most = F.floor(F.col("common") / F.lit(NEEDED)) - F.col("n")
+    low = F.greatest(F.ceil(F.col("n") * F.lit(LEAST - 1e-9)), F.lit(1))
+    open_ = tested.filter(F.col("comp") != F.col("ccomp")).withColumn("most", most).withColumn("low", low)
+    open_ = open_.filter(F.col("most") >= F.col("low"))
+    open_ = open_.select(
+        "cid", "id", "low", "most", "comp", F.explode(F.sequence(step(F.col("low")), step(F.col("most")))).alias("step")
+    )
+    others = tested.select(
+        "cid", F.col("id").alias("other"), F.col("n").alias("size"), F.col("comp").alias("other_comp"), step(F.col("n")).alias("step")
+    )
+    met = open_.join(others, ["cid", "step"])
+    met = met.filter(F.col("size").between(F.col("low"), F.col("most")) & (F.col("comp") != F.col("other_comp")))
+    return met.select("id", F.col("other").alias("cid")).distinct()
 
 
 def near_classes(texts: DataFrame) -> DataFrame:
     """``id`` and ``comp`` of every text that has a link; ``texts`` has ``id`` and ``text``, equal ids for equal texts.
 
-    In each bucket of equal sketches every text is compared with one centre, the same for most buckets of a group.
-    Then, as long as a bucket holds several components, more of its texts outside its largest component become centres
-    for those in other components, at last all of them.  So no link is lost, while a group of copies costs each copy a
-    few comparisons and never all pairs.
+    In each bucket of equal sketches every text is compared with one centre, mostly the same for all buckets of a group;
+    so a group of copies costs each copy a few comparisons and never all pairs.  Take a link between two texts of a
+    bucket that are then in different components: one of them is no link of the centre.  Either the link fits into what
+    that text has in common with the centre, and the other is a shorter text, or the two share a shingle that the centre
+    lacks.  The former pairs are compared, and the latter meet in the buckets of the next round, by centre and shingle.
+    So no link between texts that share a sketch is lost.
     """
     found = texts.mapInArrow(_sketch, "id binary, n long, keys array<long>").dropDuplicates(["id"])
-    found = stored(found.select("id", "n", F.explode("keys").alias("key")), "near-sketches")
-    centre = F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("cid"), F.col("n").alias("cn")))
-    centres = found.groupBy("key").agg(centre.alias("centre"), F.count("*").alias("size")).filter(F.col("size") > 1)
-    buckets = stored(found.join(centres.select("key", "centre.cid", "centre.cn"), "key"), "near-buckets")
-    involved = buckets.select("id").distinct()
-    whole = texts.groupBy("id").agg(F.first("text").alias("text")).join(involved, "id")
+    buckets = _centred(stored(found.select("id", F.explode("keys").alias("key")), "near-sketches"))
+    buckets = stored(buckets, "near-buckets")
+    whole = texts.groupBy("id").agg(F.first("text").alias("text")).join(buckets.select("id").distinct(), "id")
     sequences = stored(whole.mapInArrow(_sequences, "id binary, shingles binary"), "near-sequences")
-
-    tested = stored(_pairs(buckets.filter((F.col("id") != F.col("cid")) & _similar_size("n", "cn"))), "near-pairs")
-    links = _linked(tested, sequences)
+    links: DataFrame | None = None
+    for round_ in range(ROUNDS):
+        tested = _tested(buckets.filter(F.col("id") != F.col("cid")).select("id", "cid").distinct(), sequences)
+        links = _links(tested) if links is None else links.unionByName(_links(tested))
+        comps = components(links)
+        tested = _named(_named(tested.drop("linked"), comps, "id", "comp"), comps, "cid", "ccomp")
+        mixed = tested.filter(F.col("comp") != F.col("ccomp")).select("cid").distinct()
+        tested = stored(tested.join(mixed, "cid"), "near-mixed")
+        if tested.isEmpty():
+            return comps
+        if not round_:
+            # Only texts around a centre that is not linked to all of them can still be compared.
+            sequences = stored(sequences.join(tested.select("id").distinct(), "id"), "near-sequences")
+        shorter = _tested(_shorter_pairs(tested), sequences)
+        links = links.unionByName(_links(shorter))
+        keys = tested.select("id", "comp", F.explode("novel").alias("shingle"), "cid")
+        keys = keys.select("id", "comp", F.xxhash64("cid", "shingle").alias("key"))
+        # Buckets of one component, or of one text, have nothing left to find.
+        of_many = keys.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+        of_many = stored(of_many.filter(F.col("low") != F.col("high")).select("key"), "near-keys")
+        keys = stored(keys.join(of_many, "key").select("key", "id").distinct(), "near-sketches")
+        if keys.isEmpty():
+            return components(links)
+        buckets = stored(_centred(keys), "near-buckets")
     comps = components(links)
-    centres_wanted = 8
-    while True:
-        rows = buckets.select("key", "id", "n").join(comps, "id", "left")
-        rows = rows.withColumn("comp", F.coalesce("comp", "id"))
-        held = rows.groupBy("key", "comp").agg(F.count("*").alias("size"))
-        mixed = held.groupBy("key").agg(
-            F.max(F.struct("size", "comp")).alias("major"), F.count("*").alias("comps"), F.sum("size").alias("size")
-        )
-        mixed = mixed.filter(F.col("comps") > 1)
-        mixed = mixed.select("key", F.col("major.comp").alias("major"), (F.col("size") - F.col("major.size")).alias("minor"))
-        rows = stored(rows.join(mixed, "key"), "near-mixed")
-        most = rows.agg(F.max("minor")).collect()[0][0]
-        if most is None:
-            break
-        # Up to ``centres_wanted`` of the texts outside the largest component, or all of them.
-        share = F.pmod(F.xxhash64("id", "key"), F.lit(1 << 20)) / float(1 << 20)
-        chosen = rows.filter((F.col("comp") != F.col("major")) & (share * F.col("minor") < centres_wanted))
-        chosen = chosen.select("key", F.col("id").alias("cid"), F.col("n").alias("cn"), F.col("comp").alias("ccomp"))
-        fresh = rows.join(chosen, "key").filter((F.col("comp") != F.col("ccomp")) & _similar_size("n", "cn"))
-        fresh = stored(_pairs(fresh).join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        new = _linked(fresh, sequences)
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            comps = components(links)
-        if most <= centres_wanted:
-            break
-        tested = tested.unionByName(fresh)
-        centres_wanted *= 16
-    return comps
+    rest = _named(buckets.select("key", "id"), comps, "id", "comp")
+    others = rest.select("key", F.col("id").alias("cid"), F.col("comp").alias("ccomp"))
+    rest = rest.join(others, "key").filter((F.col("comp") != F.col("ccomp")) & (F.col("id") < F.col("cid")))
+    return components(links.unionByName(_links(_tested(rest.select("id", "cid").distinct(), sequences))))
 
 
 def classes(documents: DataFrame) -> DataFrame:
