@@ -10,7 +10,8 @@ from tests.conftest import rows
 from typeloom.operators.coerce import assign_types
 from typeloom.plans.migrate import MigrateOptions, migrate
 from typeloom.sources.sqlite_files import (
-    KeySpace, SqliteRawReader, connect, list_files, occupied_spans, read_cells, sqlite_columns, sqlite_counts, sqlite_indexes,
+    BATCH_BYTES, KeySpace, SqliteRawReader, connect, list_files, occupied_spans, read_cells, sqlite_columns, sqlite_counts, sqlite_indexes,
+    table_conditions,
 )
 from typeloom.sources.sqlite_shards import export_sqlite, export_sqlite_database
 from typeloom.sources.tables import open_catalog
@@ -106,6 +107,47 @@ def test_wide_rows_make_small_batches(spark, make):
     assert read_cells(spark, path, "t").selectExpr("sum(octet_length(v.b))").first()[0] == 200 * 500000
 
 
+def test_narrow_rows_before_wide_ones(spark, make):
+    path = make("grow.db", """CREATE TABLE t (id INTEGER PRIMARY KEY, v);
+        WITH RECURSIVE n(i) AS (SELECT 1 UNION ALL SELECT i + 1 FROM n WHERE i < 20300)
+        INSERT INTO t SELECT i, CASE WHEN i <= 20000 THEN i ELSE zeroblob(200000) END FROM n;""")
+    reader = SqliteRawReader({"path": path, "table": "t", "split_bytes": str(10**9)}, ["id", "v"])
+    batches = [(batch.num_rows, batch.nbytes) for share in reader.partitions() for batch in reader.read(share)]
+    assert sum(n for n, _ in batches) == 20300 and max(size for _, size in batches) < 2 * BATCH_BYTES
+
+
+@pytest.mark.parametrize("rows_", [5_000, 40_000])
+def test_shares_of_text_keys_together_cost_one_scan(make, rows_):
+    path = make("text.db", f"""CREATE TABLE t (k TEXT PRIMARY KEY, v) WITHOUT ROWID;
+        WITH RECURSIVE n(i) AS (SELECT 1 UNION ALL SELECT i + 1 FROM n WHERE i < {rows_})
+        INSERT INTO t SELECT '{"https://example.com/" * 5}' || hex(randomblob(8)), i FROM n;""")
+
+    def steps(connection, sql, bound=()):
+        count = [0]
+        connection.set_progress_handler(lambda: count.__setitem__(0, count[0] + 1), 100)
+        found = connection.execute(sql, bound).fetchall()
+        connection.set_progress_handler(None, 0)
+        return count[0], found
+
+    with closing(connect(path)) as connection:
+        started = steps(connection, "SELECT count(v) FROM t")[0]
+        count = [0]
+        connection.set_progress_handler(lambda: count.__setitem__(0, count[0] + 1), 100)
+        shares = table_conditions(connection, "t", 16)
+        connection.set_progress_handler(None, 0)
+        # Planning takes probes, not scans.
+        assert count[0] < 400
+        work, sizes = 0, []
+        for share in shares:
+            held = 0
+            for c in share:
+                more, found = steps(connection, f"SELECT count(v) FROM t WHERE {c.sql}", c.bound)
+                work, held = work + more, held + found[0][0]
+            sizes.append(held)
+    assert sum(sizes) == rows_ and work < 1.5 * started + 20
+    assert max(sizes) <= 2 * rows_ / 16
+
+
 def test_tables_without_rowid(spark, make):
     path = make("wr.db", """CREATE TABLE i (k INTEGER, v TEXT, PRIMARY KEY (k, v)) WITHOUT ROWID;
         CREATE TABLE s (k TEXT PRIMARY KEY, v) WITHOUT ROWID;
@@ -179,9 +221,35 @@ def test_migrate(spark, make, tmp_path):
     assert not os.path.exists(f"{out}/_staged")
 
 
+def test_migrating_twice(spark, make, tmp_path):
+    out = f"{tmp_path}/out"
+    make("a.db", "CREATE TABLE t (id INT); INSERT INTO t VALUES (1); CREATE TABLE old (x INT);")
+    migrate(spark, f"{tmp_path}/a.db", out)
+    make("b.db", "CREATE TABLE t (id INT); INSERT INTO t VALUES (2);")
+    with pytest.raises(FileExistsError, match="mode overwrite"):
+        migrate(spark, f"{tmp_path}/b.db", out)
+    assert rows(spark.read.parquet(f"{out}/tables/t.parquet")) == [(1,)]
+    migrate(spark, f"{tmp_path}/b.db", out, MigrateOptions(mode="overwrite"))
+    assert rows(spark.read.parquet(f"{out}/tables/t.parquet")) == [(2,)]
+    assert os.listdir(f"{out}/tables") == ["t.parquet"]
+    with pytest.raises(ValueError, match="mode must be"):
+        migrate(spark, f"{tmp_path}/b.db", out, MigrateOptions(mode="append"))
+
+
+def test_only_files_that_hold_a_table_are_read(spark, make, tmp_path):
+    for n in range(3):
+        make(f"{n}.db", f"CREATE TABLE t{n} (id INT); INSERT INTO t{n} VALUES ({n});")
+    reader = SqliteRawReader({"path": str(tmp_path), "table": "t1", "files": f'["{tmp_path}/1.db"]'}, ["id"])
+    assert [share.files for share in reader.partitions()] == [[f"{tmp_path}/1.db"]]
+    report = migrate(spark, f"{tmp_path}/*.db", f"{tmp_path}/out")
+    assert sorted((r["table"], r["source_rows"]) for r in report.collect()) == [("t0", 1), ("t1", 1), ("t2", 1)]
+
+
 def test_migrate_fails_on_request(spark, make, tmp_path):
+    out = f"{tmp_path}/out"
     with pytest.raises(Exception, match="column n: not a INT64: bad"):
-        migrate(spark, make("odd.db", ODD.replace(", 5)", ", 'five')")), f"{tmp_path}/out", MigrateOptions(on_error="fail"))
+        migrate(spark, make("odd.db", ODD.replace(", 5)", ", 'five')")), out, MigrateOptions(on_error="fail"))
+    assert not os.path.exists(f"{out}/_staged")
 
 
 def test_conflicting_declarations_are_refused(spark, make, tmp_path):

@@ -20,6 +20,7 @@ from typeloom.functions.floats import plain_double
 from typeloom.functions.lexical import (
     DECIMAL_PATTERN, folded, parse_boolean, parse_double, parse_integer, trim_blanks,
 )
+from typeloom.functions.render import uuid_text
 
 CELL = (
     T.StructType()
@@ -231,7 +232,10 @@ class Payload:
             N.BOOL: [(self.z, _same), (self.i, lambda i: i != 0), (self.t, parse_boolean)],
             N.TEXT: [(self.t, _same), (self.i, lambda i: i.cast("string")), (self.r, plain_double)],
             N.BLOB: [(self.b, _same)],
-            N.UUID: [(self.t, lambda t: F.when(t.rlike(UUID_SHAPE), F.lower(t)))],
+            N.UUID: [
+                (self.t, lambda t: F.when(t.rlike(UUID_SHAPE), F.lower(t))),
+                (self.b, lambda b: F.when(F.octet_length(b) == 16, uuid_text(b))),
+            ],
             N.DECIMAL: [
                 (self.i, lambda i: i.try_cast(dtype)),
                 (self.r, lambda r: r.try_cast(dtype)),

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from typeloom.functions.lexical import BLANKS, FLOAT_PATTERN, UNSIGNED_PATTERN, folded, is_word, trim_blanks
+from typeloom.functions.lexical import BLANKS, FLOAT_PATTERN, UNSIGNED_PATTERN, folded, is_word, named, trim_blanks
 
 # Native type names.
 INT64, FLOAT64, BOOL, TEXT, BLOB = "INT64", "FLOAT64", "BOOL", "TEXT", "BLOB"
@@ -78,9 +78,12 @@ def _bracketed(declared: Column, part: int) -> Column:
 def map_declared_types(df: DataFrame, column: str) -> DataFrame:
     """Add ``type``, ``precision``, ``scale`` and ``native_type`` (the type as SQL text) for a declaration column.
 
-    A NULL declaration counts as an empty one, which is text.
+    A NULL declaration counts as an empty one, which is text.  Columns of these names are refused.
     """
-    declared = F.btrim(F.coalesce(F.col(column), F.lit("")), F.lit(BLANKS))
+    taken = {"type", "precision", "scale", "native_type"} & set(df.columns)
+    if taken:
+        raise ValueError(f"columns {sorted(taken)} would be overwritten")
+    declared = F.btrim(F.coalesce(named(column), F.lit("")), F.lit(BLANKS))
     is_decimal, stated = F.col("type") == DECIMAL, F.col("__precision").isNotNull()
     clamped = F.greatest(F.least("__precision", F.lit(MAX_PRECISION)), F.lit(1))
     scale = F.least(F.coalesce("__scale", F.lit(0)), clamped)
@@ -114,7 +117,7 @@ def affinity(native_type: Column) -> Column:
 
 def sqlite_affinity(df: DataFrame, column: str) -> DataFrame:
     """Add ``affinity`` for a column of native type names."""
-    return df.withColumn("affinity", affinity(F.col(column)))
+    return df.withColumn("affinity", affinity(named(column)))
 
 
 def is_safe_default(default: Column) -> Column:
@@ -130,7 +133,7 @@ def is_safe_default(default: Column) -> Column:
 
 def screen_defaults(df: DataFrame, column: str) -> DataFrame:
     """Add ``safe`` for a column of default expressions."""
-    return df.withColumn("safe", is_safe_default(F.col(column)))
+    return df.withColumn("safe", is_safe_default(named(column)))
 
 
 @dataclass(frozen=True)

@@ -56,6 +56,9 @@ def check_types(df: DataFrame, types: Mapping[str, str], epoch_unit: str | None
     The columns hold cells, values or edited text.  ``errors`` is NULL for a clean row.  Cells that do not fit
     are NULL in their typed column.  Filter rows before, not after: the check is a barrier to the optimizer.
     """
+    taken = {REJECTED, ERRORS} & set(df.columns)
+    if taken:
+        raise ValueError(f"columns {sorted(taken)} would be given twice")
     time_type = df.sparkSession.conf.get("spark.sql.timeType.enabled", "false") == "true"
     targets = {name: N.NativeType.parse(text) for name, text in types.items()}
     typed_name = {name: f"__typed_{n}" for n, name in enumerate(targets)}

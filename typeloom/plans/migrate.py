@@ -12,7 +12,7 @@ from typeloom.functions.types import map_declared_types
 from typeloom.operators.audit import reconcile
 from typeloom.operators.catalog import create_index_ddl, create_table_ddl, dropped_defaults
 from typeloom.operators.coerce import ERRORS, REJECTED, check_types, failing
-from typeloom.sources.folders import drop_folder
+from typeloom.sources.folders import drop_folder, path_exists
 from typeloom.sources.sqlite_files import SPLIT_BYTES, read_cells, sqlite_columns, sqlite_counts, sqlite_indexes
 from typeloom.sources.tables import write_table
 
@@ -26,7 +26,8 @@ REPORT_TYPE = (
 class MigrateOptions:
     """``on_error``: ``reject`` keeps bad rows apart, ``fail`` stops at the first.  ``sort``: lay each table out
     by its key, or its first index, as a stand-in for the index.  ``tables_at_once``: small tables would leave
-    most of a cluster idle one by one."""
+    most of a cluster idle one by one.  ``mode``: ``errorifexists`` refuses a folder that holds a migration,
+    ``overwrite`` replaces it whole."""
 
     on_error: str = "reject"
     create_indexes: bool = True
@@ -34,6 +35,7 @@ class MigrateOptions:
     epoch_unit: str | None = None
     split_bytes: int = SPLIT_BYTES
     tables_at_once: int = 4
+    mode: str = "errorifexists"
 
 
 @dataclass(frozen=True)
@@ -41,6 +43,7 @@ class _Table:
     name: str
     types: dict[str, str]
     keys: list[str]
+    files: list[str]
 
 
 @dataclass(frozen=True)
@@ -59,11 +62,13 @@ def _once(rows: DataFrame, what: str, *identity: str) -> DataFrame:
     return distinct
 
 
-def _plan(declared: DataFrame) -> list[_Table]:
+def _plan(declared: DataFrame, held: DataFrame) -> list[_Table]:
+    """Every table, with the files that hold it."""
+    files = {r["table"]: sorted(r["files"]) for r in held.collect()}
     rows = map_declared_types(declared, "decl").orderBy("table", "cid").collect()
     tables: dict[str, _Table] = {}
     for row in rows:
-        table = tables.setdefault(row["table"], _Table(row["table"], {}, []))
+        table = tables.setdefault(row["table"], _Table(row["table"], {}, [], files[row["table"]]))
         table.types[row["name"]] = row["native_type"]
         if row["pk"]:
             table.keys.append(row["name"])
@@ -78,7 +83,7 @@ def _load(
     Staging cuts the lineage at the slow scan: sorting samples its input, and a lost executor must not mean
     reading the source again.
     """
-    cells = read_cells(spark, path, table.name, list(table.types), options.split_bytes)
+    cells = read_cells(spark, path, table.name, list(table.types), options.split_bytes, table.files)
     checked = check_types(cells, table.types, options.epoch_unit)
     if options.on_error == "fail":
         checked = failing(checked).withColumns({REJECTED: F.lit(False), ERRORS: F.lit(None).cast("string")})
@@ -90,7 +95,7 @@ def _load(
     good, rejects = f"{out}/tables/{table.name}.parquet", f"{out}/rejects/{table.name}.parquet"
     write_table(rows.filter(~F.col(REJECTED)).drop(REJECTED, ERRORS), good, "overwrite", sort_by or None)
     write_table(rows.filter(REJECTED).drop(REJECTED), rejects, "overwrite")
-    counted = sqlite_counts(spark, path, table.name, options.split_bytes).agg(F.sum("rows")).first()[0]
+    counted = sqlite_counts(spark, path, table.name, options.split_bytes, table.files).agg(F.sum("rows")).first()[0]
     return _Loaded(counted or 0, spark.read.parquet(good), spark.read.parquet(rejects))
 
 
@@ -102,8 +107,11 @@ def migrate(spark: SparkSession, path: str, out: str, options: MigrateOptions =
     """
     if options.on_error not in ("reject", "fail"):
         raise ValueError(f"on_error must be reject or fail, not {options.on_error!r}")
-    declared = _once(sqlite_columns(spark, path), "tables", "table", "cid")
-    tables = _plan(declared)
+    if options.mode not in ("errorifexists", "overwrite"):
+        raise ValueError(f"mode must be errorifexists or overwrite, not {options.mode!r}")
+    columns = sqlite_columns(spark, path)
+    declared = _once(columns, "tables", "table", "cid")
+    tables = _plan(declared, columns.groupBy("table").agg(F.collect_set("file").alias("files")))
     if not tables:
         raise ValueError(f"no tables in {path!r}")
 
@@ -120,8 +128,16 @@ def migrate(spark: SparkSession, path: str, out: str, options: MigrateOptions =
         sort_by = table.keys or (list(indexed[0]["columns"]) if indexed else [])
         return _load(spark, path, out, table, sort_by if options.sort else [], options)
 
-    with ThreadPoolExecutor(options.tables_at_once) as pool:
-        loaded = dict(zip([t.name for t in tables], pool.map(load, tables)))
+    for folder in ("tables", "rejects", "report"):
+        if path_exists(spark, f"{out}/{folder}"):
+            if options.mode != "overwrite":
+                raise FileExistsError(f"{out!r} holds a migration; mode overwrite would replace it")
+            drop_folder(spark, f"{out}/{folder}")
+    try:
+        with ThreadPoolExecutor(options.tables_at_once) as pool:
+            loaded = dict(zip([t.name for t in tables], pool.map(load, tables)))
+    finally:
+        drop_folder(spark, f"{out}/_staged")
 
     counts = reconcile({}, {t: x.good for t, x in loaded.items()}, {t: x.rejects for t, x in loaded.items()})
     outcome = {r["table"]: r for r in counts.collect()}
@@ -141,6 +157,5 @@ def migrate(spark: SparkSession, path: str, out: str, options: MigrateOptions =
              warnings.get(name, []), ddl[name], statements)
         )
     result = spark.createDataFrame(report, REPORT_TYPE)
-    result.coalesce(1).write.mode("overwrite").json(f"{out}/report")
-    drop_folder(spark, f"{out}/_staged")
+    result.coalesce(1).write.json(f"{out}/report")
     return result

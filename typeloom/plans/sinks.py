@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from typeloom.operators.audit import PRIMARY_KEY, Constraint
 from typeloom.operators.coerce import assign_types
+from typeloom.operators.numbering import NUMBER, number_rows
 from typeloom.plans.migrate import migrate
 from typeloom.plans.registry import load, query
 from typeloom.plans.values import SECONDS
-from typeloom.session import fresh_path
+from typeloom.session import fresh_path, stored
 from typeloom.sources.exports import (
     CSV_OPTIONS, export_csv, export_dump, export_json, export_markdown, export_sql_insert,
 )
@@ -222,6 +223,40 @@ def sqlite_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return good
 
 
+KEYED = """CREATE TABLE "{table}" ("k" {declared}, "line" INTEGER, "price" REAL, PRIMARY KEY ("k", "line")) WITHOUT ROWID"""
+
+
+@query(
+    "sqlite_keyed_tables",
+    """WITH lines AS (SELECT l_orderkey AS o, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_extendedprice) AS line,
+            l_extendedprice AS price FROM lineitem)
+       SELECT 'number' AS kind, CAST(o AS VARCHAR) AS k, line, price FROM lines
+       UNION ALL SELECT 'text', 'https://example.com/a/long/common/path/to/every/one/of/the/orders/of/this/shop/' || o, line, price
+           FROM lines
+       UNION ALL SELECT 'mixed', CASE WHEN o % 2 = 0 THEN 'o' || o ELSE CAST(o AS VARCHAR) END, line, price FROM lines""",
+)
+def sqlite_keyed_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Tables without row id, by number, by long text and by both, cut into many shares and read back."""
+    lines = number_rows(load(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber", "l_extendedprice"])
+    lines = lines.select(F.col("l_orderkey").alias("o"), F.col(NUMBER).alias("line"), F.col("l_extendedprice").alias("price"))
+    lines = stored(lines, "keyed-lines")
+    path = "https://example.com/a/long/common/path/to/every/one/of/the/orders/of/this/shop/"
+    keys = {
+        "number": ("INTEGER", F.col("o")),
+        "text": ("TEXT", F.concat(F.lit(path), "o")),
+        "mixed": ("", F.when(F.col("o") % 2 == 0, F.concat(F.lit("o"), "o")).otherwise(F.col("o").cast("string"))),
+    }
+    found = []
+    for kind, (declared, key) in keys.items():
+        folder = fresh_path(spark, f"sqlite-{kind}")
+        ddl = KEYED.format(table=kind, declared=declared)
+        export_sqlite(lines.select(key.alias("k"), "line", "price"), folder, kind, ddl=ddl)
+        cells = read_cells(spark, folder, kind, split_bytes=65_536)
+        text = F.coalesce(F.col("k.t"), F.col("k.i").cast("string"))
+        found.append(cells.select(F.lit(kind).alias("kind"), text.alias("k"), F.col("line.i").alias("line"), F.col("price.r").alias("price")))
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @query(
     "sqlite_storage",
     """SELECT 'o_orderkey' AS "column", 'integer' AS k, count(*) AS n FROM orders

@@ -318,3 +318,28 @@ def parse_typed(spark: SparkSession, sf: str) -> DataFrame:
     return edits.select("event_id", "type_name", value.alias("v")).select(
         "event_id", "type_name", "v.int64", "v.float64", "v.bool", "v.text"
     )
+
+
+@query(
+    "assign_uuids",
+    """WITH named AS (SELECT doc_id, md5(CAST(doc_id AS VARCHAR)) AS h FROM documents)
+       SELECT doc_id, CASE WHEN doc_id % 4 < 3 THEN substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4)
+           || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) END AS id, doc_id % 4 = 3 AS rejected FROM named""",
+)
+def assigned_uuids(spark: SparkSession, sf: str) -> DataFrame:
+    """UUIDs as text and as 16 bytes; blobs of another length are rejected."""
+    digits = F.md5(F.col("doc_id").cast("string"))
+    dashed = F.upper(F.regexp_replace(digits, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"))
+    part = F.col("doc_id") % 4
+    cell = F.struct(
+        F.when(part == 0, "text").otherwise("blob").alias("k"),
+        F.lit(None).cast("bigint").alias("i"),
+        F.lit(None).cast("double").alias("r"),
+        F.when(part == 0, dashed).alias("t"),
+        F.when(part != 0, F.unhex(F.when(part == 3, F.left(digits, F.lit(30))).otherwise(digits))).alias("b"),
+    )
+    cells = load(spark, sf, "documents").select("doc_id", cell.alias("id"))
+    good, rejects = assign_types(cells, {"id": "UUID"})
+    return good.withColumn("rejected", F.lit(False)).unionByName(
+        rejects.drop(ERRORS).withColumn("rejected", F.lit(True))
+    )

@@ -19,7 +19,7 @@ import os
 import sqlite3
 from collections.abc import Iterator
 from contextlib import closing
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -164,7 +164,7 @@ def sqlite_indexes(spark: SparkSession, path: str) -> DataFrame:
 
 # --- rows ---------------------------------------------------------------------------------------------------
 
-# How many bytes of a text key place it among the others.
+# How many bytes of a text key, after those common to all, place it among the others.
 KEY_BYTES = 64
 _FIRST_ID, _LAST_ID = -(2**63), 2**63 - 1
 Span = tuple[int, int]
@@ -190,46 +190,57 @@ class Scan(InputPartition):
 class KeySpace:
     """Keys of one storage class, placed on a line of integers in key order.
 
-    A number sits at its integer part, a text at its first bytes read as one large number.
+    A number sits at its integer part, a text at its first bytes after those that all keys begin with, read as one
+    large number.  ``floor`` and ``ceiling`` bound the class; a span that has its own bound on a side needs neither there,
+    so that the index is searched with one bound on each side, the tight one.
     """
 
     connection: sqlite3.Connection
     table: str
     key: str
     text: bool = False
-    within: str = "1"
+    floor: str = ""
+    ceiling: str = ""
+    prefix: bytes = b""
 
     def _bound(self, place: int):
         if not self.text:
             return place
-        return place.to_bytes(KEY_BYTES + 1, "big")[1:].rstrip(b"\0")
+        return self.prefix + place.to_bytes(KEY_BYTES + 1, "big")[1:].rstrip(b"\0")
 
     def _place(self, value) -> int:
         if self.text:
-            return int.from_bytes(value[:KEY_BYTES].ljust(KEY_BYTES, b"\0"), "big")
+            return int.from_bytes(value[len(self.prefix):][:KEY_BYTES].ljust(KEY_BYTES, b"\0"), "big")
         if math.isinf(value):
             return _LAST_ID if value > 0 else _FIRST_ID
         return max(_FIRST_ID, min(_LAST_ID, math.floor(value)))
 
     def condition(self, span: Span | None) -> Condition:
         """The keys of a span; of the whole space for None."""
-        if span is None:
-            return Condition(self.within)
         marker = "CAST(? AS TEXT)" if self.text else "?"
         first, last = (0, 256**KEY_BYTES - 1) if self.text else (_FIRST_ID, _LAST_ID)
-        low, high = span
-        tests, bound = [self.within], []
+        low, high = span or (first, last)
+        tests, bound = [], []
         # Open at both ends of the line: infinities sit there.
         if low > first:
             tests.append(f"{self.key} >= {marker}")
             bound.append(self._bound(low))
+        elif self.floor:
+            tests.append(f"{self.key} {self.floor}")
         if high < last:
             tests.append(f"{self.key} < {marker}")
             bound.append(self._bound(high + 1))
-        return Condition(" AND ".join(tests), tuple(bound))
+        elif self.ceiling:
+            tests.append(f"{self.key} {self.ceiling}")
+        return Condition(" AND ".join(tests) or "1", tuple(bound))
 
     def edges(self, span: Span | None) -> list[Span]:
         """The span from the first to the last key within a span, by two index probes; none if it is empty."""
+        found = self.ends(span)
+        return [(self._place(found[0]), self._place(found[1]))] if found else []
+
+    def ends(self, span: Span | None = None) -> list:
+        """The first and the last key within a span, by two index probes; none if it is empty."""
         condition, shown = self.condition(span), f"CAST({self.key} AS BLOB)" if self.text else self.key
         found = []
         for way in ("ASC", "DESC"):
@@ -239,8 +250,8 @@ class KeySpace:
             row = self.connection.execute(query, condition.bound).fetchone()
             if row is None:
                 return []
-            found.append(self._place(row[0]))
-        return [(found[0], found[1])]
+            found.append(row[0])
+        return found
 
 
 def _width(spans: list[Span]) -> int:
@@ -317,8 +328,11 @@ def table_conditions(connection: sqlite3.Connection, table: str, pieces: int) ->
     key, declared = quoted(leading[1]), (leading[2] or "").upper()
     is_text = "INT" not in declared and any(word in declared for word in ("CHAR", "CLOB", "TEXT"))
     numeric = not is_text and bool(declared) and ("INT" in declared or "BLOB" not in declared)
-    numbers = KeySpace(connection, table, key, within=f"{key} < ''")
-    texts = KeySpace(connection, table, key, text=True, within=f"({key} >= '' AND {key} < x'')")
+    numbers = KeySpace(connection, table, key, ceiling="< ''")
+    texts = KeySpace(connection, table, key, text=True, floor=">= ''", ceiling="< x''")
+    if not numeric:
+        # All keys between the first and the last begin with what these two have in common.
+        texts = replace(texts, prefix=os.path.commonprefix(texts.ends()) or b"")
     shares = []
     for space, cut in ((numbers, not is_text), (texts, not numeric)):
         if cut:
@@ -328,10 +342,16 @@ def table_conditions(connection: sqlite3.Connection, table: str, pieces: int) ->
     return [*shares, [Condition(f"{key} >= x''")]]
 
 
+def chosen_files(options) -> list[str]:
+    """The files that the options name one by one, or all of their path."""
+    return json.loads(options["files"]) if "files" in options else list_files(options["path"])
+
+
 class SqliteRawSource(DataSource):
     """Rows of one table as cells, from every file that has the table.
 
-    Options: ``table``; ``columns`` (a JSON list, default all); ``split_bytes`` (what one task reads, about).
+    Options: ``table``; ``columns`` (a JSON list, default all); ``split_bytes`` (what one task reads, about); ``files``
+    (a JSON list of the files to read, default all of ``path``).
     """
 
     @classmethod
@@ -341,7 +361,7 @@ class SqliteRawSource(DataSource):
     def _columns(self) -> list[str]:
         if "columns" in self.options:
             return json.loads(self.options["columns"])
-        for file in list_files(self.options["path"]):
+        for file in chosen_files(self.options):
             with closing(connect(file)) as connection:
                 names = [row[1] for row in table_columns(connection, self.options["table"])]
             if names:
@@ -359,13 +379,13 @@ class SqliteRawReader(DataSourceReader):
     """Small files are read in groups, large ones cut into key ranges."""
 
     def __init__(self, options, columns: list[str]) -> None:
-        self.path, self.table, self.columns = options["path"], options["table"], columns
+        self.options, self.table, self.columns = dict(options), options["table"], columns
         self.split_bytes = int(options.get("split_bytes", str(SPLIT_BYTES)))
 
     def partitions(self) -> list[InputPartition]:
         scans: list[InputPartition] = []
         group, held = [], 0
-        for file in list_files(self.path):
+        for file in chosen_files(self.options):
             size = os.path.getsize(file)
             if size > self.split_bytes:
                 scans += self._cut(file, -(-size // self.split_bytes))
@@ -403,11 +423,16 @@ class SqliteRawReader(DataSourceReader):
                     yield connection.execute(f"{query} WHERE {condition.sql}", condition.bound), file
 
     def _batches(self, cursor: sqlite3.Cursor) -> Iterator[pa.RecordBatch]:
-        size = 64
-        while rows := cursor.fetchmany(size):
-            batch = pa.RecordBatch.from_arrays([cell_array(values) for values in zip(*rows)], self.columns)
-            yield batch
-            size = max(1, min(BATCH_ROWS, 4 * size, BATCH_BYTES * len(rows) // max(1, batch.nbytes)))
+        """Batches that close as soon as they hold enough bytes, so that none is larger by more than one row."""
+        rows, held = [], 0
+        for row in cursor:
+            rows.append(row)
+            held += 16 * len(row) + sum(len(v) for v in row if isinstance(v, (str, bytes)))
+            if held >= BATCH_BYTES or len(rows) == BATCH_ROWS:
+                yield pa.RecordBatch.from_arrays([cell_array(values) for values in zip(*rows)], self.columns)
+                rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([cell_array(values) for values in zip(*rows)], self.columns)
 
 
 class SqliteCountSource(DataSource):
@@ -464,17 +489,29 @@ def _uniform_cells(values: tuple, only: type | None) -> pa.StructArray:
 
 
 def read_cells(
-    spark: SparkSession, path: str, table: str, columns: list[str] | None = None, split_bytes: int = SPLIT_BYTES
+    spark: SparkSession,
+    path: str,
+    table: str,
+    columns: list[str] | None = None,
+    split_bytes: int = SPLIT_BYTES,
+    files: list[str] | None = None,
 ) -> DataFrame:
-    """The rows of a table over all files of ``path``, every column a cell struct."""
+    """The rows of a table over all files of ``path``, or some ``files`` of it, every column a cell struct."""
     spark.dataSource.register(SqliteRawSource)
     reader = spark.read.format("sqlite_raw").option("table", table).option("split_bytes", split_bytes)
     if columns is not None:
         reader = reader.option("columns", json.dumps(columns))
+    if files is not None:
+        reader = reader.option("files", json.dumps(files))
     return reader.load(path)
 
 
-def sqlite_counts(spark: SparkSession, path: str, table: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+def sqlite_counts(
+    spark: SparkSession, path: str, table: str, split_bytes: int = SPLIT_BYTES, files: list[str] | None = None
+) -> DataFrame:
     """``(file, rows)`` of a table; a large file has a row per share."""
     spark.dataSource.register(SqliteCountSource)
-    return spark.read.format("sqlite_counts").option("table", table).option("split_bytes", split_bytes).load(path)
+    reader = spark.read.format("sqlite_counts").option("table", table).option("split_bytes", split_bytes)
+    if files is not None:
+        reader = reader.option("files", json.dumps(files))
+    return reader.load(path)
