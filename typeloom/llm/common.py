@@ -1,31 +1,20 @@
-"""What the corpus operators share: stored intermediate tables, row keys and pieces of Arrow batches."""
+"""What the corpus operators share: row keys, null-free texts and pieces of Arrow batches; and stored tables."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from typeloom.session import fresh_path
+from typeloom.session import stored
+
+__all__ = ["PIECE_CHARS", "digest", "pieces", "stored", "text_of"]
 
 #: Characters of text that a task turns into arrays at once.
 PIECE_CHARS = 1_000_000
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: its lineage ends there, and a lost executor costs nothing.
-
-    The files go when the application ends.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_of(column: str = "text") -> Column:
     """A text column in which a null is the empty text."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -134,6 +134,8 @@ def overlaps(documents: DataFrame) -> DataFrame:
     lines = texts.select("id", place.alias("place"), full, F.explode(F.arrays_zip("lines", "sizes")).alias("line"))
     lines = lines.select("id", "place", "full", "line.lines", "line.sizes").filter(F.col("sizes") > 0).drop("sizes")
     held = lines.groupBy("lines").agg(F.min("place").alias("first"), F.count("*").alias("n")).filter(F.col("n") > 1)
+    # Written, it is a plain side of the join, in which Spark can split the rows of a hot line.
+    held = stored(held, "line-holders")
     shared = lines.join(held, "lines").filter(F.col("id") != F.col("first.id"))
     pairs = shared.groupBy("id", F.col("first.id").alias("other")).agg(
         F.min("n").alias("rarest"), F.count("*").alias("n"), F.first("full").alias("full"), F.first("first.doc_id").alias("of")
