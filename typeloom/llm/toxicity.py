@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,10 +23,12 @@ from typeloom.llm.registry import load, query
 #: Labelled rows that the machine is fitted on: those first by a hash of their id.
 SAMPLE_ROWS = 20_000
 #: Terms that get parameters: those whose share differs most between the classes of the sample.
-MODEL_TERMS = 20_000
+MODEL_TERMS = 2_000
 #: Least standard deviations between the two shares of a term, and least texts of the sample that hold it.
 LEAST_Z, LEAST_TEXTS = 4.0, 3
-FACTORS, EPOCHS, RATE, DECAY = 8, 300, 0.05, 1e-5
+FACTORS, EPOCHS, RATE, DECAY = 8, 120, 0.05, 1e-5
+#: Lengths of word beginnings that are terms; further ones stand for as many words, or more, that begin alike.
+STEMS, ALIKE = range(3, 8), (2, 4)
 #: Score from which a text is called toxic.
 THRESHOLD = 0.7
 
@@ -34,8 +37,17 @@ _TERM_BITS = (1 << 28) - 1
 
 
 def hashed_terms(text: str) -> set[int]:
-    """Hashes of the distinct words of a text, in lower case."""
-    return {zlib.crc32(word.encode()) & _TERM_BITS for word in set(_WORD.findall(text.lower()))}
+    """Hashes of the distinct words of a text, in lower case, and of their beginnings.
+
+    Languages that compound put an insult in front of other words, so a beginning is a term too, and another one if
+    several words share it.
+    """
+    words = set(_WORD.findall(text.lower()))
+    stems = Counter(word[:n] for word in words for n in STEMS if len(word) > n)
+    terms = [*words, *(stem + "*" for stem in stems)]
+    for least in ALIKE:
+        terms += [f"{stem}*{least}" for stem, count in stems.items() if count >= least]
+    return {zlib.crc32(term.encode()) & _TERM_BITS for term in terms}
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
