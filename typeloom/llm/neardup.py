@@ -185,7 +185,7 @@ def _aligned_share(in_a: np.ndarray, in_b: np.ndarray, size_a: int, size_b: int,
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text against its centre: common shingles, whether they are a link, and what the centre lacks."""
+    """Each text against its centre: common shingles, whether they are a link, and some that the centre lacks."""
     for batch in batches:
         rows: list[tuple] = []
         for left, right in zip(batch.column("x"), batch.column("y"), strict=True):
@@ -195,7 +195,11 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own[in_a] = False
             # Whole numbers' quotients, so that 0.8 itself is a link.
             linked = _aligned_share(in_a, in_b, len(a), len(b), LEAST) >= LEAST - 1e-12
-            rows.append((len(a), len(b), len(in_a), linked, a[own].view(np.int64)))
+            # A text that is a link of this one has four fifths of its length, so they share so many at least of what the
+            # centre lacks, and therefore one of all but so many, in any order that is the same for all texts.
+            needed = max(int(np.ceil(LEAST * len(a) - 1e-9)) - len(in_a), 1)
+            novel = np.sort(a[own])
+            rows.append((len(a), len(b), len(in_a), linked, novel[: max(len(novel) - needed + 1, 0)].view(np.int64)))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
         columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
         made = [pa.array(list(c), kind) for c, kind in zip(columns, kinds, strict=True)]
@@ -265,7 +269,7 @@ def near_classes(texts: DataFrame) -> DataFrame:
     In each bucket of equal sketches every text is compared with one centre, mostly the same for all buckets of a group;
     so a group of copies costs each copy a few comparisons and never all pairs.  Take a link between two texts of a
     bucket that are then in different components: one of them is no link of the centre.  Either the link fits into what
-    that text has in common with the centre, and the other is a shorter text, or the two share a shingle that the centre
+    that text has in common with the centre, and the other is a shorter text, or the two share shingles that the centre
     lacks.  The former pairs are compared, and the latter meet in the buckets of the next round, by centre and shingle.
     So no link between texts that share a sketch is lost.
     """
@@ -274,10 +278,10 @@ def near_classes(texts: DataFrame) -> DataFrame:
     buckets = stored(buckets, "near-buckets")
     whole = texts.groupBy("id").agg(F.first("text").alias("text")).join(buckets.select("id").distinct(), "id")
     sequences = stored(whole.mapInArrow(_sequences, "id binary, shingles binary"), "near-sequences")
-    links: DataFrame | None = None
+    comps: DataFrame | None = None
     for round_ in range(ROUNDS):
         tested = _tested(buckets.filter(F.col("id") != F.col("cid")).select("id", "cid").distinct(), sequences)
-        links = _links(tested) if links is None else links.unionByName(_links(tested))
+        links = _links(tested) if comps is None else links.unionByName(_links(tested))
         comps = components(links)
         tested = _named(_named(tested.drop("linked"), comps, "id", "comp"), comps, "cid", "ccomp")
         mixed = tested.filter(F.col("comp") != F.col("ccomp")).select("cid").distinct()
@@ -288,7 +292,8 @@ def near_classes(texts: DataFrame) -> DataFrame:
             # Only texts around a centre that is not linked to all of them can still be compared.
             sequences = stored(sequences.join(tested.select("id").distinct(), "id"), "near-sequences")
         shorter = _tested(_shorter_pairs(tested), sequences)
-        links = links.unionByName(_links(shorter))
+        # What is known is a star for each component.
+        links = comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(_links(shorter))
         keys = tested.select("id", "comp", F.explode("novel").alias("shingle"), "cid")
         keys = keys.select("id", "comp", F.xxhash64("cid", "shingle").alias("key"))
         # Buckets of one component, or of one text, have nothing left to find.
