@@ -423,7 +423,7 @@ def test_near_copies_far_from_their_centre(spark, monkeypatch):
         rows += [(100 * n + 150 + k, " ".join(child.split()[: 125 + 4 * k])) for k in range(5)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     wanted = brute_classes(rows)
-    for rounds in (8, 1):
+    for rounds in (2, 1):
         monkeypatch.setattr(neardup, "ROUNDS", rounds)
         found = sorted(((r["doc_id"], r["class_id"], r["class_size"]) for r in neardup.classes(frame).collect()), key=same)
         assert found == wanted

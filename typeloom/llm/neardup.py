@@ -10,7 +10,7 @@ are candidates.  A candidate pair is a link if an alignment of the two sequences
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -208,8 +208,9 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 TESTED_NAMES = ["id", "cid", "n", "cn", "common", "linked", "novel"]
 TESTED = "id binary, cid binary, n long, cn long, common long, linked boolean, novel array<long>"
-#: Rounds of new centres before what is left of a bucket is compared pair by pair.
-ROUNDS = 8
+#: Rounds of centres.  Texts that are then still open, each unlike the centres it met, are compared with all open ones
+#: that share a sketch with it.
+ROUNDS = 2
 
 
 def _tested(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
@@ -222,18 +223,28 @@ def _links(tested: DataFrame) -> DataFrame:
     return tested.filter("linked").select(F.col("id").alias("a"), F.col("cid").alias("b"))
 
 
-def _centred(buckets: DataFrame) -> DataFrame:
+def _centred(buckets: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = stored) -> DataFrame:
     """Each text of a bucket with the bucket's centre: the text that meets most others in all buckets.
 
     The text that others were copied from meets more copies than a copy does, so it is the centre of most buckets of
-    its group, and what is compared with it is compared once.
+    its group, and what is compared with it is compared once.  What ``keep`` writes is a plain side of a join, in which
+    Spark can split the rows of a hot bucket.
     """
     sizes = buckets.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > 1)
-    shared = stored(buckets.join(sizes, "key"), "near-shared")
+    shared = keep(buckets.join(sizes, "key"), "near-shared")
     met = shared.groupBy("id").agg(F.sum("size").alias("met"))
-    ranked = shared.join(stored(met, "near-met"), "id").select("key", "id", F.struct("met", F.xxhash64("id"), "id").alias("rank"))
+    ranked = shared.join(keep(met, "near-met"), "id").select("key", "id", F.struct("met", F.xxhash64("id"), "id").alias("rank"))
     centres = ranked.groupBy("key").agg(F.max("rank").alias("centre")).select("key", F.col("centre.id").alias("cid"))
-    return shared.select("key", "id").join(stored(centres, "near-centres"), "key")
+    return shared.select("key", "id").join(keep(centres, "near-centres"), "key")
+
+
+def _joined(comps: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components with some more links; those that are known are a star each."""
+    if comps is None:
+        return components(links)
+    if links.isEmpty():
+        return comps
+    return components(comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(links))
 
 
 def _named(rows: DataFrame, comps: DataFrame, id: str, comp: str) -> DataFrame:
@@ -276,13 +287,14 @@ def near_classes(texts: DataFrame) -> DataFrame:
     found = texts.mapInArrow(_sketch, "id binary, n long, keys array<long>").dropDuplicates(["id"])
     buckets = _centred(stored(found.select("id", F.explode("keys").alias("key")), "near-sketches"))
     buckets = stored(buckets, "near-buckets")
+    sketched = buckets.select("key", "id")
     whole = texts.groupBy("id").agg(F.first("text").alias("text")).join(buckets.select("id").distinct(), "id")
     sequences = stored(whole.mapInArrow(_sequences, "id binary, shingles binary"), "near-sequences")
-    comps: DataFrame | None = None
+    comps = links = None
     for round_ in range(ROUNDS):
         tested = _tested(buckets.filter(F.col("id") != F.col("cid")).select("id", "cid").distinct(), sequences)
-        links = _links(tested) if comps is None else links.unionByName(_links(tested))
-        comps = components(links)
+        links = _links(tested) if links is None else links.unionByName(_links(tested))
+        comps = _joined(comps, links)
         tested = _named(_named(tested.drop("linked"), comps, "id", "comp"), comps, "cid", "ccomp")
         mixed = tested.filter(F.col("comp") != F.col("ccomp")).select("cid").distinct()
         tested = stored(tested.join(mixed, "cid"), "near-mixed")
@@ -292,8 +304,7 @@ def near_classes(texts: DataFrame) -> DataFrame:
             # Only texts around a centre that is not linked to all of them can still be compared.
             sequences = stored(sequences.join(tested.select("id").distinct(), "id"), "near-sequences")
         shorter = _tested(_shorter_pairs(tested), sequences)
-        # What is known is a star for each component.
-        links = comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(_links(shorter))
+        links = _links(shorter)
         keys = tested.select("id", "comp", F.explode("novel").alias("shingle"), "cid")
         keys = keys.select("id", "comp", F.xxhash64("cid", "shingle").alias("key"))
         # Buckets of one component, or of one text, have nothing left to find.
@@ -301,13 +312,16 @@ def near_classes(texts: DataFrame) -> DataFrame:
         of_many = stored(of_many.filter(F.col("low") != F.col("high")).select("key"), "near-keys")
         keys = stored(keys.join(of_many, "key").select("key", "id").distinct(), "near-sketches")
         if keys.isEmpty():
-            return components(links)
-        buckets = stored(_centred(keys), "near-buckets")
-    comps = components(links)
-    rest = _named(buckets.select("key", "id"), comps, "id", "comp")
+            return _joined(comps, links)
+        if round_ + 1 < ROUNDS:
+            # What is left is small beside the first round.
+            buckets = stored(_centred(keys, lambda df, _: df), "near-buckets")
+    comps = _joined(comps, links)
+    rest = sketched.join(keys.select("id").distinct(), "id")
+    rest = stored(_named(rest, comps, "id", "comp"), "near-rest")
     others = rest.select("key", F.col("id").alias("cid"), F.col("comp").alias("ccomp"))
     rest = rest.join(others, "key").filter((F.col("comp") != F.col("ccomp")) & (F.col("id") < F.col("cid")))
-    return components(links.unionByName(_links(_tested(rest.select("id", "cid").distinct(), sequences))))
+    return _joined(comps, _links(_tested(rest.select("id", "cid").distinct(), sequences)))
 
 
 def classes(documents: DataFrame) -> DataFrame:
