@@ -39,7 +39,7 @@ class _WordHashes(dict):
     """Hashes of the words seen; forgets all when it has grown large."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = found = xxhash.xxh64_intdigest(word)
         return found
