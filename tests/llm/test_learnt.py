@@ -185,6 +185,15 @@ def test_line_cases(spark, monkeypatch):
     }
 
 
+def test_frequent_passages_are_cut(spark):
+    passage = " ".join(f"word{n}" for n in range(50))
+    rows = [(n, f"first of {n}\n{passage}\nlast of {n}") for n in range(70)]
+    rows += [(100 + n, f"{passage}\n{passage}\nend {n}") for n in range(3)]
+    found = {r["row"]["doc_id"]: r for r in linedup.cut_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[0]["kept"] == rows[0][1]
+    assert all(found[n]["kept"] == f"first of {n}\nlast of {n}" and found[n]["earlier"] == [0] for n in range(1, 70))
+
+
 def test_awkward_lines(spark):
     found = linedup.cut_documents(edges(spark)).collect()
     # The long text of 5 is that of 4.

@@ -1,12 +1,13 @@
 """Line deduplication by pairwise alignment.
 
-Documents that share rare lines are aligned line by line with patience diff, and blocks of lines common to both are cut
+Documents that share lines are aligned line by line with patience diff, and blocks of lines common to both are cut
 from the later document.  A document is paired with the earliest holder of each line it shares, so the pairs of a line
 grow with its holders and never with their square.
 """
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -18,8 +19,9 @@ from pyspark.sql import functions as F
 from typeloom.llm.common import digest, stored, text_of
 from typeloom.llm.registry import load, query
 
-#: A line is rare if it occurs so often at most.
-RARE = 64
+#: A line is rare if it occurs so often at most.  All lines are, so no pair is passed over; only who wants to keep
+#: frequent passages sets a limit.
+RARE = math.inf
 #: Lines that a document must share with the same earliest holder if none of them is rare, unless it has fewer.
 MANY = 3
 #: Characters in an aligned block that is cut, at least.
@@ -140,7 +142,8 @@ def overlaps(documents: DataFrame) -> DataFrame:
     pairs = shared.groupBy("id", F.col("first.id").alias("other")).agg(
         F.min("n").alias("rarest"), F.count("*").alias("n"), F.first("full").alias("full"), F.first("first.doc_id").alias("of")
     )
-    pairs = pairs.filter((F.col("rarest") <= RARE) | (F.col("n") >= F.least(F.lit(MANY), F.col("full"))))
+    if RARE < math.inf:
+        pairs = pairs.filter((F.col("rarest") <= RARE) | (F.col("n") >= F.least(F.lit(MANY), F.col("full"))))
     pairs = pairs.select("id", "other", "of").join(texts.select("id", "lines", "sizes"), "id")
     others = texts.select(
         F.col("id").alias("other"), F.col("lines").alias("other_lines"), F.col("sizes").alias("other_sizes")
@@ -156,8 +159,7 @@ def cut_lines(documents: DataFrame) -> DataFrame:
 
     The later of two documents is that with the larger ``doc_id``, a null being largest, and then by digest; rows alike
     in id and text are one document, and all come out alike.  A null text is empty.  Blank lines alone are never cut.
-    A line in more than :data:`RARE` places marks no overlap unless the document shares :data:`MANY` lines, or all it
-    has, with the same earliest holder.
+    However many documents hold a passage, it stays in the earliest only.
     """
     found = overlaps(documents).groupBy("id").agg(
         F.array_sort(F.flatten(F.collect_list("blocks"))).alias("blocks"),
