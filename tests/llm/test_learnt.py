@@ -194,6 +194,31 @@ def test_frequent_passages_are_cut(spark):
     assert all(found[n]["kept"] == f"first of {n}\nlast of {n}" and found[n]["earlier"] == [0] for n in range(1, 70))
 
 
+def test_blocks_of_lines_first_held_alone(spark):
+    line = lambda n, size: f"{n} ".ljust(size, "z")
+    pair, tail = [line("a", 53), line("b", 47)], [line(f"t{n}", size) for n, size in enumerate((60, 60, 30))]
+    rows = [(0, [pair[0]]), (1, [pair[1]]), (2, [*pair, "two"]), (3, ["three", *pair])]
+    # The last line of a block is too short for a run that starts there, and another document holds the others first.
+    rows += [(4, tail[:2]), (5, [*tail, "five"]), (6, ["six", *tail]), (7, [pair[0], "between", pair[1]])]
+    frame = spark.createDataFrame([(n, "\n".join(lines)) for n, lines in rows], "doc_id long, text string")
+    found = {r["row"]["doc_id"]: (r["kept"], r["earlier"]) for r in linedup.cut_lines(frame).collect()}
+    assert found[2] == ("\n".join([*pair, "two"]), []) and found[3] == ("three", [2])
+    assert found[5] == ("\n".join([tail[2], "five"]), [4]) and found[6] == ("six", [4, 5])
+    assert found[7][1] == []
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_runs_cover_every_block(seed):
+    rng = random.Random(seed)
+    sizes = [rng.choice((1, 5, 20, 47, 53, 60, 99, 100, 130)) for _ in range(60)]
+    found = linedup.runs(sizes)
+    assert all(sum(sizes[a:b]) >= linedup.BLOCK_CHARS for a, b in found)
+    for a in range(60):
+        for b in range(a + 1, 61):
+            if sum(sizes[a:b]) >= linedup.BLOCK_CHARS:
+                assert {n for s, e in found if a <= s and e <= b for n in range(s, e)} == set(range(a, b))
+
+
 def test_awkward_lines(spark):
     found = linedup.cut_documents(edges(spark)).collect()
     # The long text of 5 is that of 4.

@@ -1,12 +1,13 @@
 """Line deduplication by pairwise alignment.
 
 Documents that share lines are aligned line by line with patience diff, and blocks of lines common to both are cut
-from the later document.  A document is paired with the earliest holder of each line it shares, so the pairs of a line
-grow with its holders and never with their square.
+from the later document.  A document is paired with the earliest holder of each short run of lines it shares, so the
+pairs of a run grow with its holders and never with their square.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from bisect import bisect_left
 from collections import Counter
@@ -19,10 +20,10 @@ from pyspark.sql import functions as F
 from typeloom.llm.common import digest, stored, text_of
 from typeloom.llm.registry import load, query
 
-#: A line is rare if it occurs so often at most.  All lines are, so no pair is passed over; only who wants to keep
-#: frequent passages sets a limit.
+#: A run of lines is rare if so many documents hold it at most.  All runs are, so no pair is passed over; only who wants
+#: to keep frequent passages sets a limit.
 RARE = math.inf
-#: Lines that a document must share with the same earliest holder if none of them is rare, unless it has fewer.
+#: Lines that a document must share with the same earliest holder if no run of them is rare, unless it has fewer.
 MANY = 3
 #: Characters in an aligned block that is cut, at least.
 BLOCK_CHARS = 100
@@ -95,6 +96,53 @@ def common_blocks(later: list, earlier: list, sizes: list[int], least: int = BLO
     return blocks
 
 
+def runs(sizes: list[int], least: int = BLOCK_CHARS) -> set[tuple[int, int]]:
+    """Shortest ranges of ``least`` characters or more that start at a line, and those that end at one.
+
+    Every line of a block of that size is in one of them that lies within the block.
+    """
+    found = set()
+    end = size = 0
+    for start, own in enumerate(sizes):
+        while end < len(sizes) and size < least:
+            size += sizes[end]
+            end += 1
+        if size < least:
+            break
+        found.add((start, end))
+        size -= own
+    start = size = 0
+    for end, own in enumerate(sizes, 1):
+        size += own
+        while size - sizes[start] >= least:
+            size -= sizes[start]
+            start += 1
+        if size >= least:
+            found.add((start, end))
+    return found
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows, keys, starts, ends = [], [], [], []
+        columns = (batch.column(n).to_pylist() for n in ("lines", "sizes"))
+        for row, (lines, sizes) in enumerate(zip(*columns, strict=True)):
+            joined = b"".join(h for h, size in zip(lines, sizes, strict=True) if size)
+            held = {}
+            for start, end in sorted(runs([size for size in sizes if size])):
+                held.setdefault(hashlib.md5(joined[16 * start : 16 * end]).digest(), (start, end))
+            rows += [row] * len(held)
+            keys += held
+            starts += [start for start, _ in held.values()]
+            ends += [end for _, end in held.values()]
+        at = pa.array(rows, pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("id").take(at), batch.column("doc_id").take(at), pa.array(keys, pa.binary())]
+            + [pa.array(n, pa.int32()) for n in (starts, ends)],
+            names=["id", "doc_id", "run", "start", "end"],
+        )
+
+
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     for batch in batches:
@@ -130,25 +178,26 @@ def overlaps(documents: DataFrame) -> DataFrame:
         F.transform("lines", F.char_length).alias("sizes"),
     )
     texts = stored(texts.dropDuplicates(["id"]), "line-hashes")
+    id_type = documents.schema["doc_id"].dataType.simpleString()
+    held = texts.mapInArrow(_runs, f"id binary, doc_id {id_type}, run binary, start int, end int")
     # The place of a document in the order of all: a missing id comes last.
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")
-    full = F.size(F.filter("sizes", lambda s: s > 0)).alias("full")
-    lines = texts.select("id", place.alias("place"), full, F.explode(F.arrays_zip("lines", "sizes")).alias("line"))
-    lines = lines.select("id", "place", "full", "line.lines", "line.sizes").filter(F.col("sizes") > 0).drop("sizes")
-    held = lines.groupBy("lines").agg(F.min("place").alias("first"), F.count("*").alias("n")).filter(F.col("n") > 1)
-    # Written, it is a plain side of the join, in which Spark can split the rows of a hot line.
-    held = stored(held, "line-holders")
-    shared = lines.join(held, "lines").filter(F.col("id") != F.col("first.id"))
+    first = held.groupBy("run").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter(F.col("n") > 1)
+    # Written, it is a plain side of the join, in which Spark can split the rows of a hot run.
+    first = stored(first, "line-holders")
+    shared = held.drop("doc_id").join(first, "run").filter(F.col("id") != F.col("first.id"))
     pairs = shared.groupBy("id", F.col("first.id").alias("other")).agg(
-        F.min("n").alias("rarest"), F.count("*").alias("n"), F.first("full").alias("full"), F.first("first.doc_id").alias("of")
+        F.first("first.doc_id").alias("of"),
+        *([F.min("n").alias("rarest"), F.collect_set(F.struct("start", "end")).alias("runs")] if RARE < math.inf else []),
     )
     if RARE < math.inf:
-        pairs = pairs.filter((F.col("rarest") <= RARE) | (F.col("n") >= F.least(F.lit(MANY), F.col("full"))))
+        n_shared = F.size(F.array_distinct(F.flatten(F.transform("runs", lambda x: F.sequence(x["start"], x["end"] - 1)))))
+        full = texts.select("id", F.size(F.filter("sizes", lambda s: s > 0)).alias("full"))
+        pairs = pairs.join(full, "id").filter((F.col("rarest") <= RARE) | (n_shared >= F.least(F.lit(MANY), F.col("full"))))
     pairs = pairs.select("id", "other", "of").join(texts.select("id", "lines", "sizes"), "id")
     others = texts.select(
         F.col("id").alias("other"), F.col("lines").alias("other_lines"), F.col("sizes").alias("other_sizes")
     )
-    id_type = documents.schema["doc_id"].dataType.simpleString()
     pairs = pairs.join(others, "other").drop("other")
     kind = "array<struct<start:int,end:int>>"
     return pairs.mapInArrow(_align, f"id binary, of {id_type}, blocks {kind}").filter(F.size("blocks") > 0)
@@ -159,7 +208,8 @@ def cut_lines(documents: DataFrame) -> DataFrame:
 
     The later of two documents is that with the larger ``doc_id``, a null being largest, and then by digest; rows alike
     in id and text are one document, and all come out alike.  A null text is empty.  Blank lines alone are never cut.
-    However many documents hold a passage, it stays in the earliest only.
+    However many documents hold a passage, it stays in the earliest only, unless there it stands out of order: what the
+    alignment with the earliest holder passes over is not sought in later ones.
     """
     found = overlaps(documents).groupBy("id").agg(
         F.array_sort(F.flatten(F.collect_list("blocks"))).alias("blocks"),
