@@ -307,6 +307,45 @@ def test_overlaps(spark, monkeypatch):
     assert sorted((tuple(r) for r in decontaminate.overlaps(left, right).drop("id").collect()), key=same) == wanted
 
 
+def worthy_overlaps(docs, items):
+    """As brute_overlaps, by the worth rule alone."""
+    out = []
+    for doc_id, text in docs:
+        words = item_words(text)
+        for item_id, item in items:
+            wanted = item_words(item)
+            for shift in range(-len(wanted), len(words)):
+                best, worth = 0, 0
+                for j in range(max(0, -shift), min(len(wanted), len(words) - shift)):
+                    worth = max(worth + (1 if words[j + shift] == wanted[j] else -2), 0)
+                    best = max(best, worth)
+                if len(wanted) >= decontaminate.SHORT and best >= min(12, -(-3 * len(wanted) // 4)):
+                    out.append((doc_id, item_id, best))
+    return sorted(out)
+
+
+def test_no_worthy_overlap_is_missed(spark):
+    import itertools
+    import random
+
+    rng = random.Random(7)
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in (*range(4, 22), 48)]
+    docs = []
+    for _, text in items:
+        words = text.split()
+        n = len(words)
+        for gone in itertools.chain(((k,) for k in range(n)), [(0, n - 1)], ([rng.randrange(n) for _ in range(n // 6)] for _ in range(10))):
+            docs.append(" ".join("other" if k in gone else w for k, w in enumerate(words)))
+        docs += [" ".join(words[:-1]), " ".join(words[1:]), " ".join(words[: -(-3 * n // 4)]), "x y " + " ".join(words[n // 4 :])]
+        docs += [" ".join("other" if k % 4 == at else w for k, w in enumerate(words)) for at in range(4)]
+    docs = list(enumerate(docs))
+    left, right = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = sorted((r["doc_id"], r["item_id"], r["worth"]) for r in decontaminate.overlaps(left, right).collect())
+    wanted = worthy_overlaps(docs, items)
+    assert found == wanted
+    assert {i for _, i, _ in wanted} == {n for n, _ in items if n >= 5}
+
+
 def test_nothing_overlaps_nothing(spark):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.overlaps(edges(spark), empty).count() == 0

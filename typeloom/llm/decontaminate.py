@@ -3,6 +3,11 @@
 A seed is the hash of some words of a window; a mask says which places of the window count, and the others may hold any
 word.  Seeds of benchmark items and of documents are joined; each hit fixes how the item lies on the document, and there
 the words are compared one by one, so that an overlap is found although words in it were exchanged.
+
+No overlap of enough worth is without a seed.  One of worth 12 with ``e`` exchanged words has ``12 + 3 * e`` words at
+least; were two of every six next to each other exchanged, ``e`` would be too small, so six words with one exchanged at
+most exist, and :data:`MASKS` hold the five others whichever it is.  In items of 6 to 14 words the share asks for five
+words in a row or more, and in one of five words for four.
 """
 
 from __future__ import annotations
@@ -13,10 +18,10 @@ from pyspark.sql import functions as F
 from typeloom.llm.common import digest, stored, text_of
 from typeloom.llm.registry import load, query
 
-#: Places of a window that a seed holds.
-MASKS = ("110110110011", "101101100111", "111001011011")
-SPAN = len(MASKS[0])
-#: Items with fewer words than a window are sought as they are, if they have so many at least.
+#: Places of a window that a seed holds: five of six words, of which one may be exchanged, and five in a row.
+MASKS = ("11111", "101111", "110111", "111011", "111101")
+SPAN = max(map(len, MASKS))
+#: Items have so many words at least; those with just so many are sought by all but one of them in a row, too.
 SHORT = 5
 #: An overlap's worth is its equal words less two for each exchanged one; it must reach this, or this share of an item.
 WORTH, PENALTY, SHARE = 12, 2, 0.75
@@ -29,23 +34,20 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"), "")
 
 
-def _seeds(rows: DataFrame, keep: list[str]) -> DataFrame:
+def _seeds(rows: DataFrame, keep: list[str], masks: tuple[str, ...] = MASKS) -> DataFrame:
     """``keep``, place and hash of every seed in ``words``; a row with too few words has none."""
-    full = rows.filter(F.size("words") >= SPAN)
-    full = full.select(*keep, "words", F.explode(F.sequence(F.lit(0), F.size("words") - SPAN)).alias("at"))
+    least = min(map(len, masks))
+    full = rows.filter(F.size("words") >= least)
+    full = full.select(*keep, "words", F.explode(F.sequence(F.lit(0), F.size("words") - least)).alias("at"))
     word = lambda n: F.get("words", F.col("at") + n)
     hashes = [
-        F.xxhash64(F.lit(k), *(word(n) for n, place in enumerate(mask) if place == "1")) for k, mask in enumerate(MASKS)
+        F.when(
+            F.col("at") + len(mask) <= F.size("words"),
+            F.xxhash64(F.lit(mask), *(word(n) for n, place in enumerate(mask) if place == "1")),
+        )
+        for mask in masks
     ]
-    return full.select(*keep, "at", F.explode(F.array(*hashes)).alias("seed"))
-
-
-def _short_seeds(rows: DataFrame, keep: list[str], lengths: list[int]) -> DataFrame:
-    """As :func:`_seeds`, one seed for each run of as many words as one of ``lengths``."""
-    at = F.explode(F.sequence(F.lit(0), F.size("words") - min(lengths))).alias("at")
-    full = rows.filter(F.size("words") >= min(lengths)).select(*keep, "words", at)
-    whole = lambda n: F.xxhash64(F.lit(-n), *(F.get("words", F.col("at") + k) for k in range(n)))
-    return full.select(*keep, "at", F.explode(F.array(*map(whole, lengths))).alias("seed"))
+    return full.select(*keep, "at", F.explode(F.array(*hashes)).alias("seed")).filter(F.col("seed").isNotNull())
 
 
 def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -61,19 +63,10 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = stored(items.withColumn("item", F.xxhash64("item_id", "words")), "benchmark-items")
     rows = documents.select("doc_id", text_of().alias("text"), digest(F.col("doc_id"), text_of()).alias("id"))
     tokens = rows.select("id", words_of(F.col("text")).alias("words"))
-    # What repeats is each length below a window's, so the list has a few entries at most.
-    short = items.filter(F.size("words") < SPAN)
-    lengths = sorted(r[0] for r in short.select(F.size("words")).distinct().collect())
-    seeds = _seeds(items, ["item"])
-    sought = _seeds(tokens, ["id"])
-    if lengths:
-        one = F.expr("-size(words)").alias("n")
-        by_length = short.select("item", "words", one)
-        exact = [
-            F.when(F.col("n") == -n, F.xxhash64(F.lit(-n), *(F.get("words", F.lit(k)) for k in range(n)))) for n in lengths
-        ]
-        seeds = seeds.unionByName(by_length.select("item", F.lit(0).alias("at"), F.coalesce(*exact).alias("seed")))
-        sought = sought.unionByName(_short_seeds(tokens, ["id"], lengths))
+    shortest = items.filter(F.size("words") == SHORT)
+    four = ("1" * (SHORT - 1),)
+    seeds = _seeds(items, ["item"]).unionByName(_seeds(shortest, ["item"], four))
+    sought = _seeds(tokens, ["id"], MASKS if shortest.isEmpty() else MASKS + four)
     seeds = stored(seeds.withColumnRenamed("at", "item_at").distinct(), "benchmark-seeds")
     few = seeds.count() <= SENT_SEEDS
     hits = sought.join(F.broadcast(seeds) if few else seeds, "seed")
