@@ -5,14 +5,16 @@ from contextlib import closing
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import datasource as D
+from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from typeloom.operators.coerce import assign_types
 from typeloom.plans.migrate import MigrateOptions, migrate
-from typeloom.sources.sqlite_files import (
-    BATCH_BYTES, KeySpace, SqliteRawReader, connect, list_files, occupied_spans, read_cells, sqlite_columns, sqlite_counts, sqlite_indexes,
-    table_conditions,
-)
+from typeloom.sources import sqlite_files
+from typeloom.sources.sqlite_connect import connect, list_files
+from typeloom.sources.sqlite_cuts import KeyedTable, KeySpace, occupied_spans, plan_cuts
+from typeloom.sources.sqlite_files import BATCH_BYTES, SqlitePushingReader, SqliteRawReader, read_cells, sqlite_columns, sqlite_counts, sqlite_indexes
 from typeloom.sources.sqlite_shards import export_sqlite, export_sqlite_database
 from typeloom.sources.tables import open_catalog
 
@@ -133,21 +135,168 @@ def test_shares_of_text_keys_together_cost_one_scan(make, rows_):
         started = steps(connection, "SELECT count(v) FROM t")[0]
         count = [0]
         connection.set_progress_handler(lambda: count.__setitem__(0, count[0] + 1), 100)
-        shares = table_conditions(connection, "t", 16)
+        spans = KeyedTable.of(connection, "t").spans()
+        # Spans take probes, not scans; each is then walked once.
+        assert count[0] < 400 and len(spans) > 16
+        shares = list(KeyedTable.of(connection, "t").shares(None, None, rows_ // 16))
         connection.set_progress_handler(None, 0)
-        # Planning takes probes, not scans.
-        assert count[0] < 400
+        assert count[0] < 400 + 1.5 * started
         work, sizes = 0, []
-        for share in shares:
+        for share, rows_of in shares:
             held = 0
             for c in share:
                 more, found = steps(connection, f"SELECT count(v) FROM t WHERE {c.sql}", c.bound)
                 work, held = work + more, held + found[0][0]
+            assert held == rows_of
             sizes.append(held)
     assert sum(sizes) == rows_ and work < 1.5 * started + 20
     assert max(sizes) <= 2 * rows_ / 16
 
 
+#: Tables of 20,000 rows whose keys share long prefixes, hot leading columns, collations, directions and classes.
+KEYED = {
+    "prefixes": ("k TEXT PRIMARY KEY, v", f"CASE i % 2 WHEN 0 THEN '{'x' * 300}' ELSE '{'y' * 300}' END || hex(randomblob(8)), i"),
+    "hot": ("a INT, b TEXT, v, PRIMARY KEY (a, b)", "CASE WHEN i % 10 = 0 THEN i ELSE 7 END, hex(randomblob(8)) || i, i"),
+    "nocase": ("k TEXT COLLATE NOCASE PRIMARY KEY, v", "CASE i % 2 WHEN 0 THEN 'aB' ELSE 'Ab' END || i, i"),
+    "blobs": ("k BLOB PRIMARY KEY, v", "randomblob(8), i"),
+    "mixed": ("k, d INT, v, PRIMARY KEY (k DESC, d)", "CASE i % 5 WHEN 0 THEN i / 2 WHEN 1 THEN i / 2 + 0.5 WHEN 2 THEN 'é' || i % 9"
+              " WHEN 3 THEN i % 7 * 1.0 ELSE CAST('b' || i % 3 AS BLOB) END, i, i"),
+}
+
+
+@pytest.fixture()
+def keyed(make):
+    script = "".join(
+        f"""CREATE TABLE {name} ({columns}) WITHOUT ROWID;
+        WITH RECURSIVE n(i) AS (SELECT 1 UNION ALL SELECT i + 1 FROM n WHERE i < 20000)
+        INSERT INTO {name} SELECT {values} FROM n;"""
+        for name, (columns, values) in KEYED.items()
+    )
+    return make("keyed.db", script)
+
+
+def test_shares_of_any_key_are_even(spark, keyed):
+    cuts = plan_cuts(spark, {name: [keyed] for name in KEYED}, 20_000)
+    with closing(connect(keyed)) as connection:
+        for name in KEYED:
+            seen, sizes = set(), []
+            for share in cuts[name].shares:
+                found = [r[0] for c in share.conditions for r in connection.execute(f"SELECT v FROM {name} WHERE {c.sql}", c.bound)]
+                sizes.append(len(found))
+                seen |= set(found)
+            assert sum(sizes) == len(seen) == 20_000, name
+            # Spans end in shares that are not full; the reader puts them together again.
+            reader = SqliteRawReader({"table": name, "cuts": cuts[name].packed(), "split_bytes": "20000"}, ["v"])
+            together = [sum(b.num_rows for b in reader.read(share)) for share in reader.partitions()]
+            assert sum(together) == 20_000 and len(together) > 8
+            assert max(together) <= 2 * 20_000 / len(together), name
+
+
+def test_few_spans_are_walked_by_one_task_each(spark, keyed):
+    with closing(connect(keyed)) as connection:
+        for name in KEYED:
+            table = KeyedTable.of(connection, name)
+            spans = table.spans(8)
+            assert len(spans) >= 4
+            counted = [sum(table.count(c) for c in table.between(low, high)) for low, high in zip(
+                [None, *[s[0] for s in spans[1:]]], [*[s[0] for s in spans[1:]], None])]
+            assert sum(counted) == 20_000
+
+
+def test_no_file_is_opened_on_the_driver(spark, keyed, tmp_path, monkeypatch):
+    def refused(file, *args, **options):
+        raise AssertionError(f"opened {file}")
+
+    monkeypatch.setattr(sqlite3, "connect", refused)
+    assert read_cells(spark, keyed, "hot", split_bytes=50_000).count() == 20_000
+    assert read_cells(spark, keyed, "hot").select("v").count() == 20_000
+    assert sqlite_counts(spark, keyed, "blobs", split_bytes=50_000).agg({"rows": "sum"}).first()[0] == 20_000
+    report = migrate(spark, keyed, f"{tmp_path}/out", MigrateOptions(split_bytes=200_000))
+    assert sum(r["source_rows"] for r in report.collect()) == 100_000
+
+
+def test_small_tables_of_large_files_are_not_cut_finely(spark, make):
+    path = make("uneven.db", """CREATE TABLE big (id INTEGER PRIMARY KEY, v); CREATE TABLE small (id INTEGER PRIMARY KEY, v);
+        WITH RECURSIVE n(i) AS (SELECT 1 UNION ALL SELECT i + 1 FROM n WHERE i < 2000)
+        INSERT INTO big SELECT i, zeroblob(2000) FROM n;
+        INSERT INTO small SELECT id, 1 FROM big LIMIT 100;""")
+    cuts = plan_cuts(spark, {"big": [path], "small": [path]}, 100_000)
+    assert len(cuts["big"].shares) > 20 and len(cuts["small"].shares) == 1
+
+
+# --- pushed filters -----------------------------------------------------------------------------------------
+
+CLASSES = """CREATE TABLE t (id INTEGER PRIMARY KEY, n NUMERIC, s TEXT COLLATE NOCASE, x, b BLOB);
+    INSERT INTO t VALUES (1, 5, '5', 5, x'35'), (2, 5.5, 'abc', '5', x'00'), (3, 'five', 'ABC', 5.0, NULL), (4, NULL, NULL, x'35', 'text'),
+        (5, '7', 'é', NULL, x''), (6, -9223372036854775808, 'a' || char(0), 9e999, x'ff'), (7, 0.0, '', -0.0, 1),
+        (8, 1, CAST(x'61ff' AS TEXT), '�', 2.5);
+    CREATE INDEX by_s ON t (s);"""
+FILTERS = [
+    "id.i = 3", "id.i IN (1, 4, 99)", "id.i > 6", "id.i <= 2 AND n.r = 5.5", "id.i <> 3", "id.i NOT IN (1, 2)", "n.i = 5", "n.r > 0",
+    "n.r >= 0.0D", "n.k = 'text'", "n.k <> 'null'", "n.k IN ('null', 'real')", "n.i IS NULL", "n.i IS NOT NULL", "s.t = 'abc'",
+    "s.t = '5'", "s.t IN ('ABC', 'é')", "s.t <> 'abc'", "s.t > 'a'", "s.t = ''", "x.t = '5'", "x.i = 5", "x.r = 5.0D", "x.r = 0.0D",
+    "x.r = double('infinity')", "x.r < double('nan')", "x.t = '�'", "x.b = x'35'", "b.b > x'00'", "b.b = x''", "b.k = 'odd'", "n.i < 0",
+    "s.t LIKE 'a%'", "id.i = 1 OR x.i = 5", "n IS NULL", "n IS NOT NULL AND id.i >= 7", "s.t IS NULL AND s.k = 'null'", "x.i = null",
+]
+
+
+def test_pushed_filters_keep_what_spark_would(spark, make):
+    cells = read_cells(spark, make("classes.db", CLASSES), "t", push=True)
+    # The same conditions as columns, which cannot be pushed.
+    wanted = cells.select("id.i", *[F.coalesce(F.expr(c), F.lit(False)).alias(f"f{n}") for n, c in enumerate(FILTERS)]).collect()
+    for n, condition in enumerate(FILTERS):
+        kept = sorted(r[0] for r in cells.filter(condition).select("id.i").collect())
+        assert kept == sorted(r["i"] for r in wanted if r[f"f{n}"]), condition
+
+
+def test_the_plan_shows_pushed_filters(spark, make):
+    cells = read_cells(spark, make("classes.db", CLASSES), "t", push=True)
+
+    def explained(condition):
+        plan = cells.filter(condition)._jdf.queryExecution()
+        return plan.explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+    plan = explained("id.i = 3 AND s.t LIKE 'a%'")
+    assert "PushedFilters: [IsNotNull(id.i), IsNotNull(s.t), EqualTo(id.i,3)]" in plan
+    assert "Condition : StartsWith(s#" in plan and "Condition" not in explained("id.i = 3 AND s.t = 'abc'")
+
+
+def test_given_filters(spark, make):
+    path = make("classes.db", CLASSES)
+    one, two = (read_cells(spark, path, "t", where=[D.EqualTo(("id", "i"), n)]) for n in (3, 4))
+    # Frames with filters of their own may meet in one query, and be filtered further.
+    assert rows(one.unionByName(two).select("id.i"), "i") == [(3,), (4,)]
+    both = read_cells(spark, path, "t", where=[D.In(("id", "i"), (1, 2, 3)), D.EqualTo(("s", "k"), "text")])
+    assert rows(both.filter("id.i > 1").unionByName(both.filter("id.i = 1")).select("id.i"), "i") == [(1,), (2,), (3,)]
+    with pytest.raises(ValueError, match="cannot evaluate"):
+        read_cells(spark, path, "t", where=[D.GreaterThan(("s", "t"), "a")])
+
+
+def test_a_key_lookup_reads_a_key(spark, keyed, monkeypatch):
+    """Steps of SQLite's machine, in hundreds, for all shares of a lookup."""
+    count = [0]
+
+    def counting(file):
+        connection = connect(file)
+        connection.set_progress_handler(lambda: count.__setitem__(0, count[0] + 1), 100)
+        return connection
+
+    with closing(connect(keyed)) as connection:
+        key = connection.execute("SELECT b FROM hot WHERE a = 7 LIMIT 1 OFFSET 9000").fetchone()[0]
+    for table, filters, n in (
+        ("hot", [D.EqualTo(("a", "i"), 7), D.EqualTo(("b", "t"), key)], 1),
+        ("nocase", [D.EqualTo(("k", "t"), "aB5000")], 1),
+    ):
+        columns = ["a", "b", "v"] if table == "hot" else ["k", "v"]
+        reader = SqlitePushingReader({"table": table, "files": f'["{keyed}"]'}, columns)
+        assert list(reader.pushFilters(filters)) == []
+        monkeypatch.setattr(sqlite_files, "connect", counting)
+        count[0] = 0
+        assert sum(b.num_rows for share in reader.partitions() for b in reader.read(share)) == n
+        assert count[0] < 5
+        monkeypatch.undo()
+
+
 def test_tables_without_rowid(spark, make):
     path = make("wr.db", """CREATE TABLE i (k INTEGER, v TEXT, PRIMARY KEY (k, v)) WITHOUT ROWID;
         CREATE TABLE s (k TEXT PRIMARY KEY, v) WITHOUT ROWID;
@@ -232,6 +381,12 @@ def test_migrating_twice(spark, make, tmp_path):
     migrate(spark, f"{tmp_path}/b.db", out, MigrateOptions(mode="overwrite"))
     assert rows(spark.read.parquet(f"{out}/tables/t.parquet")) == [(2,)]
     assert os.listdir(f"{out}/tables") == ["t.parquet"]
+    # A run that fails leaves what was there, and nothing else.
+    make("c.db", "CREATE TABLE t (id INT); INSERT INTO t VALUES ('bad');")
+    with pytest.raises(Exception, match="column id: not a INT64: bad"):
+        migrate(spark, f"{tmp_path}/c.db", out, MigrateOptions(mode="overwrite", on_error="fail"))
+    assert rows(spark.read.parquet(f"{out}/tables/t.parquet")) == [(2,)]
+    assert sorted(os.listdir(out)) == ["rejects", "report", "tables"]
     with pytest.raises(ValueError, match="mode must be"):
         migrate(spark, f"{tmp_path}/b.db", out, MigrateOptions(mode="append"))
 

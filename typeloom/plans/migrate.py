@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -12,7 +13,8 @@ from typeloom.functions.types import map_declared_types
 from typeloom.operators.audit import reconcile
 from typeloom.operators.catalog import create_index_ddl, create_table_ddl, dropped_defaults
 from typeloom.operators.coerce import ERRORS, REJECTED, check_types, failing
-from typeloom.sources.folders import drop_folder, path_exists
+from typeloom.sources.folders import drop_folder, path_exists, swap_folders
+from typeloom.sources.sqlite_cuts import Cuts, plan_cuts
 from typeloom.sources.sqlite_files import SPLIT_BYTES, read_cells, sqlite_columns, sqlite_counts, sqlite_indexes
 from typeloom.sources.tables import write_table
 
@@ -22,12 +24,16 @@ REPORT_TYPE = (
 )
 
 
+#: What a migration leaves in its folder.
+FOLDERS = ("tables", "rejects", "report")
+
+
 @dataclass(frozen=True)
 class MigrateOptions:
     """``on_error``: ``reject`` keeps bad rows apart, ``fail`` stops at the first.  ``sort``: lay each table out
     by its key, or its first index, as a stand-in for the index.  ``tables_at_once``: small tables would leave
     most of a cluster idle one by one.  ``mode``: ``errorifexists`` refuses a folder that holds a migration,
-    ``overwrite`` replaces it whole."""
+    ``overwrite`` replaces it whole, once all is loaded."""
 
     on_error: str = "reject"
     create_indexes: bool = True
@@ -76,14 +82,14 @@ def _plan(declared: DataFrame, held: DataFrame) -> list[_Table]:
 
 
 def _load(
-    spark: SparkSession, path: str, out: str, table: _Table, sort_by: list[str], options: MigrateOptions
+    spark: SparkSession, path: str, out: str, table: _Table, cuts: Cuts, sort_by: list[str], options: MigrateOptions
 ) -> _Loaded:
     """One scan of the source into a staged table; the loaded and rejected rows are written from there.
 
     Staging cuts the lineage at the slow scan: sorting samples its input, and a lost executor must not mean
     reading the source again.
     """
-    cells = read_cells(spark, path, table.name, list(table.types), options.split_bytes, table.files)
+    cells = read_cells(spark, path, table.name, list(table.types), options.split_bytes, cuts=cuts)
     checked = check_types(cells, table.types, options.epoch_unit)
     if options.on_error == "fail":
         checked = failing(checked).withColumns({REJECTED: F.lit(False), ERRORS: F.lit(None).cast("string")})
@@ -95,7 +101,7 @@ def _load(
     good, rejects = f"{out}/tables/{table.name}.parquet", f"{out}/rejects/{table.name}.parquet"
     write_table(rows.filter(~F.col(REJECTED)).drop(REJECTED, ERRORS), good, "overwrite", sort_by or None)
     write_table(rows.filter(REJECTED).drop(REJECTED), rejects, "overwrite")
-    counted = sqlite_counts(spark, path, table.name, options.split_bytes, table.files).agg(F.sum("rows")).first()[0]
+    counted = sqlite_counts(spark, path, table.name, options.split_bytes, cuts=cuts).agg(F.sum("rows")).first()[0]
     return _Loaded(counted or 0, spark.read.parquet(good), spark.read.parquet(rejects))
 
 
@@ -104,6 +110,8 @@ def migrate(spark: SparkSession, path: str, out: str, options: MigrateOptions =
 
     Files under one path hold parts of one database: a table's rows are read from all files.  Written are
     ``<out>/tables/<table>.parquet``, ``<out>/rejects/<table>.parquet`` and ``<out>/report``.
+
+    All of it is written beside the result first and moved into place in the end; a run that fails leaves what was there.
     """
     if options.on_error not in ("reject", "fail"):
         raise ValueError(f"on_error must be reject or fail, not {options.on_error!r}")
@@ -126,26 +134,39 @@ def migrate(spark: SparkSession, path: str, out: str, options: MigrateOptions =
     def load(table: _Table) -> _Loaded:
         indexed = by_table[table.name]
         sort_by = table.keys or (list(indexed[0]["columns"]) if indexed else [])
-        return _load(spark, path, out, table, sort_by if options.sort else [], options)
+        return _load(spark, path, fresh, table, cuts[table.name], sort_by if options.sort else [], options)
 
-    for folder in ("tables", "rejects", "report"):
-        if path_exists(spark, f"{out}/{folder}"):
-            if options.mode != "overwrite":
-                raise FileExistsError(f"{out!r} holds a migration; mode overwrite would replace it")
-            drop_folder(spark, f"{out}/{folder}")
+    if options.mode != "overwrite" and any(path_exists(spark, f"{out}/{folder}") for folder in FOLDERS):
+        raise FileExistsError(f"{out!r} holds a migration; mode overwrite would replace it")
+    fresh, old = (f"{out}/_{kind}-{uuid.uuid4().hex}" for kind in ("loading", "replaced"))
     try:
+        cuts = plan_cuts(spark, {t.name: t.files for t in tables}, options.split_bytes)
         with ThreadPoolExecutor(options.tables_at_once) as pool:
             loaded = dict(zip([t.name for t in tables], pool.map(load, tables)))
+        result = _report(spark, tables, loaded, declared, by_table, index_ddl)
+        result.coalesce(1).write.json(f"{fresh}/report")
+        swap_folders(spark, out, fresh, old, FOLDERS)
     finally:
-        drop_folder(spark, f"{out}/_staged")
+        drop_folder(spark, fresh)
+        declared.unpersist()
+    drop_folder(spark, old)
+    return result
+
 
+def _report(
+    spark: SparkSession,
+    tables: list[_Table],
+    loaded: dict[str, _Loaded],
+    declared: DataFrame,
+    by_table: dict[str, list],
+    index_ddl: dict[str, str],
+) -> DataFrame:
     counts = reconcile({}, {t: x.good for t, x in loaded.items()}, {t: x.rejects for t, x in loaded.items()})
     outcome = {r["table"]: r for r in counts.collect()}
     ddl = {r["table"]: r["ddl"] for r in create_table_ddl(declared).collect()}
     warnings: dict[str, list[str]] = {}
     for row in dropped_defaults(declared).orderBy("table", "warning").collect():
         warnings.setdefault(row["table"], []).append(row["warning"])
-    declared.unpersist()
 
     report = []
     for table in tables:
@@ -156,6 +177,4 @@ def migrate(spark: SparkSession, path: str, out: str, options: MigrateOptions =
             (name, source_rows, good, rejected, source_rows == good + rejected, len(table.types), len(statements),
              warnings.get(name, []), ddl[name], statements)
         )
-    result = spark.createDataFrame(report, REPORT_TYPE)
-    result.coalesce(1).write.json(f"{out}/report")
-    return result
+    return spark.createDataFrame(report, REPORT_TYPE)

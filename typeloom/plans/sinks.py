@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, Filter, GreaterThan, In
 
 from typeloom.operators.audit import PRIMARY_KEY, Constraint
 from typeloom.operators.coerce import assign_types
@@ -17,7 +19,7 @@ from typeloom.session import fresh_path, stored
 from typeloom.sources.exports import (
     CSV_OPTIONS, export_csv, export_dump, export_json, export_markdown, export_sql_insert,
 )
-from typeloom.sources.sqlite_files import read_cells, sqlite_columns, sqlite_counts, sqlite_indexes
+from typeloom.sources.sqlite_files import planned, read_cells, sqlite_columns, sqlite_counts, sqlite_indexes
 from typeloom.sources.sqlite_shards import export_sqlite
 from typeloom.sources.tables import open_catalog, save_bucketed, write_table
 
@@ -257,6 +259,35 @@ def sqlite_keyed_tables(spark: SparkSession, sf: str) -> DataFrame:
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
+@query(
+    "sqlite_key_lookup",
+    """SELECT 'customer' AS lookup, o_custkey, o_orderkey, o_orderstatus FROM orders WHERE o_custkey = 7
+       UNION ALL SELECT 'keys', o_custkey, o_orderkey, o_orderstatus FROM orders WHERE o_custkey IN (1, 2, 70, 100) AND o_orderkey > 200
+       UNION ALL SELECT 'status', o_custkey, o_orderkey, o_orderstatus FROM orders WHERE o_custkey BETWEEN 50 AND 60
+           AND o_orderstatus = 'O'""",
+)
+def sqlite_key_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Lookups by the key of a table without row id: SQLite answers them from its index, in every share."""
+    path = fresh_path(spark, "sqlite-lookup")
+    ddl = """CREATE TABLE "orders" ("o_custkey" INTEGER, "o_orderkey" INTEGER, "o_orderstatus" TEXT,
+        PRIMARY KEY ("o_custkey", "o_orderkey")) WITHOUT ROWID"""
+    export_sqlite(load(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderstatus"), path, "orders", ddl=ddl)
+    cuts = planned(spark, path, "orders", 65_536)
+    customer, order, status = F.col("o_custkey.i"), F.col("o_orderkey.i"), F.col("o_orderstatus.t")
+
+    def lookup(name: str, where: Sequence[Filter], *conditions: Column) -> DataFrame:
+        cells = read_cells(spark, path, "orders", cuts=cuts, where=where, push=bool(conditions))
+        for condition in conditions:
+            cells = cells.filter(condition)
+        return cells.select(
+            F.lit(name).alias("lookup"), customer.alias("o_custkey"), order.alias("o_orderkey"), status.alias("o_orderstatus")
+        )
+
+    keys = [In(("o_custkey", "i"), (1, 2, 70, 100)), GreaterThan(("o_orderkey", "i"), 200)]
+    found = lookup("customer", [EqualTo(("o_custkey", "i"), 7)]).unionByName(lookup("keys", keys))
+    return found.unionByName(lookup("status", [], customer.between(50, 60), status == "O"))
+
+
 @query(
     "sqlite_storage",
     """SELECT 'o_orderkey' AS "column", 'integer' AS k, count(*) AS n FROM orders

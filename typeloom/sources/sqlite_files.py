@@ -12,23 +12,24 @@ while they are read.
 
 from __future__ import annotations
 
-import glob
 import json
-import math
 import os
 import sqlite3
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import closing
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, InputPartition
 from pyspark.sql import types as T
 
 from typeloom.functions.cells import CELL
 from typeloom.functions.lexical import quoted
+from typeloom.sources.sqlite_connect import connect, list_files, table_columns
+from typeloom.sources.sqlite_cuts import Cuts, Share, pack_conditions, plan_cuts, unpack_conditions, unpack_shares
+from typeloom.sources.sqlite_filters import Condition, translated
 
 # Names with this prefix are the file format's own; matched as it stands, so sqlitedata is a user table.
 _USER_OBJECT = "lower(substr(name, 1, 7)) <> 'sqlite_'"
@@ -37,42 +38,6 @@ BATCH_BYTES, BATCH_ROWS = 16 * 1024 * 1024, 16384
 SPLIT_BYTES = 128 * 1024 * 1024
 
 
-def local_path(path: str) -> str:
-    path = path.removeprefix("file://")
-    if "://" in path:
-        raise ValueError(f"SQLite files are read through the file system, not from {path!r}")
-    return path
-
-
-def list_files(path: str) -> list[str]:
-    """The SQLite files a path stands for, sorted; none at all is an error."""
-    path = local_path(path)
-    if os.path.isdir(path):
-        names = sorted(e.name for e in os.scandir(path) if e.is_file() and e.name[0] not in "._")
-        files = [os.path.join(path, name) for name in names]
-    else:
-        files = sorted(glob.glob(path)) if glob.has_magic(path) else [path]
-    if not files or not all(os.path.isfile(f) for f in files):
-        raise FileNotFoundError(f"no SQLite file at {path!r}")
-    return files
-
-
-def connect(file: str) -> sqlite3.Connection:
-    """A read-only connection; text that is not valid UTF-8 gets replacement characters."""
-    connection = sqlite3.connect(f"file:{_uri_path(file)}?mode=ro", uri=True)
-    connection.text_factory = lambda data: data.decode("utf-8", "replace")
-    return connection
-
-
-def _uri_path(file: str) -> str:
-    return os.path.abspath(file).replace("%", "%25").replace("?", "%3f").replace("#", "%23")
-
-
-def table_columns(connection: sqlite3.Connection, table: str) -> list[tuple]:
-    """``(cid, name, decl, not_null, default, pk position)`` of each column; empty for an unknown table."""
-    return connection.execute(f"PRAGMA table_info({quoted(table)})").fetchall()
-
-
 def _user_tables(connection: sqlite3.Connection) -> list[str]:
     query = f"SELECT name FROM sqlite_master WHERE type = 'table' AND {_USER_OBJECT} ORDER BY name"
     return [name for (name,) in connection.execute(query)]
@@ -164,184 +129,14 @@ def sqlite_indexes(spark: SparkSession, path: str) -> DataFrame:
 
 # --- rows ---------------------------------------------------------------------------------------------------
 
-# How many bytes of a text key, after those common to all, place it among the others.
-KEY_BYTES = 64
-_FIRST_ID, _LAST_ID = -(2**63), 2**63 - 1
-Span = tuple[int, int]
-
-
-@dataclass(frozen=True)
-class Condition:
-    """A SQL condition on the key, and what it binds."""
-
-    sql: str
-    bound: tuple = ()
-
-
 @dataclass
 class Scan(InputPartition):
-    """One task's share: whole files, or key ranges of a single large file."""
+    """One task's share: whole files, or some conditions on a single large one."""
 
     files: list[str]
     conditions: list[Condition] | None = None
 
 
-@dataclass(frozen=True)
-class KeySpace:
-    """Keys of one storage class, placed on a line of integers in key order.
-
-    A number sits at its integer part, a text at its first bytes after those that all keys begin with, read as one
-    large number.  ``floor`` and ``ceiling`` bound the class; a span that has its own bound on a side needs neither there,
-    so that the index is searched with one bound on each side, the tight one.
-    """
-
-    connection: sqlite3.Connection
-    table: str
-    key: str
-    text: bool = False
-    floor: str = ""
-    ceiling: str = ""
-    prefix: bytes = b""
-
-    def _bound(self, place: int):
-        if not self.text:
-            return place
-        return self.prefix + place.to_bytes(KEY_BYTES + 1, "big")[1:].rstrip(b"\0")
-
-    def _place(self, value) -> int:
-        if self.text:
-            return int.from_bytes(value[len(self.prefix):][:KEY_BYTES].ljust(KEY_BYTES, b"\0"), "big")
-        if math.isinf(value):
-            return _LAST_ID if value > 0 else _FIRST_ID
-        return max(_FIRST_ID, min(_LAST_ID, math.floor(value)))
-
-    def condition(self, span: Span | None) -> Condition:
-        """The keys of a span; of the whole space for None."""
-        marker = "CAST(? AS TEXT)" if self.text else "?"
-        first, last = (0, 256**KEY_BYTES - 1) if self.text else (_FIRST_ID, _LAST_ID)
-        low, high = span or (first, last)
-        tests, bound = [], []
-        # Open at both ends of the line: infinities sit there.
-        if low > first:
-            tests.append(f"{self.key} >= {marker}")
-            bound.append(self._bound(low))
-        elif self.floor:
-            tests.append(f"{self.key} {self.floor}")
-        if high < last:
-            tests.append(f"{self.key} < {marker}")
-            bound.append(self._bound(high + 1))
-        elif self.ceiling:
-            tests.append(f"{self.key} {self.ceiling}")
-        return Condition(" AND ".join(tests) or "1", tuple(bound))
-
-    def edges(self, span: Span | None) -> list[Span]:
-        """The span from the first to the last key within a span, by two index probes; none if it is empty."""
-        found = self.ends(span)
-        return [(self._place(found[0]), self._place(found[1]))] if found else []
-
-    def ends(self, span: Span | None = None) -> list:
-        """The first and the last key within a span, by two index probes; none if it is empty."""
-        condition, shown = self.condition(span), f"CAST({self.key} AS BLOB)" if self.text else self.key
-        found = []
-        for way in ("ASC", "DESC"):
-            query = (
-                f"SELECT {shown} FROM {quoted(self.table)} WHERE {condition.sql} ORDER BY {self.key} {way} LIMIT 1"
-            )
-            row = self.connection.execute(query, condition.bound).fetchone()
-            if row is None:
-                return []
-            found.append(row[0])
-        return found
-
-
-def _width(spans: list[Span]) -> int:
-    return sum(high - low + 1 for low, high in spans)
-
-
-def occupied_spans(space: KeySpace, pieces: int) -> list[list[Span]]:
-    """Cut a key space into at most about ``pieces`` groups of spans of like width.
-
-    Gaps between keys are cut away by index probes, so that the width of what is left bounds its rows: a table
-    whose keys sit in a few far clusters is still cut evenly.
-    """
-    spans = space.edges(None)
-    while spans:
-        total = _width(spans)
-        step = -(-total // pieces)
-        spans = [
-            part
-            for low, high in spans
-            for start in range(low, high + 1, step)
-            for part in space.edges((start, min(start + step - 1, high)))
-        ]
-        if _width(spans) > 0.9 * total:
-            break
-    if not spans:
-        return []
-
-    step = -(-_width(spans) // pieces)
-    groups: list[list[Span]] = [[]]
-    for part in spans:
-        if groups[-1] and _width(groups[-1]) + _width([part]) > step:
-            groups.append([])
-        groups[-1].append(part)
-    return groups
-
-
-def _row_id(connection: sqlite3.Connection, table: str) -> str | None:
-    """A name of the table's row id that no column hides; None for a table without one."""
-    names = {row[1].lower() for row in table_columns(connection, table)}
-    for alias in ("rowid", "_rowid_", "oid"):
-        if alias not in names:
-            try:
-                connection.execute(f"SELECT {alias} FROM {quoted(table)} LIMIT 0")
-                return alias
-            except sqlite3.OperationalError:
-                return None
-    return None
-
-
-def _is_binary(connection: sqlite3.Connection, table: str) -> bool:
-    """Whether the leading key column sorts by its bytes."""
-    for index in connection.execute(f"PRAGMA index_list({quoted(table)})").fetchall():
-        if index[3] == "pk":
-            members = connection.execute(f"PRAGMA index_xinfo({quoted(index[1])})").fetchall()
-            return members[0][4] == "BINARY" and not members[0][3]
-    return False
-
-
-def table_conditions(connection: sqlite3.Connection, table: str, pieces: int) -> list[list[Condition]]:
-    """Conditions that cut a table into about ``pieces`` shares, each row in exactly one.
-
-    The cut is by row id, or by the leading key column of a table without one, there by storage class: numbers
-    first, then text, then blobs.  Text is only cut where it sorts by its bytes and no comparison would turn it
-    into a number; what is not cut is one share.
-    """
-    row_id = _row_id(connection, table)
-    if row_id is not None:
-        space = KeySpace(connection, table, row_id)
-        return [[space.condition(span) for span in group] for group in occupied_spans(space, pieces)]
-
-    leading = next((row for row in table_columns(connection, table) if row[5] == 1), None)
-    if leading is None or not _is_binary(connection, table):
-        return [[Condition("1")]]
-    key, declared = quoted(leading[1]), (leading[2] or "").upper()
-    is_text = "INT" not in declared and any(word in declared for word in ("CHAR", "CLOB", "TEXT"))
-    numeric = not is_text and bool(declared) and ("INT" in declared or "BLOB" not in declared)
-    numbers = KeySpace(connection, table, key, ceiling="< ''")
-    texts = KeySpace(connection, table, key, text=True, floor=">= ''", ceiling="< x''")
-    if not numeric:
-        # All keys between the first and the last begin with what these two have in common.
-        texts = replace(texts, prefix=os.path.commonprefix(texts.ends()) or b"")
-    shares = []
-    for space, cut in ((numbers, not is_text), (texts, not numeric)):
-        if cut:
-            shares += [[space.condition(span) for span in group] for group in occupied_spans(space, pieces)]
-        else:
-            shares.append([space.condition(None)])
-    return [*shares, [Condition(f"{key} >= x''")]]
-
-
 def chosen_files(options) -> list[str]:
     """The files that the options name one by one, or all of their path."""
     return json.loads(options["files"]) if "files" in options else list_files(options["path"])
@@ -351,7 +146,8 @@ class SqliteRawSource(DataSource):
     """Rows of one table as cells, from every file that has the table.
 
     Options: ``table``; ``columns`` (a JSON list, default all); ``split_bytes`` (what one task reads, about); ``files``
-    (a JSON list of the files to read, default all of ``path``).
+    (a JSON list of the files to read, default all of ``path``); ``cuts`` (shares as :func:`plan_cuts` makes them;
+    without them large files are not cut); ``where`` (conditions on rows); ``push`` (whether to take a query's filters).
     """
 
     @classmethod
@@ -372,36 +168,42 @@ class SqliteRawSource(DataSource):
         return T.StructType([T.StructField(name, CELL) for name in self._columns()])
 
     def reader(self, schema: T.StructType) -> "SqliteRawReader":
-        return SqliteRawReader(self.options, schema.fieldNames())
+        kind = SqlitePushingReader if self.options.get("push") == "true" else SqliteRawReader
+        return kind(self.options, schema.fieldNames())
 
 
 class SqliteRawReader(DataSourceReader):
-    """Small files are read in groups, large ones cut into key ranges."""
+    """Reads shares that were planned, small ones in groups; whole files where nothing was planned."""
 
     def __init__(self, options, columns: list[str]) -> None:
         self.options, self.table, self.columns = dict(options), options["table"], columns
         self.split_bytes = int(options.get("split_bytes", str(SPLIT_BYTES)))
+        self.filters = list(unpack_conditions(options.get("where", "[]")))
 
     def partitions(self) -> list[InputPartition]:
-        scans: list[InputPartition] = []
-        group, held = [], 0
-        for file in chosen_files(self.options):
-            size = os.path.getsize(file)
-            if size > self.split_bytes:
-                scans += self._cut(file, -(-size // self.split_bytes))
+        if "cuts" in self.options:
+            shares = unpack_shares(self.options["cuts"])
+        else:
+            shares = [Share(file, None, os.path.getsize(file)) for file in chosen_files(self.options)]
+        scans: list[Scan] = []
+        held = 0
+        for share in shares:
+            last = scans[-1] if scans else None
+            fits = last is not None and held + share.bytes <= self.split_bytes
+            if share.conditions is None:
+                if fits and last.conditions is None:
+                    last.files.append(share.file)
+                    held += share.bytes
+                    continue
+                scans.append(Scan([share.file]))
+            elif fits and last.conditions is not None and last.files == [share.file]:
+                last.conditions.extend(share.conditions)
+                held += share.bytes
                 continue
-            if group and held + size > self.split_bytes:
-                scans.append(Scan(group))
-                group, held = [], 0
-            group.append(file)
-            held += size
-        return scans + ([Scan(group)] if group or not scans else [])
-
-    def _cut(self, file: str, pieces: int) -> list[InputPartition]:
-        with closing(connect(file)) as connection:
-            if not table_columns(connection, self.table):
-                return []
-            return [Scan([file], conditions) for conditions in table_conditions(connection, self.table, pieces)]
+            else:
+                scans.append(Scan([share.file], list(share.conditions)))
+            held = share.bytes
+        return scans or [Scan([])]
 
     def read(self, partition: Scan) -> Iterator[pa.RecordBatch]:
         listed = ", ".join(quoted(c) for c in self.columns)
@@ -419,8 +221,10 @@ class SqliteRawReader(DataSourceReader):
                 if missing:
                     raise ValueError(f"table {self.table!r} of {file!r} lacks columns {missing}")
                 query = f"SELECT {selected} FROM {quoted(self.table)}"
-                for condition in partition.conditions or [Condition("1")]:
-                    yield connection.execute(f"{query} WHERE {condition.sql}", condition.bound), file
+                for condition in [Condition("1")] if partition.conditions is None else partition.conditions:
+                    tests = [condition, *self.filters]
+                    kept = " AND ".join(f"({t.sql})" for t in tests)
+                    yield connection.execute(f"{query} WHERE {kept}", tuple(b for t in tests for b in t.bound)), file
 
     def _batches(self, cursor: sqlite3.Cursor) -> Iterator[pa.RecordBatch]:
         """Batches that close as soon as they hold enough bytes, so that none is larger by more than one row."""
@@ -435,6 +239,18 @@ class SqliteRawReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([cell_array(values) for values in zip(*rows)], self.columns)
 
 
+class SqlitePushingReader(SqliteRawReader):
+    """Also takes the filters of the query that reads it."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for filter in filters:
+            condition = translated(filter)
+            if condition is None:
+                yield filter
+            else:
+                self.filters.append(condition)
+
+
 class SqliteCountSource(DataSource):
     """Row counts of one table, per file and share.  Options as for ``sqlite_raw``."""
 
@@ -488,6 +304,26 @@ def _uniform_cells(values: tuple, only: type | None) -> pa.StructArray:
     return pa.StructArray.from_arrays([classes, *payload.values()], _CELL_NAMES)
 
 
+PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
+
+
+def planned(
+    spark: SparkSession,
+    path: str,
+    table: str,
+    split_bytes: int = SPLIT_BYTES,
+    files: list[str] | None = None,
+    columns: list[str] | None = None,
+) -> Cuts:
+    """The shares of a table.  Files that need no cut, of a table whose columns are known, are not opened for it."""
+    names = list_files(path) if files is None else files
+    sizes = [os.path.getsize(name) for name in names]
+    if columns is not None and max(sizes, default=0) <= split_bytes:
+        return Cuts(columns, [Share(name, None, size) for name, size in zip(names, sizes)])
+    found = plan_cuts(spark, {table: names}, split_bytes).get(table, Cuts([], []))
+    return Cuts(found.columns if columns is None else columns, found.shares)
+
+
 def read_cells(
     spark: SparkSession,
     path: str,
@@ -495,23 +331,46 @@ def read_cells(
     columns: list[str] | None = None,
     split_bytes: int = SPLIT_BYTES,
     files: list[str] | None = None,
+    cuts: Cuts | None = None,
+    where: Sequence[Filter] = (),
+    push: bool = False,
 ) -> DataFrame:
-    """The rows of a table over all files of ``path``, or some ``files`` of it, every column a cell struct."""
+    """The rows of a table over all files of ``path``, or some ``files`` of it, every column a cell struct.
+
+    Large files are cut by a Spark job that runs at once; ``cuts`` that were made before save it.
+
+    SQLite evaluates filters on the class and the payload fields of a cell, through its indexes where it has some, if
+    their outcome is certain to be Spark's.  ``where`` names filters that all rows must pass, such as
+    ``EqualTo(("id", "i"), 7)``; one that Spark would have to evaluate is refused.  With ``push`` Spark hands over the
+    filters of the query itself, and evaluates the others.  Spark keeps only one set of them for each frame read, so such
+    a frame must not be filtered in two ways within one query: read it twice then.  ``push`` turns on filters of Python
+    sources in the session.
+    """
     spark.dataSource.register(SqliteRawSource)
+    tests = [translated(filter) for filter in where]
+    if None in tests:
+        raise ValueError(f"SQLite cannot evaluate {[f for f, t in zip(where, tests) if t is None]}")
+    if push:
+        spark.conf.set(PUSHDOWN, "true")
+    cuts = cuts or planned(spark, path, table, split_bytes, files, columns)
+    columns = cuts.columns if columns is None else columns
+    if not columns:
+        raise ValueError(f"no table {table!r} in {path!r}")
     reader = spark.read.format("sqlite_raw").option("table", table).option("split_bytes", split_bytes)
-    if columns is not None:
-        reader = reader.option("columns", json.dumps(columns))
-    if files is not None:
-        reader = reader.option("files", json.dumps(files))
-    return reader.load(path)
+    reader = reader.option("columns", json.dumps(columns)).option("cuts", cuts.packed())
+    return reader.option("where", pack_conditions(tests)).option("push", str(push).lower()).load(path)
 
 
 def sqlite_counts(
-    spark: SparkSession, path: str, table: str, split_bytes: int = SPLIT_BYTES, files: list[str] | None = None
+    spark: SparkSession,
+    path: str,
+    table: str,
+    split_bytes: int = SPLIT_BYTES,
+    files: list[str] | None = None,
+    cuts: Cuts | None = None,
 ) -> DataFrame:
-    """``(file, rows)`` of a table; a large file has a row per share."""
+    """``(file, rows)`` of a table; a large file has a row per condition of its shares."""
     spark.dataSource.register(SqliteCountSource)
+    cuts = cuts or planned(spark, path, table, split_bytes, files, [])
     reader = spark.read.format("sqlite_counts").option("table", table).option("split_bytes", split_bytes)
-    if files is not None:
-        reader = reader.option("files", json.dumps(files))
-    return reader.load(path)
+    return reader.option("cuts", cuts.packed()).load(path)

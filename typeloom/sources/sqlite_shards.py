@@ -18,7 +18,7 @@ from typeloom.functions import types as N
 from typeloom.functions.lexical import named, quoted
 from typeloom.functions.render import display_text
 from typeloom.operators.audit import PRIMARY_KEY, Constraint
-from typeloom.sources.sqlite_files import local_path
+from typeloom.sources.sqlite_connect import local_path
 
 SHARD_SUFFIX = ".sqlite"
 _STAGED = "_staged-"
