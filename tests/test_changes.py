@@ -200,8 +200,13 @@ def test_cascade_down_a_long_chain(spark):
     assert sorted(r["id"] for r in kept["t"].collect()) == [1, 2, 3, 4]
 
 
-def test_edits_never_sort_the_log_to_aggregate_it(spark, base):
-    log = spark.createDataFrame([(1, "x", 1, "update", {"v": "2"})], LOG)
-    edits = spark.createDataFrame([(1, "x", 1, "v", "2")], "a int, b string, seq bigint, column string, value string")
-    for df in (apply_changes(base, log, ["a", "b"]), apply_updates(base, edits, ["a", "b"])):
-        assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()
+def test_edits_read_and_shuffle_the_log_once(spark, base, tmp_path):
+    log = [(1, "x", n, "update", {"v": str(n)}) for n in range(20)] + [(1, "y", 7, "delete", None)]
+    spark.createDataFrame(log, LOG).write.parquet(f"{tmp_path}/log")
+    log = spark.read.parquet(f"{tmp_path}/log")
+    edits = log.filter("op = 'update'").selectExpr("a", "b", "seq", "'v' AS column", "set['v'] AS value")
+    # One scan and aggregation of the writes; the log's inserts are a second branch.
+    for df, scans in ((apply_updates(base, edits, ["a", "b"]), 1), (apply_changes(base, log, ["a", "b"]), 2)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == scans and plan.count("Aggregate(key=[__key_0") == 2
+        assert plan.count("Join") == 1 and plan.count("Exchange") <= 3

@@ -94,31 +94,23 @@ def _checked_column(column: Column, allowed: Sequence[str]) -> Column:
     return F.when(column.isin(*allowed), column).otherwise(F.raise_error(message).cast("string"))
 
 
-def _last_writes(writes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per key: in ``__writes`` the last write to each column that is set, as ``struct(column, seq, value)``.
+def _last_writes(writes: DataFrame, keys: Sequence[str], names: Sequence[str | None]) -> DataFrame:
+    """One row per key, with ``__write_<n>`` the last write to ``names[n]`` as ``struct(seq, value)``, or NULL.
 
-    ``writes`` has the keys, ``seq``, ``column`` and ``value``.  The last ``seq`` per key and column is a number of fixed
-    width and found by hashing, pre-aggregated; only the writes that have it go on, and there are no more of them per key
-    than columns.  The value may be NULL: that a column is listed says that it is set.
+    ``writes`` has the keys, ``seq``, ``column`` and ``value``; of several with one ``seq`` the largest value counts, and
+    the value may be NULL.  It is read once and shuffled once, a key's writes reduced to one row by each task before.
+    Texts have no fixed width, so Spark sorts a task's writes by key to reduce them; finding the last ``seq`` by hashing
+    instead and joining the writes with it takes two scans and three shuffles of them, and twice the time.
     """
-    by = [*keys, "column"]
-    last = writes.groupBy(*by).agg(F.max("seq").alias("__last"))
-    last = last.select("__last", *[F.col(k).alias(f"{k}__of") for k in by])
-    newest = writes.join(last, reduce(and_, [F.col(k).eqNullSafe(F.col(f"{k}__of")) for k in by]))
-    newest = newest.filter(F.col("seq") == F.col("__last"))
-    entries = F.array_sort(F.collect_set(F.struct("column", "seq", "value")))
-    return newest.groupBy(*keys).agg(entries.alias("__writes"))
-
-
-def _last_write(name: str | None) -> Column:
-    """The last write to a column, NULL if there is none; of several with one ``seq`` that of the largest value."""
-    listed = F.coalesce("__writes", F.array())
-    return F.try_element_at(F.filter(listed, lambda w: w["column"].eqNullSafe(F.lit(name))), F.lit(-1))
+    write = F.struct("seq", "value")
+    lasts = [
+        F.max(F.when(F.col("column").eqNullSafe(F.lit(name)), write)).alias(f"__write_{n}") for n, name in enumerate(names)
+    ]
+    return writes.groupBy(*keys).agg(*lasts)
 
 
 def _merged(rows: DataFrame, base: DataFrame, names: Sequence[str], since: Column | None = None) -> DataFrame:
-    """The base columns of ``rows`` with the last writes to ``names`` applied; with ``since`` set, only later writes are."""
-    rows = rows.withColumns({f"__write_{n}": _last_write(name) for n, name in enumerate(names)})
+    """The base columns of ``rows`` with the writes ``__write_<n>`` to ``names`` applied; with ``since`` set, only later ones."""
     writes = {name: F.col(f"__write_{n}") for n, name in enumerate(names)}
     typed = with_typed_texts(rows, [(writes[name]["value"], base.schema[name]) for name in names])
     columns = []
@@ -145,7 +137,8 @@ def apply_updates(
     settable = list(columns or base.columns)
     checked = _checked_column(F.col("column"), settable).alias("column")
     writes = changes.select(*_renamed_keys(keys), "seq", checked, "value")
-    joined = base.join(_last_writes(writes, [_key_name(n) for n in range(len(keys))]), key_match(keys), "left")
+    state = _last_writes(writes, [_key_name(n) for n in range(len(keys))], settable)
+    joined = base.join(state, key_match(keys), "left")
     return _merged(joined, base, settable)
 
 
@@ -239,7 +232,7 @@ def apply_changes(
     nothing = F.struct(F.lit(None).cast("string").alias("column"), F.lit(None).cast("string").alias("value"))
     entries = F.when(is_update, written).otherwise(F.array(nothing))
     writes = log.filter(F.col("op") != INSERT).select(*_renamed_keys(keys), "seq", F.inline(entries))
-    state = _last_writes(writes, [_key_name(n) for n in range(len(keys))])
+    state = _last_writes(writes, [_key_name(n) for n in range(len(keys))], [*settable, None])
 
     inserts = log.filter(F.col("op") == INSERT)
     others = F.map_filter(
@@ -254,7 +247,7 @@ def apply_changes(
     # A row of the table is older than every entry.
     rows = base.withColumn("__seq", F.lit(None).cast(typed.schema["__seq"].dataType)).unionByName(typed)
     met = rows.join(state, key_match(keys), "left")
-    deleted = _last_write(None)["seq"]
+    deleted = F.col(f"__write_{len(settable)}")["seq"]
     lives = deleted.isNull() | F.coalesce(F.col("__seq") > deleted, F.lit(False))
     return _merged(met.filter(lives), base, settable, since=F.col("__seq"))
 
