@@ -137,18 +137,12 @@ def brute_cuts(rows):
                 held.setdefault(x, []).append(i)
     out = {}
     for i, lines in bare.items():
-        by_holder = {}
-        for x in lines:
-            if x and held[x][0] != i:
-                by_holder.setdefault(held[x][0], []).append(len(held[x]))
-        full = sum(1 for x in lines if x)
         gone, earlier = set(), []
-        for other, counts in by_holder.items():
-            if min(counts) <= linedup.RARE or len(counts) >= min(linedup.MANY, full):
-                blocks = linedup.common_blocks(lines, [x for x in bare[other] if x], [len(x) for x in lines])
-                if blocks:
-                    earlier.append(other)
-                gone |= {n for a, b in blocks for n in range(a, b)}
+        for other in sorted({held[x][0] for x in lines if x and held[x][0] != i}):
+            blocks = linedup.common_blocks(lines, [x for x in bare[other] if x], [len(x) for x in lines])
+            if blocks:
+                earlier.append(other)
+            gone |= {n for a, b in blocks for n in range(a, b)}
         out[i] = ("\n".join(x for n, x in enumerate(docs[i]) if n not in gone), len(gone), sorted(earlier))
     return out
 
@@ -164,8 +158,7 @@ def test_lines_of_the_documents(spark):
         assert found[i]["kept_sha256"] == hashlib.sha256(text.encode()).hexdigest()
 
 
-def test_line_cases(spark, monkeypatch):
-    monkeypatch.setattr(linedup, "RARE", 3)
+def test_line_cases(spark):
     line = lambda n: f"line {n} " + "x" * 60
     common = "a line that all have " + "y" * 100
     rows = [(n, "\n".join([line(10 * n + k) for k in range(3)] + [common])) for n in range(8)]
@@ -175,8 +168,8 @@ def test_line_cases(spark, monkeypatch):
     found = {r["row"]["doc_id"]: (r["kept"], r["n_removed"], r["earlier"]) for r in linedup.cut_lines(frame).collect()}
     wanted = brute_cuts(rows)
     assert found == wanted
-    # A common line alone marks no overlap; a blank line goes with the block around it; one short line stays.
-    assert found[3][1] == 0 and found[20] == ("own", 5, [0, 1]) and found[21][1] == 0
+    # A long line goes however many have it; a blank line goes with the block around it; one short line stays.
+    assert found[3][1] == 1 and found[20] == ("own", 5, [0, 1]) and found[21][1] == 0
     assert all(found[30 + n] == ("", 3, [5]) for n in range(6))
     kept = linedup.cut_documents(frame)
     assert kept.columns == frame.columns

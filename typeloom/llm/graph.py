@@ -12,7 +12,9 @@ def components(links: DataFrame) -> DataFrame:
     """``id`` and ``comp``, the least id it is linked to by any chain of the links ``a``, ``b``; only linked ids occur.
 
     Alternates large and small stars: each round links the larger, then the smaller, neighbours of an id to the least
-    one, so the rounds grow with the logarithm of the longest chain.  Each round is written, and read by the next.
+    one, so the rounds grow with the logarithm of the longest chain.  Each round is written, and read by the next.  Least
+    neighbours are written before their joins too: those are then joins of plain tables, in which Spark can split the rows
+    of a large star.
     """
     ordered = links.filter(F.col("a") != F.col("b")).select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
@@ -22,8 +24,10 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = stored(least, "least")
         large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = stored(large, "large")
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.filter(F.col("u") != F.col("v")).unionByName(least.select("u", F.col("m").alias("v")))
         links = stored(small.distinct(), "links")

@@ -8,7 +8,6 @@ pairs of a run grow with its holders and never with their square.
 from __future__ import annotations
 
 import hashlib
-import math
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -20,11 +19,6 @@ from pyspark.sql import functions as F
 from typeloom.llm.common import digest, stored, text_of
 from typeloom.llm.registry import load, query
 
-#: A run of lines is rare if so many documents hold it at most.  All runs are, so no pair is passed over; only who wants
-#: to keep frequent passages sets a limit.
-RARE = math.inf
-#: Lines that a document must share with the same earliest holder if no run of them is rare, unless it has fewer.
-MANY = 3
 #: Characters in an aligned block that is cut, at least.
 BLOCK_CHARS = 100
 
@@ -187,13 +181,8 @@ def overlaps(documents: DataFrame) -> DataFrame:
     first = stored(first, "line-holders")
     shared = held.drop("doc_id").join(first, "run").filter(F.col("id") != F.col("first.id"))
     pairs = shared.groupBy("id", F.col("first.id").alias("other")).agg(
-        F.first("first.doc_id").alias("of"),
-        *([F.min("n").alias("rarest"), F.collect_set(F.struct("start", "end")).alias("runs")] if RARE < math.inf else []),
+        F.first("first.doc_id").alias("of")
     )
-    if RARE < math.inf:
-        n_shared = F.size(F.array_distinct(F.flatten(F.transform("runs", lambda x: F.sequence(x["start"], x["end"] - 1)))))
-        full = texts.select("id", F.size(F.filter("sizes", lambda s: s > 0)).alias("full"))
-        pairs = pairs.join(full, "id").filter((F.col("rarest") <= RARE) | (n_shared >= F.least(F.lit(MANY), F.col("full"))))
     pairs = pairs.select("id", "other", "of").join(texts.select("id", "lines", "sizes"), "id")
     others = texts.select(
         F.col("id").alias("other"), F.col("lines").alias("other_lines"), F.col("sizes").alias("other_sizes")

@@ -185,32 +185,32 @@ def _aligned_share(in_a: np.ndarray, in_b: np.ndarray, size_a: int, size_b: int,
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text against its centre: common shingles, whether they are a link, and some that the centre lacks."""
+    """Each text against its centre: whether they are a link, and the shingles in which they differ, those that only the
+    centre has with all bits turned."""
     for batch in batches:
         rows: list[tuple] = []
         for left, right in zip(batch.column("x"), batch.column("y"), strict=True):
             a, b = (np.frombuffer(s.as_buffer(), np.uint64) for s in (left, right))
             in_a, in_b = _common(a, b)
-            own = np.ones(len(a), bool)
-            own[in_a] = False
+            own, lost = np.ones(len(a), bool), np.ones(len(b), bool)
+            own[in_a] = lost[in_b] = False
             # Whole numbers' quotients, so that 0.8 itself is a link.
             linked = _aligned_share(in_a, in_b, len(a), len(b), LEAST) >= LEAST - 1e-12
-            # A text that is a link of this one has four fifths of its length, so they share so many at least of what the
-            # centre lacks, and therefore one of all but so many, in any order that is the same for all texts.
-            needed = max(int(np.ceil(LEAST * len(a) - 1e-9)) - len(in_a), 1)
-            novel = np.sort(a[own])
-            rows.append((len(a), len(b), len(in_a), linked, novel[: max(len(novel) - needed + 1, 0)].view(np.int64)))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
+            parted = np.concatenate([a[own], ~b[lost]]).view(np.int64)
+            rows.append((len(a), linked, len(parted), parted))
+        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64()))
         columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
         made = [pa.array(list(c), kind) for c, kind in zip(columns, kinds, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("cid"), *made], names=TESTED_NAMES)
 
 
-TESTED_NAMES = ["id", "cid", "n", "cn", "common", "linked", "novel"]
-TESTED = "id binary, cid binary, n long, cn long, common long, linked boolean, novel array<long>"
+TESTED_NAMES = ["id", "cid", "n", "linked", "apart", "parted"]
+TESTED = "id binary, cid binary, n long, linked boolean, apart long, parted array<long>"
 #: Rounds of centres.  Texts that are then still open, each unlike the centres it met, are compared with all open ones
-#: that share a sketch with it.
+#: that share one of its rare differences from a centre.
 ROUNDS = 2
+#: Two texts are a link only if they differ in this share at most of their shingles together.
+APART = 1 - 2 * NEEDED + 1e-9
 
 
 def _tested(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
@@ -253,25 +253,62 @@ def _named(rows: DataFrame, comps: DataFrame, id: str, comp: str) -> DataFrame:
     return rows.join(names, id, "left").withColumn(comp, F.coalesce(comp, id))
 
 
-def _shorter_pairs(tested: DataFrame) -> DataFrame:
-    """Pairs around a centre of which one could be a link within what it has in common with the centre.
+def _close_pairs(tested: DataFrame) -> DataFrame:
+    """Pairs around a centre so close to it that they may be a link whatever they have in common.
 
-    Those are texts shorter by some percent, which are found by their lengths in steps of one percent.
+    They differ by no more than both differ from the centre together.  Texts as close as that are links of the centre
+    themselves, but for those with parts in another order.
     """
-    step = lambda n: F.floor(F.log(n) / F.log(F.lit(1.01)))
-    most = F.floor(F.col("common") / F.lit(NEEDED)) - F.col("n")
-    low = F.greatest(F.ceil(F.col("n") * F.lit(LEAST - 1e-9)), F.lit(1))
-    open_ = tested.filter(F.col("comp") != F.col("ccomp")).withColumn("most", most).withColumn("low", low)
-    open_ = open_.filter(F.col("most") >= F.col("low"))
-    open_ = open_.select(
-        "cid", "id", "low", "most", "comp", F.explode(F.sequence(step(F.col("low")), step(F.col("most")))).alias("step")
+    near = tested.filter(F.col("apart") <= APART * (1 + 1 / LEAST) * F.col("n"))
+    open_ = near.filter(F.col("comp") != F.col("ccomp")).select("cid", "id", "comp", "n", "apart")
+    others = near.select("cid", *(F.col(c).alias(f"other_{c}") for c in ("id", "comp", "n", "apart")))
+    both = F.col("apart") + F.col("other_apart") <= APART * (F.col("n") + F.col("other_n"))
+    met = open_.join(others, "cid").filter(both & (F.col("comp") != F.col("other_comp")))
+    return met.select("id", F.col("other_id").alias("cid")).distinct()
+
+
+def _rare_keys(tested: DataFrame) -> DataFrame:
+    """Keys that texts of one centre have in common if they are links, apart from close pairs.
+
+    Two texts differ in what only one of them differs in from the centre.  So links share, of the ``apart`` shingles that
+    each differs in, all but a share of their lengths.  Each text lists these from the rarest on, by how many texts of the
+    centre have them; the first of the common ones is then among the first few of both, and of the text that is less apart
+    among the first half of them (``short``).  Shingles that no other text has come first, and mostly leave nothing to
+    list.  Keys of one component are left out.  ``rest`` is how many more shared shingles a text lists from the key on.
+    """
+    parted = tested.select("cid", "id", "comp", "n", "apart", F.explode("parted").alias("shingle"))
+    held = parted.groupBy("cid", "shingle").agg(
+        F.count("*").alias("holders"), F.min("comp").alias("low"), F.max("comp").alias("high")
+    )
+    held = stored(held.filter(F.col("holders") > 1), "near-holders")
+    many = (F.col("low") != F.col("high")).alias("many")
+    # One text's shingles at most.
+    listed = F.array_sort(F.collect_list(F.struct("holders", "shingle", many))).alias("listed")
+    shared = parted.join(held, ["cid", "shingle"]).groupBy("cid", "id", "n", "apart").agg(listed)
+    most = F.floor(APART * (1 + 1 / LEAST) * F.col("n")) + 1
+    half = F.floor(APART * (1 + 1 / LEAST) / 2 * F.col("n")) + 1
+    alone = F.col("apart") - F.size("listed")
+    taken = F.slice("listed", F.lit(1), F.greatest(most - alone, F.lit(0)).cast("int"))
+    keys = shared.select("cid", "id", "n", "apart", F.size("listed").alias("size"), (half - alone).alias("half"), F.posexplode(taken).alias("place", "k"))
+    return keys.filter("k.many").select(
+        F.xxhash64("cid", "k.shingle").alias("key"), "id", "n", "apart",
+        (F.col("size") - F.col("place")).alias("rest"), (F.col("place") < F.col("half")).alias("short"),
     )
-    others = tested.select(
-        "cid", F.col("id").alias("other"), F.col("n").alias("size"), F.col("comp").alias("other_comp"), step(F.col("n")).alias("step")
+
+
+def _rare_pairs(keys: DataFrame) -> DataFrame:
+    """Pairs of different components with a key in common, that leaves enough shared shingles for a link."""
+    others = keys.select("key", *(F.col(c).alias(f"other_{c}") for c in ("id", "comp", "n", "apart", "rest")))
+    met = keys.filter("short").join(others, "key")
+    shared = F.col("apart") + F.col("other_apart") - APART * (F.col("n") + F.col("other_n"))
+    met = met.filter(
+        (F.col("comp") != F.col("other_comp"))
+        & (F.col("apart") <= F.col("other_apart"))
+        & (F.least("n", "other_n") >= (LEAST - 1e-9) * F.greatest("n", "other_n"))
+        & (2 * F.least("rest", "other_rest") >= shared)
     )
-    met = open_.join(others, ["cid", "step"])
-    met = met.filter(F.col("size").between(F.col("low"), F.col("most")) & (F.col("comp") != F.col("other_comp")))
-    return met.select("id", F.col("other").alias("cid")).distinct()
+    pair = F.least("id", "other_id").alias("id"), F.greatest("id", "other_id").alias("cid")
+    return met.select(*pair).distinct()
 
 
 def near_classes(texts: DataFrame) -> DataFrame:
@@ -279,15 +316,14 @@ def near_classes(texts: DataFrame) -> DataFrame:
 
     In each bucket of equal sketches every text is compared with one centre, mostly the same for all buckets of a group;
     so a group of copies costs each copy a few comparisons and never all pairs.  Take a link between two texts of a
-    bucket that are then in different components: one of them is no link of the centre.  Either the link fits into what
-    that text has in common with the centre, and the other is a shorter text, or the two share shingles that the centre
-    lacks.  The former pairs are compared, and the latter meet in the buckets of the next round, by centre and shingle.
-    So no link between texts that share a sketch is lost.
+    bucket that are then in different components: one of them is no link of the centre.  Either both are so close to it
+    that only the order of their parts can have kept them apart, or they share what they differ in from it, by
+    :func:`_rare_keys`.  The former pairs are compared, and the latter meet in the buckets of the next round, by centre and
+    shingle, and after the last round each other.  So no link between texts that share a sketch is lost.
     """
     found = texts.mapInArrow(_sketch, "id binary, n long, keys array<long>").dropDuplicates(["id"])
     buckets = _centred(stored(found.select("id", F.explode("keys").alias("key")), "near-sketches"))
     buckets = stored(buckets, "near-buckets")
-    sketched = buckets.select("key", "id")
     whole = texts.groupBy("id").agg(F.first("text").alias("text")).join(buckets.select("id").distinct(), "id")
     sequences = stored(whole.mapInArrow(_sequences, "id binary, shingles binary"), "near-sequences")
     comps = links = None
@@ -303,25 +339,16 @@ def near_classes(texts: DataFrame) -> DataFrame:
         if not round_:
             # Only texts around a centre that is not linked to all of them can still be compared.
             sequences = stored(sequences.join(tested.select("id").distinct(), "id"), "near-sequences")
-        shorter = _tested(_shorter_pairs(tested), sequences)
-        links = _links(shorter)
-        keys = tested.select("id", "comp", F.explode("novel").alias("shingle"), "cid")
-        keys = keys.select("id", "comp", F.xxhash64("cid", "shingle").alias("key"))
-        # Buckets of one component, or of one text, have nothing left to find.
-        of_many = keys.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-        of_many = stored(of_many.filter(F.col("low") != F.col("high")).select("key"), "near-keys")
-        keys = stored(keys.join(of_many, "key").select("key", "id").distinct(), "near-sketches")
+        links = _links(_tested(_close_pairs(tested), sequences))
+        keys = stored(_rare_keys(tested), "near-keys")
         if keys.isEmpty():
             return _joined(comps, links)
         if round_ + 1 < ROUNDS:
             # What is left is small beside the first round.
-            buckets = stored(_centred(keys, lambda df, _: df), "near-buckets")
+            buckets = stored(_centred(keys.select("key", "id").distinct(), lambda df, _: df), "near-buckets")
     comps = _joined(comps, links)
-    rest = sketched.join(keys.select("id").distinct(), "id")
-    rest = stored(_named(rest, comps, "id", "comp"), "near-rest")
-    others = rest.select("key", F.col("id").alias("cid"), F.col("comp").alias("ccomp"))
-    rest = rest.join(others, "key").filter((F.col("comp") != F.col("ccomp")) & (F.col("id") < F.col("cid")))
-    return _joined(comps, _links(_tested(rest.select("id", "cid").distinct(), sequences)))
+    rest = stored(_named(keys, comps, "id", "comp"), "near-rest")
+    return _joined(comps, _links(_tested(_rare_pairs(rest), sequences)))
 
 
 def classes(documents: DataFrame) -> DataFrame:

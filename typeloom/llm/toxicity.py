@@ -24,8 +24,9 @@ from typeloom.llm.registry import load, query
 SAMPLE_ROWS = 20_000
 #: Terms that get parameters: those whose share differs most between the classes of the sample.
 MODEL_TERMS = 2_000
-#: Least standard deviations between the two shares of a term, and least texts of the sample that hold it.
-LEAST_Z, LEAST_TEXTS = 4.0, 3
+#: Least standard deviations between the two shares of a term, and least texts of the sample that hold it.  Terms that
+#: matter mostly in pairs differ little by themselves, so the bound is low.
+LEAST_Z, LEAST_TEXTS = 2.0, 3
 FACTORS, EPOCHS, RATE, DECAY = 8, 120, 0.05, 1e-5
 #: Lengths of word beginnings that are terms; further ones stand for as many words, or more, that begin alike.
 STEMS, ALIKE = range(3, 8), (2, 4)
