@@ -16,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from typeloom.llm.common import digest, stored, text_of
+from typeloom.llm.common import digest, slices, stored, text_of
 from typeloom.llm.registry import load, query
 
 #: Characters in an aligned block that is cut, at least.
 BLOCK_CHARS = 100
+#: Lines that a task turns into Python objects at once.
+PIECE_LINES = 50_000
 
 
 def patience(a: list, b: list) -> list[tuple[int, int]]:
@@ -117,7 +119,7 @@ def runs(sizes: list[int], least: int = BLOCK_CHARS) -> set[tuple[int, int]]:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, ["lines"], PIECE_LINES):
         rows, keys, starts, ends = [], [], [], []
         columns = (batch.column(n).to_pylist() for n in ("lines", "sizes"))
         for row, (lines, sizes) in enumerate(zip(*columns, strict=True)):
@@ -139,7 +141,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    for batch in batches:
+    for batch in slices(batches, ["lines", "other_lines"], PIECE_LINES):
         found = []
         columns = (batch.column(n).to_pylist() for n in ("lines", "sizes", "other_lines", "other_sizes"))
         for lines, sizes, other, other_sizes in zip(*columns, strict=True):

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from typeloom.llm.common import digest, pieces, stored, text_of
+from typeloom.llm.common import PIECE_CHARS, digest, pieces, slices, stored, text_of
 from typeloom.llm.graph import components
 from typeloom.llm.registry import load, query
 
@@ -115,7 +115,7 @@ def sketches(labelled: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = _WordHashes()
-    for batch in batches:
+    for batch in slices(batches, ["text"], PIECE_CHARS):
         ids, texts = batch.column("id"), batch.column("text").to_pylist()
         for start, end in pieces(texts):
             labelled, counts = labelled_shingles(texts[start:end], words)
@@ -134,7 +134,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = _WordHashes()
-    for batch in batches:
+    for batch in slices(batches, ["text"], PIECE_CHARS):
         texts = batch.column("text").to_pylist()
         for start, end in pieces(texts):
             labelled, counts = labelled_shingles(texts[start:end], words)
