@@ -2,9 +2,10 @@ import pytest
 
 from tests.conftest import rows
 from typeloom.operators.audit import (
-    FOREIGN_KEY, NOT_NULL, PRIMARY_KEY, UNIQUE, Constraint, audit_catalog, audit_foreign_key, audit_not_null,
+    FOREIGN_KEY, NOT_NULL, PRIMARY_KEY, UNIQUE, Constraint, audit_foreign_key, audit_not_null,
     audit_primary_key, audit_unique, kind_profile, null_profile, reconcile,
 )
+from typeloom.operators.audit_all import audit_catalog
 from typeloom.operators.catalog import (
     catalog_columns, catalog_summary, catalog_tables, columns_of, constraints_of, create_index_ddl, create_table_ddl,
     declared_of, dropped_defaults, fk_edges, register_view, schema_fingerprint,

@@ -92,35 +92,6 @@ def audit_foreign_key(
     return used.join(known, match, "left_anti")
 
 
-def audit_catalog(tables: Mapping[str, DataFrame], constraints: Sequence[Constraint]) -> DataFrame:
-    """Violations of each constraint: ``(table, rule, columns, violations)``.
-
-    Counted are rows for NOT NULL and foreign keys, distinct keys for primary keys and UNIQUE.  All NOT NULL
-    rules of a table share one pass.
-    """
-    results = []
-    for table in dict.fromkeys(c.table for c in constraints if c.rule == NOT_NULL):
-        columns = [col for c in constraints if (c.table, c.rule) == (table, NOT_NULL) for col in c.columns]
-        counts = [((table, NOT_NULL, col), F.count_if(named(col).isNull())) for col in columns]
-        results.append(_as_rows(tables[table], counts, ["table", "rule", "columns"]))
-    for c in constraints:
-        if c.rule == NOT_NULL:
-            continue
-        if c.rule == PRIMARY_KEY:
-            bad, count = audit_primary_key(tables[c.table], c.columns), F.count(F.lit(1))
-        elif c.rule == UNIQUE:
-            bad, count = audit_unique(tables[c.table], c.columns), F.count(F.lit(1))
-        elif c.rule == FOREIGN_KEY:
-            bad = audit_foreign_key(tables[c.table], c.columns, tables[c.ref_table], c.ref_columns)
-            count = F.coalesce(F.sum("n"), F.lit(0))
-        else:
-            raise ValueError(f"unknown rule {c.rule!r}")
-        results.append(_as_rows(bad, [((c.table, c.rule, ",".join(c.columns)), count)], ["table", "rule", "columns"]))
-    if not results:
-        raise ValueError("no constraints given")
-    return reduce(DataFrame.unionByName, results).withColumnRenamed("n", "violations")
-
-
 def _tagged_counts(df: DataFrame, f: T.StructField) -> list[tuple[tuple[str, str], Column]]:
     column = named(f.name)
     if is_struct_of(f.dataType, CELL):

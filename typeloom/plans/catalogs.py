@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 
 from typeloom.functions.types import map_declared_types
 from typeloom.operators.audit import (
-    FOREIGN_KEY, NOT_NULL, PRIMARY_KEY, UNIQUE, Constraint, audit_catalog, audit_foreign_key, audit_not_null,
+    FOREIGN_KEY, NOT_NULL, PRIMARY_KEY, UNIQUE, Constraint, audit_foreign_key, audit_not_null,
     audit_primary_key, audit_unique,
 )
+from typeloom.operators.audit_all import audit_catalog
 from typeloom.operators.catalog import (
     catalog_columns, catalog_summary, catalog_tables, create_index_ddl, create_table_ddl, dropped_defaults, fk_edges,
     register_view, schema_fingerprint,
 )
+from typeloom.operators.drift import catalog_drift
 from typeloom.plans.registry import load, query
 
 # The given tables and how many columns each has.
@@ -281,3 +283,21 @@ def all_audits(spark: SparkSession, sf: str) -> DataFrame:
     tables = {t: load(spark, sf, t) for t in ("lineitem", "customer")}
     tables["orders"] = load(spark, sf, "orders").filter("o_totalprice > 20000")
     return audit_catalog(tables, AUDITED)
+
+
+@query(
+    "catalog_drift",
+    """SELECT * FROM VALUES ('lineitem', 'l_discount', 'dropped', 'FLOAT64', NULL),
+           ('lineitem', 'l_tax', 'renamed', 'l_tax', 'l_duty'), ('lineitem', 'l_quantity', 'retyped', 'FLOAT64', 'TEXT'),
+           ('lineitem', 'l_net', 'added', NULL, 'FLOAT64'), ('lineitem', 'l_returnflag', 'moved', '7', '8'),
+           ('lineitem', 'l_linestatus', 'moved', '8', '7')
+       AS t("table", "column", change, before, after)""",
+)
+def drifted_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """What a release did to lineitem: a column renamed, one retyped, two exchanged, one dropped, one added."""
+    old = load(spark, sf, "lineitem")
+    new = old.selectExpr(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "CAST(l_quantity AS string) AS l_quantity", "l_extendedprice",
+        "l_tax AS l_duty", "l_linestatus", "l_returnflag", "l_shipdate", "l_extendedprice * (1 - l_discount) AS l_net",
+    )
+    return catalog_drift({"lineitem": old}, {"lineitem": new})

@@ -158,6 +158,14 @@ def sorted_table(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+@query("zordered_table", "SELECT * FROM lineitem")
+def zordered_table(spark: SparkSession, sf: str) -> DataFrame:
+    """A table laid out for lookups by part, by supplier or by date."""
+    path = fresh_path(spark, "zordered-table")
+    write_table(load(spark, sf, "lineitem"), path, zorder_by=["l_partkey", "l_suppkey", "l_shipdate"])
+    return spark.read.parquet(path)
+
+
 @query(
     "sorted_order",
     """SELECT count(*) AS n, min(l_orderkey) AS low, max(l_orderkey) AS high, true AS files_in_order FROM lineitem""",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from typeloom.functions.lexical import named
 from typeloom.sources.folders import entry_names
+from typeloom.sources.zorder import zordered_layout
 
 SUFFIX = ".parquet"
 
@@ -48,9 +49,15 @@ def write_table(
     sort_by: Sequence[str] | None = None,
     files: int | None = None,
     max_rows_per_file: int = 0,
+    zorder_by: Sequence[str] | None = None,
 ) -> None:
-    """Write one parquet table; committed as a whole or not at all.  ``sort_by`` stands in for an index."""
-    laid_out = sorted_layout(df, sort_by, files) if sort_by else df
+    """Write one parquet table; committed as a whole or not at all.
+
+    ``sort_by`` stands in for an index, ``zorder_by`` for one on each of its columns.
+    """
+    if sort_by and zorder_by:
+        raise ValueError("a table has one layout: sort_by or zorder_by")
+    laid_out = sorted_layout(df, sort_by, files) if sort_by else zordered_layout(df, zorder_by, files) if zorder_by else df
     laid_out.write.mode(mode).option("maxRecordsPerFile", max_rows_per_file).parquet(path)
 
 
