@@ -397,12 +397,85 @@ def test_mixing_keeps_within_a_block(spark):
 def test_mixing_awkward_rows(spark):
     found = mixing.mix(edges(spark), block_chars=1000, slots=20, streams=2).collect()
     assert sorted((tuple(r)[:5] for r in found), key=same) == sorted(EDGES, key=same)
-    assert {r["mix_stream"] for r in found} == {"a", "b", mixing.REST}
+    assert {r["mix_stream"] for r in found} == {"a", "b", "c", mixing.NO_SOURCE}
     assert mixing.mix(edges(spark, [])).count() == 0
     with pytest.raises(ValueError, match="slot"):
         mixing.mix(edges(spark), slots=5, streams=5)
 
 
+def brute_parts(weights, sizes, slots):
+    """Slots of each stream, larger ones first, and their order."""
+    order = sorted(weights, key=lambda s: (-sizes[s], s))
+    low = [1 + weights[s] * (slots - len(order)) // sum(weights.values()) for s in order]
+    return order, [p + (n < slots - sum(low)) for n, p in enumerate(low)]
+
+
+def brute_slots(order, parts, slots):
+    """The slots of each stream in one round, and the slot of any of its blocks."""
+    turns = {s: [] for s in order}
+    for t, i in enumerate(brute_round(parts, slots)):
+        turns[order[i]].append(t)
+    return lambda s, k: k // len(turns[s]) * slots + turns[s][k % len(turns[s])]
+
+
+def test_mixing_gives_every_source_its_turns(spark):
+    # Three sources stand in the round; the other 34 share a place of it, by way of 12, 4 and 2 rounds below.
+    sizes = {f"s{n:02}": 1000 * (3 + n * 7 % 40) for n in range(35)} | {mixing.REST: 60_000, "=": 90_000}
+    rows = [(n, "x" * 1000, "en", s, 0) for s, size in sizes.items() for n in range(size // 1000)]
+    found = mixing.mix(edges(spark, rows), block_chars=2000, slots=11, streams=3).collect()
+    assert len(found) == len(rows) and all(r["mix_stream"] == r["source"] for r in found)
+    roots = {s: int(size**0.5) for s, size in sizes.items()}
+    order = sorted(sizes, key=lambda s: (-sizes[s], s))
+    level = {s: (s, sizes[s], roots[s]) for s in order[3:]}
+    ups = []
+    names = order[3:]
+    while True:
+        groups = [names[n : n + 3] for n in range(0, len(names), 3)]
+        up = {}
+        for n, group in enumerate(groups):
+            slot = brute_slots(*brute_parts({s: level[s][2] for s in group}, {s: level[s][1] for s in group}, 11), 11)
+            up |= {s: (str(n), slot) for s in group}
+        ups.append(up)
+        level = {str(n): (str(n), sum(level[s][1] for s in g), sum(level[s][2] for s in g)) for n, g in enumerate(groups)}
+        names = list(level)
+        if len(names) == 1:
+            break
+    _, size, root = level["0"]
+    top = brute_slots(*brute_parts(
+        {"=" + s: roots[s] for s in order[:3]} | {"-": root}, {"=" + s: sizes[s] for s in order[:3]} | {"-": size}, 11), 11)
+
+    def slot_of(source, block):
+        if source in order[:3]:
+            return top("=" + source, block)
+        for up in ups:
+            source, slot = up[source][0], up[source][1](source, block)
+            block = slot
+        return top("-", block)
+
+    end = min(slot_of(s, -(-size // 2000)) for s, size in sizes.items())
+    for r in found:
+        assert r["mix_slot"] == slot_of(r["source"], r["mix_block"]) and r["in_mix"] == (r["mix_slot"] < end)
+    # Two blocks never share a slot.
+    assert len({r["mix_slot"] for r in found}) == len({(r["source"], r["mix_block"]) for r in found})
+
+
+def test_mixing_to_given_weights(spark):
+    rows = [(n, "x" * 1000, "en", s, 0) for s in ("a", "b", "c", None) for n in range(100)]
+    weights = [("a", 6.0), ("b", 1.0), ("b", 2.0), (None, 1.0), ("c", 0.0), ("c", None), ("elsewhere", 90.0)]
+    weights = spark.createDataFrame(weights, "source string, weight double")
+    found = mixing.mix(edges(spark, rows), block_chars=1000, slots=100, weights=weights, streams=50).collect()
+    assert len(found) == 400
+    assert all((r["mix_slot"] is None and not r["in_mix"]) == (r["source"] == "c") for r in found)
+    counts = {s: sum(r["in_mix"] for r in found if r["source"] == s) for s in ("a", "b", None)}
+    whole = sum(counts.values())
+    for source, share in (("a", 0.6), ("b", 0.3), (None, 0.1)):
+        # Rounding gives every source a slot before it shares out the others.
+        assert abs(counts[source] / whole - share) < 0.04
+    assert counts["a"] == 100
+    none = mixing.mix(edges(spark, rows), weights=weights.limit(0)).collect()
+    assert len(none) == 400 and not any(r["in_mix"] for r in none)
+
+
 # Dialogues
 
 

@@ -5,24 +5,32 @@ Each stream's texts are laid end to end and cut into blocks of equal size.  Bloc
 in every slot the block with the earliest deadline among those released runs.  So each stream is always within one
 block of its target.  The schedule repeats after ``slots`` slots: one round of it, of bounded size, gives the slot of
 every block by arithmetic, and nothing is scheduled row by row.
+
+Every source is a stream.  The largest ones stand in the round itself; all others stand together in one more place of
+it, and a round of their own, made alike, says whose block each turn of that place is.  Where they are too many for one
+round there are more levels, so that every round has a bounded number of streams however many sources there are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from typeloom.llm.common import stored
 from typeloom.llm.registry import load, query
+from typeloom.operators.numbering import number_rows
 
 #: Characters in a block.
 BLOCK_CHARS = 100_000
 #: Slots in a round: target weights are rounded to this many parts.
 SLOTS = 1000
-#: Sources with a stream of their own, largest first; all smaller ones share one more.
+#: Sources that stand in the round itself, largest first; and streams in each round below it.
 STREAMS = 200
-REST, NO_SOURCE = "(rest)", "(none)"
+#: The place that all other sources share; sources of their own are named with ``=`` before it.
+REST, NO_SOURCE = "-", "(none)"
+#: Parts of all weight that given weights are rounded to before they are rounded to slots.
+WEIGHT_PARTS = 1_000_000_000
 #: The columns that a schedule adds.
 ADDED = ("mix_stream", "mix_block", "mix_slot", "mix_offset", "in_mix")
 
@@ -38,28 +46,33 @@ def _sized(documents: DataFrame, keep: list[str]) -> DataFrame:
     )
 
 
-def _weighed(sizes: DataFrame, slots: int, streams: int) -> tuple[DataFrame, DataFrame]:
-    """Which sources have a stream of their own; and each stream's size and ``parts`` of ``slots``.
+def _weighed(sizes: DataFrame, weights: DataFrame | None) -> DataFrame:
+    """The size of every source that is mixed, and its weight as ``root``: given, or the square root of its size."""
+    sizes = sizes.groupBy("source").agg(F.sum("size").alias("size"))
+    if weights is None:
+        return sizes.withColumn("root", F.greatest(F.floor(F.sqrt("size")), F.lit(1)))
+    given = weights.select(F.coalesce("source", F.lit(NO_SOURCE)).alias("source"), F.col("weight").cast("double"))
+    given = given.filter("weight > 0 AND weight < double('Infinity')")
+    given = given.groupBy("source").agg(F.sum("weight").alias("weight"))
+    given = stored(given.join(sizes, "source"), "mix-given")
+    whole = given.agg(F.sum("weight")).collect()[0][0]
+    share = F.floor(F.col("weight") / F.lit(whole) * WEIGHT_PARTS).cast("long")
+    return given.select("source", "size", F.greatest(share, F.lit(1).cast("long")).alias("root"))
+
 
-    Parts follow the square root of the size, one at least; what rounding leaves goes to the largest streams first.
-    Both results are bounded by ``streams``, so they may be broadcast and windowed in one task.
+def _rounds(streams: DataFrame, slots: int) -> DataFrame:
+    """One round of the schedule of each ``node``, which has fewer than ``slots`` rows: ``turns`` of each of its streams.
+
+    Parts of the slots follow ``root``, one at least; what rounding leaves goes to the largest streams first.
     """
-    own = sizes.orderBy(F.desc("size"), "source").limit(streams).select("source", F.col("source").alias("stream"))
-    whole = sizes.join(F.broadcast(own), "source", "left").groupBy(F.coalesce("stream", F.lit(REST)).alias("stream"))
-    whole = whole.agg(F.sum("size").alias("size"))
-    whole = whole.withColumn("root", F.greatest(F.floor(F.sqrt("size")), F.lit(1)))
-    every = W.partitionBy(F.lit(1))
-    whole = whole.withColumn("n", F.count("*").over(every)).withColumn("roots", F.sum("root").over(every))
+    every = W.partitionBy("node")
+    whole = streams.withColumn("n", F.count("*").over(every)).withColumn("roots", F.sum("root").over(every))
     whole = whole.withColumn("low", F.expr(f"1 + root * ({slots} - n) div roots"))
     rank = F.row_number().over(every.orderBy(F.desc("size"), "stream")).cast("long")
     whole = whole.withColumn("rank", rank).withColumn("left", F.lit(slots) - F.sum("low").over(every))
     parts = F.col("low") + F.when(F.col("rank") <= F.col("left"), 1).otherwise(0)
-    return own, whole.select("stream", "size", "rank", parts.alias("parts"))
-
-
-def _round(weighed: DataFrame, slots: int) -> DataFrame:
-    """One round of the schedule, ``slots`` rows: the slot of block ``nth`` of each stream."""
-    one = weighed.agg(F.sort_array(F.collect_list(F.struct("rank", "parts", "stream"))).alias("streams"))
+    one = whole.withColumn("parts", parts).groupBy("node")
+    one = one.agg(F.sort_array(F.collect_list(F.struct("rank", "parts", "stream"))).alias("streams"))
     due = f"""filter(transform(streams, (s, i) -> named_struct(
         'due', ((done[i] + 1) * {slots} + s.parts - 1) div s.parts, 'i', i,
         'open', done[i] < s.parts AND done[i] * {slots} div s.parts <= t)), x -> x.open)"""
@@ -71,11 +84,36 @@ def _round(weighed: DataFrame, slots: int) -> DataFrame:
             named_struct('done', transform(streams, s -> 0L), 'picks', CAST(array() AS array<int>)),
             (state, t) -> {step}, state -> state.picks)"""
     )
-    # Without a stream there is no schedule.
-    picked = one.filter(F.size("streams") > 0).select("streams", F.posexplode(picks).alias("slot", "pick"))
-    picked = picked.select(F.expr("streams[pick].stream").alias("stream"), F.col("slot").cast("long"))
-    nth = F.row_number().over(W.partitionBy("stream").orderBy("slot")).cast("long") - 1
-    return picked.select("stream", "slot", nth.alias("nth"))
+    picked = one.select("node", "streams", F.posexplode(picks).alias("slot", "pick"))
+    picked = picked.select("node", F.expr("streams[pick].stream").alias("stream"), F.col("slot").cast("long"))
+    return picked.groupBy("node", "stream").agg(F.sort_array(F.collect_list("slot")).alias("turns"))
+
+
+def _slot(block: str, slots: int) -> Column:
+    """The slot of a stream's block, by its ``turns`` in a round."""
+    return F.expr(f"{block} div size(turns) * {slots} + get(turns, CAST({block} % size(turns) AS INT))")
+
+
+def _rest_blocks(rest: DataFrame, n: int, block_chars: int, slots: int, streams: int) -> DataFrame:
+    """Where every block of the ``n`` sources that stand together lies among the blocks of the place they share.
+
+    Each has one block more than its text fills: the one that is missing first.
+    """
+    fan = max(streams, 2)
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / block_chars).cast("long")))
+    placed = rest.select("source", F.col("source").alias("at"), blocks.alias("block"))
+    placed = placed.withColumn("place_block", F.col("block"))
+    ranked = number_rows(rest.withColumn("less", -F.col("size")), ["less", "source"])
+    level = ranked.select(F.col("source").alias("stream"), "size", "root", F.expr(f"(row_number - 1) div {fan}").alias("node"))
+    while True:
+        turns = stored(_rounds(level, slots), "mix-rounds")
+        placed = placed.join(turns.withColumnRenamed("stream", "at"), "at")
+        placed = placed.select("source", "block", F.col("node").cast("string").alias("at"), _slot("place_block", slots).alias("place_block"))
+        n = -(-n // fan)
+        if n == 1:
+            return placed.select("source", "block", "place_block")
+        level = level.groupBy("node").agg(F.sum("size").alias("size"), F.sum("root").alias("root"))
+        level = level.select(F.col("node").cast("string").alias("stream"), "size", "root", F.expr(f"node div {fan}").alias("node"))
 
 
 def mix(
@@ -84,66 +122,75 @@ def mix(
     block_chars: int = BLOCK_CHARS,
     slots: int = SLOTS,
     streams: int = STREAMS,
+    weights: DataFrame | None = None,
 ) -> DataFrame:
     """The columns ``keep`` (all) with the block and slot that each row starts in, ``mix_offset`` characters into it.
 
     Reading rows by ``mix_slot`` and ``mix_offset`` gives the mix.  No row is dropped or repeated: ``in_mix`` holds up
-    to the first slot whose stream has run out, and later rows keep their slots in the same schedule.  A null source is
-    a source of its own, a null text is empty, repeated rows are rows.  Columns of ``documents`` with the names of
-    :data:`ADDED` are replaced.
+    to the first slot whose source has run out, and later rows keep their slots in the same schedule.
+
+    ``weights`` has a ``source`` and its ``weight``, of which only proportions count and several of a source add up;
+    without it a source weighs the square root of its text.  Rows of a source without a positive weight have no slot,
+    and are not in the mix.  Each of the ``streams`` largest sources is within one block of its target at every slot.
+    The others share a place of the round, which is so itself, and each is within one block of its part of that place.
+
+    A null source is a source of its own, a null text is empty, repeated rows are rows.  Columns of ``documents`` with
+    the names of :data:`ADDED` are replaced.
     """
     if not 0 < streams < slots:
         raise ValueError("each stream needs a slot in the round")
     rows = _sized(documents, [c for c in keep or documents.columns if c not in ADDED])
-    # One row per stream and first digits of the place: what stands before each of them in its stream.
+    # One row per source and first digits of the place: what stands before each of them in its source.
     buckets = rows.groupBy("source", F.substring("place", 1, 3).alias("bucket")).agg(F.sum("size").alias("size"))
     buckets = stored(buckets, "mix-sizes")
-    own, weighed = _weighed(buckets.groupBy("source").agg(F.sum("size").alias("size")), slots, streams)
-    weighed = stored(weighed, "mix-weights")
-    own = stored(own, "mix-streams")
-    turn = _round(weighed, slots)
-    stream = F.coalesce("stream", F.lit(REST)).alias("stream")
-    before = buckets.join(F.broadcast(own), "source", "left").groupBy(stream, "bucket").agg(F.sum("size").alias("size"))
-    earlier = W.partitionBy("stream").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    before = before.select("stream", "bucket", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"))
-
-    rows = rows.withColumn("bucket", F.substring("place", 1, 3)).join(F.broadcast(own), "source", "left")
-    rows = rows.select("row", stream, "bucket", "place", "size").join(before, ["stream", "bucket"])
-    within = W.partitionBy("stream", "bucket").orderBy("place", "size").rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    before = buckets.select("source", "bucket", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"))
+    rows = rows.withColumn("bucket", F.substring("place", 1, 3))
+    rows = rows.select("row", "source", "bucket", "place", "size").join(before, ["source", "bucket"])
+    within = W.partitionBy("source", "bucket").orderBy("place", "size").rowsBetween(W.unboundedPreceding, -1)
     start = F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0))
-    rows = rows.withColumn("start", start)
-
-    # ``turn`` and ``weighed`` have ``slots`` rows at most.
-    turns = turn.join(weighed, "stream")
-    ends = weighed.withColumn("block", F.ceil(F.col("size") / block_chars))
-    ends = ends.withColumn("nth", F.expr("block % parts")).join(F.broadcast(turn), ["stream", "nth"])
-    end = ends.agg(F.min(F.expr(f"block div parts * {slots} + slot")).alias("end"))
-    rows = rows.withColumn("block", F.expr(f"start div {block_chars}"))
-    rows = rows.join(F.broadcast(weighed.select("stream", "parts")), "stream")
-    rows = rows.withColumn("nth", F.expr("block % parts"))
-    rows = rows.join(F.broadcast(turns.select("stream", "nth", "slot")), ["stream", "nth"])
-    rows = rows.withColumn("slot", F.expr(f"block div parts * {slots} + slot"))
-    last = end.collect()[0][0]
+    rows = rows.withColumn("start", start).withColumn("block", F.expr(f"start div {block_chars}"))
+
+    sources = stored(_weighed(buckets, weights), "mix-weights")
+    own = stored(sources.orderBy(F.desc("size"), "source").limit(streams), "mix-streams")
+    n_rest = max(sources.count() - streams, 0)
+    # The block that a source lacks first.
+    ends = sources.select("source", F.ceil(F.col("size") / block_chars).cast("long").alias("block"))
+    level = own.select(F.concat(F.lit("="), F.col("source")).alias("stream"), "size", "root")
+    stream, nth = F.concat(F.lit("="), F.col("source")), F.col("block")
+    if n_rest:
+        rest = sources.join(F.broadcast(own.select("source")), "source", "left_anti")
+        shared = stored(_rest_blocks(rest, n_rest, block_chars, slots, streams), "mix-rest")
+        whole = rest.agg(F.lit(REST).alias("stream"), F.sum("size").alias("size"), F.sum("root").alias("root"))
+        level = level.unionByName(whole)
+        rows, ends = (df.join(shared, ["source", "block"], "left") for df in (rows, ends))
+        stream = F.when(F.col("place_block").isNotNull(), F.lit(REST)).otherwise(stream)
+        nth = F.coalesce("place_block", "block")
+    # One row for each stream of the round, ``streams`` and one at most.
+    turns = F.broadcast(stored(_rounds(level.withColumn("node", F.lit(0)), slots).drop("node"), "mix-round"))
+    rows, ends = (
+        df.withColumn("stream", stream).withColumn("nth", nth).join(turns, "stream", "left").withColumn("slot", _slot("nth", slots))
+        for df in (rows, ends)
+    )
+    last = ends.agg(F.min("slot")).collect()[0][0]
     return rows.select(
         "row.*",
-        F.col("stream").alias("mix_stream"),
+        F.col("source").alias("mix_stream"),
         F.col("block").alias("mix_block"),
         F.col("slot").alias("mix_slot"),
         F.expr(f"start % {block_chars}").alias("mix_offset"),
-        (F.col("slot") < F.lit(last or 0)).alias("in_mix"),
+        F.coalesce(F.col("slot") < F.lit(last or 0), F.lit(False)).alias("in_mix"),
     )
 
 
+#: For up to :data:`STREAMS` sources, which have no rounds below the first.
 ORACLE = f"""
 WITH RECURSIVE
 sized AS (
   SELECT doc_id, coalesce(source, '{NO_SOURCE}') AS source, coalesce(length(text), 0) AS size,
          md5(coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || coalesce(text, '')) AS place
   FROM documents),
-ranked AS (
-  SELECT source, row_number() OVER (ORDER BY sum(size) DESC, source) AS r FROM sized GROUP BY source),
-streamed AS (
-  SELECT s.*, CASE WHEN r <= {STREAMS} THEN s.source ELSE '{REST}' END AS stream FROM sized s JOIN ranked USING (source)),
+streamed AS (SELECT *, source AS stream FROM sized),
 whole AS (
   SELECT stream, CAST(sum(size) AS BIGINT) AS size, greatest(CAST(floor(sqrt(sum(size))) AS BIGINT), 1) AS root
   FROM streamed GROUP BY stream),
