@@ -82,6 +82,35 @@ def test_weak_labels_add_spans(spark):
     assert all(found[i].startswith("name:22:37") for i, _ in titled)
 
 
+CARDS = ("4111 1111 1111 1111", "5500 0000 0000 0004", "378282246310005", "6011-0000-0000-0004")
+
+
+def test_spans_in_dropped_matches(spark):
+    two = [(n, f"cards {CARDS[n % 2]} {CARDS[1 - n % 2]} of no. {n}") for n in range(6)]
+    three = [(20, f"{CARDS[0]} {CARDS[1]} {CARDS[0]}")]
+    swallowed = [(40 + n, f"call +1 (826) 555-40{n:02d} 190.137.223.{n} now") for n in range(6)]
+    nothing = [(60, "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20 " * 50), (61, "9" * 60_000), (62, "+1" + "2" * 40 + " 3"),
+               (63, "1234 5678 1234 5678 1234 5678 1234 5678"), (64, "+1-2.3 4" * 2000), (65, None), (66, "")]
+    rows = two + three + swallowed + nothing
+    frame = clashing(spark.createDataFrame(rows + two[:2], "doc_id long, text string"), *CLASH, "run_start", "valid", "k")
+    result = pii.personal_data(frame).collect()
+    assert len(result) == len(rows) + 2
+    found = {r["doc_id"]: r for r in result}
+    true = 0
+    for i, text in two + three:
+        starts = [m.start() for m in re.finditer("(?<![0-9] )(?:4111 1111 1111 1111|5500 0000 0000 0004)|(?<= )(?:4111 1111 1111 1111|5500 0000 0000 0004)", text)]
+        assert found[i]["spans"] == ",".join(f"card_in_run:{n}:{n + 19}" for n in starts) and len(starts) >= 2
+        assert found[i]["n_card"] == 0
+        true += len(starts)
+    for i, text in swallowed:
+        end = text.index(" 190.")
+        assert found[i]["spans"] == f"phone_in_run:5:{end},ip:{end + 1}:{text.index(' now')}"
+        assert found[i]["n_phone"] == 0 and found[i]["n_ip"] == 1
+        true += 1
+    false = [s for i, _ in nothing for s in found[i]["spans"].split(",") if "_in_run" in s]
+    assert true == 21 and len(false) <= 2, false
+
+
 def test_reliability_is_learnt():
     # Two labelers that agree, one that votes at random.
     patterns = [((1, 1, 1, 0), 400), ((1, 1, -1, 0), 400), ((-1, -1, 1, 0), 2000), ((-1, -1, -1, 0), 2000)]
