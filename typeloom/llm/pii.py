@@ -14,6 +14,7 @@ the power of the labelers of them for each kind.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -34,14 +35,14 @@ SURE = 0.9
 _MAIL = "A-Za-z0-9._%+-"
 _TITLE = "(?:Mrs?|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señora?|Sra?)"
 #: Possessive repetition neither recurses nor backtracks, so long runs cost linear time.  A run is tried from its start
-#: only, or from where the match before it ended.
+#: only, or from where the match before it ended.  A pattern that begins with a choice first looks at one character.
 PATTERNS = {
     "email": rf"(?:(?<![{_MAIL}])|\G)[{_MAIL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    "ip": r"(?=[0-9])(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "number": r"(?<![0-9.+-])\(?[0-9]{2,4}\)?(?:[ .-][0-9]{2,5}){1,4}(?![0-9])",
-    "name": rf"{_TITLE}\.? \p{{Lu}}\p{{L}}++(?: \p{{Lu}}\p{{L}}++)?+|(?<!\p{{L}})\p{{Lu}}\p{{Ll}}++ \p{{Lu}}\p{{Ll}}++",
+    "number": r"(?=[(0-9])(?<![0-9.+-])\(?[0-9]{2,4}\)?(?:[ .-][0-9]{2,5}){1,4}(?![0-9])",
+    "name": rf"(?=\p{{Lu}})(?:{_TITLE}\.? \p{{Lu}}\p{{L}}++(?: \p{{Lu}}\p{{L}}++)?+|(?<!\p{{L}})\p{{Lu}}\p{{Ll}}++ \p{{Lu}}\p{{Ll}}++)",
 }
 #: What a text must hold for a pattern to be tried on it.
 _NEEDS = {"email": "@", "phone": "+", "ip": "."}
@@ -61,26 +62,37 @@ _NAME_CUES = "name is|named|signed|contact|dear|regards|heiße|appelle|llamo|nom
 def _matches(kind: str) -> Column:
     """All matches of a kind's pattern: place among them, characters before each since the last, and what is around."""
     text, pattern = F.col("text"), F.lit(PATTERNS[kind])
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    between = F.split(text, PATTERNS[kind], -1)
     context = kind not in ("email", "ip")
-    made = F.transform(
-        F.arrays_zip(found.alias("match"), F.slice(between, 1, F.size(found)).alias("before"),
-                     F.slice(between, 2, F.size(found)).alias("after")),
-        lambda x, n: F.struct(
-            F.lit(KINDS.index(kind)).alias("kind"),
-            n.alias("n"),
-            F.char_length(x["before"]).alias("gap"),
-            F.char_length(x["match"]).alias("size"),
-            x["match"].alias("match"),
-            (F.right(x["before"], F.lit(40)) if context else F.lit("")).alias("before"),
-            (F.left(x["after"], F.lit(10)) if context else F.lit("")).alias("after"),
-        ),
-    )
+
+    def spans(found: Column, between: Column) -> Column:
+        return F.transform(
+            F.arrays_zip(found.alias("match"), F.slice(between, 1, F.size(found)).alias("before"),
+                         F.slice(between, 2, F.size(found)).alias("after")),
+            lambda x, n: F.struct(
+                F.lit(KINDS.index(kind)).alias("kind"),
+                n.alias("n"),
+                F.char_length(x["before"]).alias("gap"),
+                F.char_length(x["match"]).alias("size"),
+                x["match"].alias("match"),
+                (F.right(x["before"], F.lit(40)) if context else F.lit("")).alias("before"),
+                (F.left(x["after"], F.lit(10)) if context else F.lit("")).alias("after"),
+            ),
+        )
+
+    def cut(found: Column) -> Column:
+        between = F.split(text, PATTERNS[kind], -1)
+        return F.when(F.size(found) > 0, _once(between, lambda between: spans(found, between)))
+
     needed = F.contains(text, F.lit(_NEEDS[kind])) if kind in _NEEDS else F.lit(True)
     if kind in ("ip", "card", "phone", "number"):
         needed = needed & text.rlike("[0-9]")
-    return F.when(needed, made).otherwise(F.array().cast(_MATCH))
+    made = F.when(needed, _once(F.regexp_extract_all(text, pattern, F.lit(0)), cut))
+    return F.coalesce(made, F.array().cast(_MATCH))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 _MATCH = "array<struct<kind:int,n:int,gap:int,size:int,match:string,before:string,after:string>>"
