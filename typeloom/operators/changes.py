@@ -281,9 +281,10 @@ def delete_cascade(
 ) -> dict[str, DataFrame]:
     """Delete rows of ``parent`` by key, and all rows that reach them over foreign keys.
 
-    Returns the surviving rows of every table reached.  A foreign key with a NULL reaches nothing.  A table may
-    refer to itself; longer cycles are refused.  The keys deleted at each level are checkpointed: they are used
-    for the survivors and for the next level, and each table is then joined with plain stored keys.
+    Returns the surviving rows of every table reached.  A foreign key with a NULL reaches nothing.  Tables may refer to
+    themselves and to each other in cycles; those of a cycle are followed together.  The keys deleted at each level
+    are checkpointed: they are used for the survivors and for the next level, and each table is then joined with plain
+    stored keys.
     """
     _require_keys(keys)
     doomed = keys_df.select(*_renamed_keys(keys)).distinct()
@@ -297,33 +298,39 @@ def delete_cascade(
             stored[wanted] = checkpointed(_referenced(edge, gone[edge.ref_table]))
         return stored[wanted]
 
-    for table in _cascade_order(edges, parent):
-        incoming = [e for e in edges if e.table == table and e.ref_table in gone and e.ref_table != table]
-        if table != parent:
-            kept[table], gone[table] = _cut(tables[table], [(e, deleted_keys(e)) for e in incoming])
-        for loop in [e for e in edges if e.table == e.ref_table == table]:
-            reached = _reached_in_loop(loop, kept[table], _referenced(loop, gone[table]))
-            kept[table], more = _cut(kept[table], [(loop, reached)])
+    for group in _cascade_order(edges, parent):
+        for table in group:
+            incoming = [e for e in edges if e.table == table and e.ref_table in gone and e.ref_table not in group]
+            if incoming:
+                hits = [(_refers(e), deleted_keys(e)) for e in incoming]
+                kept[table], gone[table] = _cut(tables[table], hits)
+            elif table != parent:
+                kept[table], gone[table] = tables[table], tables[table].filter(F.lit(False))
+        inner = [e for e in edges if e.table in group and e.ref_table in group]
+        if len(group) == len(inner) == 1:
+            reached = _reached_in_loop(inner[0], kept[group[0]], _referenced(inner[0], gone[group[0]]))
+            hits = {group[0]: [(_refers(inner[0]), reached)]}
+        else:
+            hits = _reached_in_cycle(inner, kept, gone) if inner else {}
+        for table, own in hits.items():
+            kept[table], more = _cut(kept[table], own)
             gone[table] = gone[table].unionByName(more)
     return kept
 
 
-def _cascade_order(edges: Sequence[Constraint], parent: str) -> list[str]:
-    """Tables reached from ``parent``, each after the tables it refers to."""
-    links = [(e.table, e.ref_table) for e in edges if e.table != e.ref_table]
-    reached = {parent}
-    while grown := {child for child, ref in links if ref in reached} - reached:
-        reached |= grown
-    order: list[str] = []
-    while len(order) < len(reached):
-        ready = [
-            t for t in sorted(reached - set(order))
-            if all(ref in order for child, ref in links if child == t and ref in reached)
-        ]
-        if not ready:
-            raise ValueError(f"foreign keys form a cycle: {sorted(reached - set(order))}")
-        order += ready
-    return order
+def _cascade_order(edges: Sequence[Constraint], parent: str) -> list[list[str]]:
+    """Groups of the tables reached from ``parent``, each after those it refers to; tables of a cycle share a group."""
+
+    def below(table: str) -> set[str]:
+        reached = {table}
+        while grown := {e.table for e in edges if e.ref_table in reached} - reached:
+            reached |= grown
+        return reached
+
+    reach = {table: below(table) for table in below(parent)}
+    groups = {frozenset(t for t in reach[table] if table in reach[t]) for table in reach}
+    # A group reaches all that the groups after it reach, and itself.
+    return sorted((sorted(g) for g in groups), key=lambda g: (-len(reach[g[0]]), g))
 
 
 def _referenced(edge: Constraint, gone: DataFrame) -> DataFrame:
@@ -334,35 +341,103 @@ def _refers(edge: Constraint) -> Column:
     return reduce(and_, [named(c) == F.col(_key_name(n)) for n, c in enumerate(edge.columns)])
 
 
-def _cut(table: DataFrame, hits: Sequence[tuple[Constraint, DataFrame]]) -> tuple[DataFrame, DataFrame]:
-    """Split a table into rows that refer to none of the deleted keys and rows that do."""
+def _cut(table: DataFrame, hits: Sequence[tuple[Column, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """Split a table into rows that refer to none of the deleted keys and rows that do; each hit says how they refer."""
     kept, parts = table, []
-    for edge, deleted in hits:
-        parts.append(kept.join(deleted, _refers(edge), "left_semi"))
-        kept = kept.join(deleted, _refers(edge), "left_anti")
+    for refers, deleted in hits:
+        parts.append(kept.join(deleted, refers, "left_semi"))
+        kept = kept.join(deleted, refers, "left_anti")
     return kept, reduce(DataFrame.unionByName, parts)
 
 
 def _reached_in_loop(edge: Constraint, rows: DataFrame, start: DataFrame) -> DataFrame:
-    """All keys reached from ``start`` within a table that refers to itself.
-
-    Each round doubles the step: it knows the key so many rows above each row, and reaches every row for which that key
-    is reached.  So rounds grow with the logarithm of the depth, and what each needs is stored, so that planning it
-    costs the same.  Once a round finds nothing there is nothing further down either.
-    """
+    """All keys reached from ``start`` within a table that refers to itself."""
     names = [_key_name(n) for n in range(len(edge.columns))]
-    above = [f"__above_{n}" for n in range(len(edge.columns))]
+    above = [_above_name(n) for n in range(len(edge.columns))]
     own = [named(c).alias(k) for c, k in zip(edge.ref_columns, names, strict=True)]
     parent = [named(c).alias(k) for c, k in zip(edge.columns, above, strict=True)]
-    step = rows.select(*own, *parent).dropna().distinct()
-    reached = stored(start.dropna().distinct(), "reached")
-    while True:
+    return _reached(rows.select(*own, *parent), start, names, above, doubling=True)
+
+
+def _reached_in_cycle(
+    edges: Sequence[Constraint], kept: Mapping[str, DataFrame], gone: Mapping[str, DataFrame]
+) -> dict[str, list[tuple[Column, DataFrame]]]:
+    """What the rows of tables that refer to each other reach: for each table how it refers to keys, and which are reached.
+
+    Every key that is referred to is named by its place among the referenced column lists and its values as text, so
+    that one relation holds the keys of all tables, and one closure follows all edges.  A row leads from each key of
+    its own to each key it refers to.  Values compare as the referenced columns' type.
+    """
+    slots = list(dict.fromkeys((e.ref_table, e.ref_columns) for e in edges))
+    types = {slot: [kept[slot[0]].select(named(c)).schema[0].dataType for c in slot[1]] for slot in slots}
+
+    def key_of(columns: Sequence[str], slot: tuple) -> Column:
+        return _key_text(columns, types[slot])
+
+    steps, starts = [], []
+    for place, slot in enumerate(slots):
+        own = [F.lit(place).alias(_key_name(0)), key_of(slot[1], slot).alias(_key_name(1))]
+        starts.append(gone[slot[0]].select(*own))
+        for e in edges:
+            if e.table == slot[0]:
+                ref = (e.ref_table, e.ref_columns)
+                above = [F.lit(slots.index(ref)).alias(_above_name(0)), key_of(e.columns, ref).alias(_above_name(1))]
+                steps.append(kept[slot[0]].select(*own, *above))
+    step, start = reduce(DataFrame.unionByName, steps), reduce(DataFrame.unionByName, starts)
+    # With one edge a table a row has one row above it, and steps stay as many as rows when they double.
+    doubling = len({e.table for e in edges}) == len(edges)
+    reached = _reached(step, start, [_key_name(n) for n in (0, 1)], [_above_name(n) for n in (0, 1)], doubling)
+    hits: dict[str, list[tuple[Column, DataFrame]]] = {}
+    for e in edges:
+        slot = (e.ref_table, e.ref_columns)
+        keys = reached.filter(F.col(_key_name(0)) == slots.index(slot)).select(_key_name(1))
+        hits.setdefault(e.table, []).append((key_of(e.columns, slot) == F.col(_key_name(1)), keys))
+    return hits
+
+
+def _key_text(columns: Sequence[str], types: Sequence[T.DataType]) -> Column:
+    """Key values as texts that are equal where the values are; null if one is null or none of its type."""
+    texts, whole = [], F.lit(True)
+    for column, kind in zip(columns, types, strict=True):
+        value = named(column).try_cast(kind)
+        whole = whole & F.coalesce(value == named(column), F.lit(False))
+        if isinstance(kind, T.TimestampType):
+            value = F.unix_micros(value)
+        elif isinstance(kind, (T.FloatType, T.DoubleType)):
+            value = value + F.lit(0.0)  # A negative zero equals zero.
+        texts.append(value.cast("string"))
+    return F.when(whole, F.array(*texts))
+
+
+def _above_name(n: int) -> str:
+    return f"__above_{n}"
+
+
+def _reached(step: DataFrame, start: DataFrame, names: list[str], above: list[str], doubling: bool) -> DataFrame:
+    """All keys ``names`` that lead to one of ``start`` over rows of ``step``, each from a key to one ``above`` it.
+
+    With ``doubling`` each round doubles the step: it knows the key so many rows above each row, and reaches every row
+    for which that key is reached.  So rounds grow with the logarithm of the depth.  That suits keys with one key above
+    them; where they have several, pairs of keys far apart could be many more than rows, and each round takes one step
+    down from the keys of the last, with as many rounds as levels.  What each round needs is stored, so that planning
+    it costs the same.  Once a round finds nothing there is nothing further down either.
+    """
+    step = step.dropna().distinct()
+    reached = frontier = stored(start.dropna().distinct(), "reached")
+    if not doubling:
         step = stored(step, "reach")
-        upper = reached.select(*[F.col(k).alias(a) for k, a in zip(names, above, strict=True)])
+    while True:
+        if doubling:
+            step, frontier = stored(step, "reach"), reached
+        upper = frontier.select(*[F.col(k).alias(a) for k, a in zip(names, above, strict=True)])
         found = stored(step.join(upper, above, "left_semi").select(*names).distinct(), "reached")
         more = found.join(reached, names, "left_anti")
         if more.isEmpty():
             return reached
+        if not doubling:
+            frontier = stored(more, "reached")
+            reached = stored(reached.unionByName(frontier), "reached")
+            continue
         reached = stored(reached.unionByName(more), "reached")
         # Rows that are reached need no further step of their own.
         open_rows = step.join(reached, names, "left_anti")

@@ -182,3 +182,36 @@ def cascaded(spark: SparkSession, sf: str) -> DataFrame:
     for df in rest:
         first = first.unionByName(df)
     return first
+
+
+# Customers stand for the order that brought them, where there is one: customers and orders refer to each other.
+CYCLE = [
+    Constraint("orders", FOREIGN_KEY, ("o_custkey",), "customer", ("c_custkey",)),
+    Constraint("customer", FOREIGN_KEY, ("c_order",), "orders", ("o_orderkey",)),
+    Constraint("lineitem", FOREIGN_KEY, ("l_orderkey",), "orders", ("o_orderkey",)),
+]
+BROUGHT = "CASE WHEN c_custkey % 2 = 1 THEN c_custkey * 10 END AS c_order"
+
+
+@query(
+    "delete_cascade_cycle",
+    f"""WITH RECURSIVE c AS (SELECT c_custkey, c_acctbal, {BROUGHT} FROM customer),
+        edge AS (SELECT 'orders' AS t, o_orderkey AS k, 'customer' AS above, o_custkey AS above_k FROM orders
+            UNION ALL SELECT 'customer', c_custkey, 'orders', c_order FROM c),
+        gone AS (SELECT 'customer' AS t, c_custkey AS k FROM c WHERE c_acctbal < -500
+            UNION SELECT edge.t, edge.k FROM edge JOIN gone ON above = gone.t AND above_k = gone.k)
+        SELECT 'customer' AS "table", CAST(c_custkey AS BIGINT) AS row_key FROM c
+            WHERE c_custkey NOT IN (SELECT k FROM gone WHERE t = 'customer')
+        UNION ALL SELECT 'orders', o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT k FROM gone WHERE t = 'orders')
+        UNION ALL SELECT 'lineitem', l_orderkey FROM lineitem
+            WHERE l_orderkey NOT IN (SELECT k FROM gone WHERE t = 'orders')""",
+)
+def cascaded_over_a_cycle(spark: SparkSession, sf: str) -> DataFrame:
+    tables = {t: load(spark, sf, t) for t in ("orders", "lineitem")}
+    tables["customer"] = load(spark, sf, "customer").selectExpr("c_custkey", "c_acctbal", BROUGHT)
+    gone = tables["customer"].filter("c_acctbal < -500").select("c_custkey")
+    kept = delete_cascade(tables, CYCLE, "customer", gone, ["c_custkey"])
+    rows = [
+        df.select(F.lit(t).alias("table"), F.col(ROW_KEYS[t]).cast("bigint").alias("row_key")) for t, df in kept.items()
+    ]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
