@@ -1,5 +1,7 @@
 import datetime
+import json
 import os
+import pickle
 import sqlite3
 from contextlib import closing
 from decimal import Decimal
@@ -7,14 +9,19 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import datasource as D
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tests.conftest import rows
+from typeloom.functions.cells import CELL
 from typeloom.operators.coerce import assign_types
 from typeloom.plans.migrate import MigrateOptions, migrate
 from typeloom.sources import sqlite_files
 from typeloom.sources.sqlite_connect import connect, list_files
-from typeloom.sources.sqlite_cuts import KeyedTable, KeySpace, occupied_spans, plan_cuts
-from typeloom.sources.sqlite_files import BATCH_BYTES, SqlitePushingReader, SqliteRawReader, read_cells, sqlite_columns, sqlite_counts, sqlite_indexes
+from typeloom.sources.sqlite_cuts import MOST_SHARES, KeyedTable, KeySpace, occupied_spans, plan_cuts, share_bytes
+from typeloom.sources.sqlite_files import (
+    BATCH_BYTES, SqliteCountSource, SqlitePushingReader, SqliteRawReader, SqliteRawSource, read_cells, sqlite_columns, sqlite_counts,
+    sqlite_indexes,
+)
 from typeloom.sources.sqlite_shards import export_sqlite, export_sqlite_database
 from typeloom.sources.tables import open_catalog
 
@@ -472,3 +479,24 @@ def test_database_export(spark, typed, tmp_path):
     export_sqlite_database({"a": typed, "b": typed}, f"{tmp_path}/db")
     report = migrate(spark, f"{tmp_path}/db/*/*.sqlite", f"{tmp_path}/out")
     assert rows(report.select("table", "loaded_rows"), "table") == [("a", 3), ("b", 3)]
+
+
+def test_a_task_gets_its_own_share_only(spark, tmp_path):
+    path = str(tmp_path / "many.sqlite")
+    with closing(sqlite3.connect(path)) as connection:
+        connection.execute("CREATE TABLE t (k TEXT PRIMARY KEY, v INTEGER) WITHOUT ROWID")
+        connection.executemany("INSERT INTO t VALUES (?, ?)", ((f"{n:040d}", n) for n in range(20_000)))
+        connection.commit()
+    cuts = plan_cuts(spark, {"t": [path]}, 2_000)
+    assert len(cuts["t"].shares) > 200
+    options = {"path": path, "table": "t", "split_bytes": "2000", "cuts": cuts["t"].packed(), "files": json.dumps([path] * 500)}
+    for kind in (SqliteRawSource, SqliteCountSource):
+        source = kind(dict(options))
+        reader = source.reader(T.StructType([T.StructField("k", CELL), T.StructField("v", CELL)]))
+        # What Spark sends to every task: it must not grow with the number of shares.
+        assert len(pickle.dumps(reader)) + len(pickle.dumps(source)) < 4_000
+        assert len(reader.partitions()) > 200
+    # Where there would be very many shares, each is larger.
+    assert share_bytes([10**6] * 3, 2_000) == 2_000
+    assert share_bytes([10**9] * 3, 2_000) == 3 * 10**9 // MOST_SHARES
+    assert sorted(r["v"]["i"] for r in read_cells(spark, path, "t", cuts=cuts["t"]).collect()) == list(range(20_000))

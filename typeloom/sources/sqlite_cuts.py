@@ -30,6 +30,8 @@ _NUMBERS = ("integer", "real")
 _FIRST_ID, _LAST_ID = -(2**63), 2**63 - 1
 #: Spans of a keyed table that are walked by a task each, and rows of a span whose size is measured.
 SPANS, MEASURED = 64, 64
+#: Shares of a table, about; where there would be more, each is larger, so that planning and starting them stays bounded.
+MOST_SHARES = 2_000
 Span = tuple[int, int]
 
 
@@ -414,6 +416,11 @@ def unpack_shares(text: str) -> list[Share]:
     return [Share(f, None if c is None else unpack_conditions(c), n) for f, c, n in json.loads(text)]
 
 
+def share_bytes(sizes: list[int], split_bytes: int) -> int:
+    """What a share of a table in files of these sizes holds, about: ``split_bytes``, or more for a very large table."""
+    return max(split_bytes, -(-sum(sizes) // MOST_SHARES))
+
+
 def plan_cuts(spark: SparkSession, files: dict[str, list[str]], split_bytes: int) -> dict[str, Cuts]:
     """The shares of each table, over the ``files`` given for it; files are opened by tasks only.
 
@@ -421,13 +428,15 @@ def plan_cuts(spark: SparkSession, files: dict[str, list[str]], split_bytes: int
     file has.
     """
     ship_package(spark)
+    sizes = {file: os.path.getsize(file) for names in files.values() for file in names}
+    least = {table: share_bytes([sizes[file] for file in names], split_bytes) for table, names in files.items()}
     pairs = [(file, table) for table, names in files.items() for file in names]
     tasks = max(min(len(pairs), 10_000), 1)
     rows = spark.createDataFrame(pairs, "file string, table string").repartition(tasks)
-    rows = rows.mapInArrow(_mapped(lambda row: _first_rows(row, split_bytes)), _FOUND_TYPE)
+    rows = rows.mapInArrow(_mapped(lambda row: _first_rows(row, least[row["table"]])), _FOUND_TYPE)
     # Spans go to tasks of their own; without a key AQE would see too little data to keep them apart.
     rows = rows.repartition(min(SPANS * 4, tasks * SPANS)).mapInArrow(
-        _mapped(lambda row: _second_rows(row, split_bytes)), _FOUND_TYPE
+        _mapped(lambda row: _second_rows(row, least[row["table"]])), _FOUND_TYPE
     )
     order = {file: n for names in files.values() for n, file in enumerate(names)}
     cuts: dict[str, Cuts] = {}
