@@ -1,6 +1,7 @@
 """Files laid out for lookups by several keys, and the differences of two catalogs."""
 
 import glob
+from bisect import bisect_right
 
 import pyarrow.parquet as pq
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from tests.conftest import rows
 from typeloom.operators.drift import catalog_drift
 from typeloom.sources.tables import write_table
-from typeloom.sources.zorder import split_points
+from typeloom.sources.zorder import rank, split_points, zordered_layout
 
 
 @pytest.fixture(scope="module")
@@ -54,6 +55,19 @@ def test_split_points(spark):
     assert found == [16, 32, 48] and none == []
 
 
+def test_ranks_are_cuts_reached(spark):
+    points = sorted(n * n % 97 for n in range(15))
+    df = spark.sql("SELECT CAST(id AS int) AS k FROM range(-3, 110) UNION ALL SELECT NULL")
+    found = df.select("k", rank(F.col("k"), points, 4, df.schema["k"].dataType).alias("r")).collect()
+    assert [r["r"] for r in found] == [0 if r["k"] is None else bisect_right(points, r["k"]) for r in found]
+
+
+def test_ranks_take_few_steps(points):
+    plan = zordered_layout(points, ["x", "y"])._jdf.queryExecution().optimizedPlan().toString()
+    # One projection for each halving and its bits were 16, and made code that the JVM does not compile.
+    assert plan.count("Project") <= 5
+
+
 def test_awkward_keys(spark, tmp_path):
     df = spark.sql("""SELECT * FROM VALUES (1, NULL, DATE'2020-01-01', X'00'), (NULL, 'b', NULL, NULL), (1, 'b', DATE'2020-01-01', X'FF'),
         (1, 'b', DATE'2020-01-01', X'FF') AS t(a, `b c`, d, e)""").withColumn("f", F.lit(1.5).cast("decimal(9,2)"))

@@ -47,10 +47,31 @@ def split_points(df: DataFrame, keys: Sequence[str], bits: int = BITS) -> list[l
     return [[] if found[0] is None else found for found in cuts]
 
 
-def _level(points: list, bits: int, level: int, kind: T.DataType) -> Column:
-    """The medians of a level: of all values at level 0, of its halves at level 1."""
-    step = 2 ** (bits - level)
-    return F.array(*(F.lit(points[n * step + step // 2 - 1]).cast(kind) for n in range(2**level)))
+def rank(key: Column, points: list, bits: int, kind: T.DataType) -> Column:
+    """How many of the inner cuts a value has reached, by halving; 0 for NULL and without cuts.
+
+    One expression over one array of the cuts: a branch or a column for each halving would make code so long that the
+    JVM never compiles it.
+    """
+    if not points:
+        return F.lit(0)
+    cuts = F.array(*(F.lit(p).cast(kind) for p in points))
+    steps = F.array(*(F.lit(2**n) for n in reversed(range(bits))))
+
+    def halved(reached: Column, step: Column) -> Column:
+        return reached + F.when(F.coalesce(key >= F.get(cuts, reached + step - 1), F.lit(False)), step).otherwise(F.lit(0))
+
+    return F.aggregate(steps, F.lit(0), halved)
+
+
+def _interleaved(ranks: Sequence[Column], bits: int) -> Column:
+    """The bits of all ranks, highest first and by turns."""
+    place = F.lit(0).cast("long")
+    for n, one in enumerate(ranks):
+        for bit in range(bits):
+            picked = F.shiftright(one, bit).bitwiseAND(F.lit(1)).cast("long")
+            place = place.bitwiseOR(F.shiftleft(picked, bit * len(ranks) + len(ranks) - 1 - n))
+    return place
 
 
 def zordered_layout(df: DataFrame, keys: Sequence[str], files: int | None = None, bits: int = BITS) -> DataFrame:
@@ -64,23 +85,10 @@ def zordered_layout(df: DataFrame, keys: Sequence[str], files: int | None = None
     if not 0 < bits * len(keys) <= 63:
         raise ValueError("the ranks of all keys must fit into 63 bits")
     points = split_points(df, keys, bits)
-    ranked = df.withColumns(
-        {"__slice": F.spark_partition_id(), "__z": F.lit(0).cast("long"), **{f"__r{i}": F.lit(0) for i in range(len(keys))}}
-    )
-    for level in range(bits):
-        # Each step is a projection of its own, which uses the ranks before it.
-        steps: dict[str, Column] = {}
-        place = F.col("__z")
-        for i, key in enumerate(keys):
-            above = F.lit(False)
-            if points[i]:
-                medians = _level(points[i], bits, level, df.schema[key].dataType)
-                above = F.coalesce(named(key) >= F.get(medians, F.col(f"__r{i}")), F.lit(False))
-            steps[f"__r{i}"] = F.col(f"__r{i}") * 2 + above.cast("int")
-        ranked = ranked.withColumns(steps)
-        for i in range(len(keys)):
-            place = place * 2 + F.col(f"__r{i}") % 2
-        ranked = ranked.withColumn("__z", place)
+    # The ranks are columns of their own, so that each is found once for all its bits.
+    ranks = {f"__r{i}": rank(named(k), points[i], bits, df.schema[k].dataType) for i, k in enumerate(keys)}
+    ranked = df.withColumns({"__slice": F.spark_partition_id(), **ranks})
+    ranked = ranked.withColumn("__z", _interleaved([F.col(r) for r in ranks], bits)).drop(*ranks)
     by = [F.col("__z"), *(named(k) for k in keys)]
     salted = [*by, F.col("__slice")]
     ranged = ranked.repartitionByRange(files, *salted) if files else ranked.repartitionByRange(*salted)
