@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from typeloom.operators.drift import catalog_drift
+from typeloom.sources import tables
 from typeloom.sources.tables import write_table
 from typeloom.sources.zorder import rank, split_points, zordered_layout
 
@@ -68,6 +69,19 @@ def test_ranks_take_few_steps(points):
     assert plan.count("Project") <= 5
 
 
+def test_few_files_of_a_large_table_become_more(spark, points, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "FILE_BYTES", 200_000)
+    write_table(points, str(tmp_path / "s"), sort_by=["id"], files=2)
+    write_table(points, str(tmp_path / "z"), zorder_by=["x", "y"], files=2)
+    for name in ("s", "z"):
+        sizes = [pq.ParquetFile(f).metadata.num_rows for f in glob.glob(f"{tmp_path}/{name}/*.parquet")]
+        assert sum(sizes) == 40_000 and len(sizes) >= 10 and max(sizes) <= 8_000
+        assert rows(spark.read.parquet(str(tmp_path / name)), "id") == rows(points, "id")
+    monkeypatch.undo()
+    write_table(points, str(tmp_path / "few"), sort_by=["id"], files=2)
+    assert len(glob.glob(f"{tmp_path}/few/*.parquet")) == 2
+
+
 def test_awkward_keys(spark, tmp_path):
     df = spark.sql("""SELECT * FROM VALUES (1, NULL, DATE'2020-01-01', X'00'), (NULL, 'b', NULL, NULL), (1, 'b', DATE'2020-01-01', X'FF'),
         (1, 'b', DATE'2020-01-01', X'FF') AS t(a, `b c`, d, e)""").withColumn("f", F.lit(1.5).cast("decimal(9,2)"))
