@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from tests.llm.helpers import CLASH, EDGES, SCHEMA, SF, clashing, edges, given,
 from typeloom.llm import linedup, neardup, quality, toxicity
 from typeloom.llm.graph import components
 from typeloom.llm.queries import QUERIES
+from typeloom.session import scratch, shared_folder
 
 # Quality rules
 
@@ -454,3 +456,40 @@ def test_near_copies_far_from_their_centre(spark, monkeypatch):
         monkeypatch.setattr(neardup, "ROUNDS", rounds)
         found = sorted(((r["doc_id"], r["class_id"], r["class_size"]) for r in neardup.classes(frame).collect()), key=same)
         assert found == wanted
+
+
+def test_stages_leave_no_texts_behind(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    texts = ["\n".join(" ".join(word() for _ in range(12)) for _ in range(30)) for _ in range(120)]
+    # Near copies, and texts with a passage in common, whose differences go through the later rounds.
+    texts += [t.replace(t[100:108], word()) for t in texts[:60]] + [t[: len(t) * 3 // 4] + u[-700:] for t, u in zip(texts, texts[1:60], strict=False)]
+    frame = spark.createDataFrame([(n, t, "en", "s", len(t)) for n, t in enumerate(texts)], SCHEMA)
+    shared = Path(shared_folder(spark))
+    for stage in (quality.keep_good, linedup.cut_documents, neardup.first_of_each):
+        before = set(shared.iterdir())
+        assert stage(frame).count()
+        left = [p for p in set(shared.iterdir()) - before if not p.name.startswith("ngram-model")]
+        size = sum(f.stat().st_size for p in left for f in p.rglob("*.parquet"))
+        assert size < 0.15 * sum(map(len, texts)), [p.name for p in left]
+
+
+def test_verdicts_meet_their_rows(spark):
+    docs = [(r["doc_id"], r["text"], r["lang"], "s", n) for n, r in enumerate(given("documents"))]
+    docs += [(None if n % 3 else i, t, ("de", None, "")[n % 3], s, n) for n, (i, t, _, s, _) in enumerate(docs[:200])]
+    docs += docs[:50] + EDGES
+    frame = spark.createDataFrame(docs, SCHEMA).repartition(3).cache()
+    scored = quality.score_texts(frame, quality.train(frame), ["doc_id", "text", "lang", "n_chars"])
+    wanted = quality.judge(scored).filter("kept").select("doc_id", "text", "lang", "n_chars").collect()
+    found = quality.keep_good(frame).select("doc_id", "text", "lang", "n_chars").collect()
+    assert 0 < len(wanted) < len(docs) and Counter(found) == Counter(wanted)
+
+
+def test_scratch_goes_with_its_block(spark):
+    shared = Path(shared_folder(spark))
+    before = set(shared.iterdir())
+    with pytest.raises(ValueError), scratch(spark) as keep:
+        assert keep(spark.range(5), "some").count() == 5
+        assert len(set(shared.iterdir()) - before) == 1
+        raise ValueError
+    assert set(shared.iterdir()) == before

@@ -10,13 +10,13 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from typeloom.llm.common import digest, slices, stored, text_of
+from typeloom.llm.common import digest, scratch, slices, stored, text_of
 from typeloom.llm.registry import load, query
 
 #: Characters in an aligned block that is cut, at least.
@@ -173,14 +173,18 @@ def overlaps(documents: DataFrame) -> DataFrame:
         F.transform("lines", lambda x: F.unhex(F.md5(x))).alias("lines"),
         F.transform("lines", F.char_length).alias("sizes"),
     )
-    texts = stored(texts.dropDuplicates(["id"]), "line-hashes")
-    id_type = documents.schema["doc_id"].dataType.simpleString()
+    with scratch(documents.sparkSession) as keep:
+        texts = keep(texts.dropDuplicates(["id"]), "line-hashes")
+        return stored(_overlaps(texts, documents.schema["doc_id"].dataType.simpleString(), keep), "line-blocks")
+
+
+def _overlaps(texts: DataFrame, id_type: str, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     held = texts.mapInArrow(_runs, f"id binary, doc_id {id_type}, run binary, start int, end int")
     # The place of a document in the order of all: a missing id comes last.
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")
     first = held.groupBy("run").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter(F.col("n") > 1)
     # Written, it is a plain side of the join, in which Spark can split the rows of a hot run.
-    first = stored(first, "line-holders")
+    first = keep(first, "line-holders")
     shared = held.drop("doc_id").join(first, "run").filter(F.col("id") != F.col("first.id"))
     pairs = shared.groupBy("id", F.col("first.id").alias("other")).agg(
         F.first("first.doc_id").alias("of")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from typeloom.llm.common import PIECE_CHARS, digest, pieces, slices, stored, text_of
+from typeloom.llm.common import PIECE_CHARS, digest, pieces, scratch, slices, stored, text_of
 from typeloom.llm.graph import components
 from typeloom.llm.registry import load, query
 
@@ -213,18 +213,21 @@ ROUNDS = 2
 APART = 1 - 2 * NEEDED + 1e-9
 
 
-def _tested(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
+Keep = Callable[[DataFrame, str], DataFrame]
+
+
+def _tested(pairs: DataFrame, sequences: DataFrame, keep: Keep) -> DataFrame:
     sided = pairs.join(sequences.select("id", F.col("shingles").alias("x")), "id")
     sided = sided.join(sequences.select(F.col("id").alias("cid"), F.col("shingles").alias("y")), "cid")
-    return stored(sided.select("id", "cid", "x", "y").mapInArrow(_compare, TESTED), "near-tested")
+    return keep(sided.select("id", "cid", "x", "y").mapInArrow(_compare, TESTED), "near-tested")
 
 
 def _links(tested: DataFrame) -> DataFrame:
     return tested.filter("linked").select(F.col("id").alias("a"), F.col("cid").alias("b"))
 
 
-def _centred(buckets: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = stored) -> DataFrame:
-    """Each text of a bucket with the bucket's centre: the text that meets most others in all buckets.
+def _centred(buckets: DataFrame, keep: Keep) -> DataFrame:
+    """Each text of a bucket, once with each of its centres: the text that meets most others in all buckets.
 
     The text that others were copied from meets more copies than a copy does, so it is the centre of most buckets of
     its group, and what is compared with it is compared once.  What ``keep`` writes is a plain side of a join, in which
@@ -235,7 +238,7 @@ def _centred(buckets: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = s
     met = shared.groupBy("id").agg(F.sum("size").alias("met"))
     ranked = shared.join(keep(met, "near-met"), "id").select("key", "id", F.struct("met", F.xxhash64("id"), "id").alias("rank"))
     centres = ranked.groupBy("key").agg(F.max("rank").alias("centre")).select("key", F.col("centre.id").alias("cid"))
-    return shared.select("key", "id").join(keep(centres, "near-centres"), "key")
+    return shared.select("key", "id").join(keep(centres, "near-centres"), "key").select("id", "cid").distinct()
 
 
 def _joined(comps: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -267,7 +270,7 @@ def _close_pairs(tested: DataFrame) -> DataFrame:
     return met.select("id", F.col("other_id").alias("cid")).distinct()
 
 
-def _rare_keys(tested: DataFrame) -> DataFrame:
+def _rare_keys(tested: DataFrame, keep: Keep) -> DataFrame:
     """Keys that texts of one centre have in common if they are links, apart from close pairs.
 
     Two texts differ in what only one of them differs in from the centre.  So links share, of the ``apart`` shingles that
@@ -280,7 +283,7 @@ def _rare_keys(tested: DataFrame) -> DataFrame:
     held = parted.groupBy("cid", "shingle").agg(
         F.count("*").alias("holders"), F.min("comp").alias("low"), F.max("comp").alias("high")
     )
-    held = stored(held.filter(F.col("holders") > 1), "near-holders")
+    held = keep(held.filter(F.col("holders") > 1), "near-holders")
     many = (F.col("low") != F.col("high")).alias("many")
     # One text's shingles at most.
     listed = F.array_sort(F.collect_list(F.struct("holders", "shingle", many))).alias("listed")
@@ -321,34 +324,44 @@ def near_classes(texts: DataFrame) -> DataFrame:
     :func:`_rare_keys`.  The former pairs are compared, and the latter meet in the buckets of the next round, by centre and
     shingle, and after the last round each other.  So no link between texts that share a sketch is lost.
     """
+    with scratch(texts.sparkSession) as keep:
+        return _near_classes(texts, keep)
+
+
+def _near_classes(texts: DataFrame, held: Keep) -> DataFrame:
+    spark = texts.sparkSession
     found = texts.mapInArrow(_sketch, "id binary, n long, keys array<long>").dropDuplicates(["id"])
-    buckets = _centred(stored(found.select("id", F.explode("keys").alias("key")), "near-sketches"))
-    buckets = stored(buckets, "near-buckets")
-    whole = texts.groupBy("id").agg(F.first("text").alias("text")).join(buckets.select("id").distinct(), "id")
-    sequences = stored(whole.mapInArrow(_sequences, "id binary, shingles binary"), "near-sequences")
-    comps = links = None
+    with scratch(spark) as keep:
+        buckets = keep(found.select("id", F.explode("keys").alias("key")), "near-sketches")
+        pairs = held(_centred(buckets, keep), "near-pairs")
+    whole = texts.groupBy("id").agg(F.first("text").alias("text")).join(pairs.select("id").distinct(), "id")
+    sequences = held(whole.mapInArrow(_sequences, "id binary, shingles binary"), "near-sequences")
+    comps = None
     for round_ in range(ROUNDS):
-        tested = _tested(buckets.filter(F.col("id") != F.col("cid")).select("id", "cid").distinct(), sequences)
-        links = _links(tested) if links is None else links.unionByName(_links(tested))
-        comps = _joined(comps, links)
-        tested = _named(_named(tested.drop("linked"), comps, "id", "comp"), comps, "cid", "ccomp")
-        mixed = tested.filter(F.col("comp") != F.col("ccomp")).select("cid").distinct()
-        tested = stored(tested.join(mixed, "cid"), "near-mixed")
+        with scratch(spark) as keep:
+            tested = _tested(pairs.filter(F.col("id") != F.col("cid")), sequences, keep)
+            linked = held(_links(tested), "near-links")
+            comps = _joined(comps, linked if comps is None else links.unionByName(linked))
+            tested = _named(_named(tested.drop("linked"), comps, "id", "comp"), comps, "cid", "ccomp")
+            mixed = tested.filter(F.col("comp") != F.col("ccomp")).select("cid").distinct()
+            tested = held(tested.join(mixed, "cid"), "near-mixed")
         if tested.isEmpty():
             return comps
         if not round_:
             # Only texts around a centre that is not linked to all of them can still be compared.
-            sequences = stored(sequences.join(tested.select("id").distinct(), "id"), "near-sequences")
-        links = _links(_tested(_close_pairs(tested), sequences))
-        keys = stored(_rare_keys(tested), "near-keys")
+            sequences = held(sequences.join(tested.select("id").distinct(), "id"), "near-sequences")
+        with scratch(spark) as keep:
+            links = held(_links(_tested(_close_pairs(tested), sequences, keep)), "near-links")
+            keys = held(_rare_keys(tested, keep), "near-keys")
         if keys.isEmpty():
             return _joined(comps, links)
         if round_ + 1 < ROUNDS:
             # What is left is small beside the first round.
-            buckets = stored(_centred(keys.select("key", "id").distinct(), lambda df, _: df), "near-buckets")
+            pairs = held(_centred(keys.select("key", "id").distinct(), lambda df, _: df), "near-pairs")
     comps = _joined(comps, links)
-    rest = stored(_named(keys, comps, "id", "comp"), "near-rest")
-    return _joined(comps, _links(_tested(_rare_pairs(rest), sequences)))
+    rest = held(_named(keys, comps, "id", "comp"), "near-rest")
+    with scratch(spark) as keep:
+        return _joined(comps, _links(_tested(_rare_pairs(rest), sequences, keep)))
 
 
 def classes(documents: DataFrame) -> DataFrame:
@@ -369,11 +382,13 @@ def classes(documents: DataFrame) -> DataFrame:
 
 def first_of_each(documents: DataFrame) -> DataFrame:
     """One row of ``documents`` for each class: that with the least id; of rows alike in id and text, one."""
-    kept = classes(documents).select(F.col("first_id").alias("id"), F.col("class_id").alias("of")).distinct()
+    kept = classes(documents).select(F.col("first_id").alias("id")).distinct()
     whole = F.struct(*(F.col(f"`{c}`") for c in documents.columns))
-    rows = documents.select(whole.alias("row"), digest(text_of()).alias("id")).join(kept, "id")
-    rows = rows.filter(F.col("row.doc_id").eqNullSafe(F.col("of")))
-    return rows.groupBy("id").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
+    rows = documents.select(whole.alias("row"), digest(text_of()).alias("id"))
+    # The least id of the text that stands for a class is that of the class, as a null comes last here too.
+    place = F.struct(F.col("row.doc_id").isNull().alias("none"), "row.doc_id", F.xxhash64("row").alias("hash"))
+    rows = rows.groupBy("id").agg(F.min_by("row", place).alias("row"))
+    return rows.join(kept, "id", "left_semi").select("row.*")
 
 
 @query("op2_order_minhash")
