@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from typeloom.llm.common import PIECE_CHARS, digest, pieces, scratch, slices, stored, text_of
+from typeloom.llm.common import PIECE_CHARS, digest, pieces, scratch, slices, text_of
 from typeloom.llm.graph import components
 from typeloom.llm.registry import load, query
 
