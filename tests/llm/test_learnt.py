@@ -6,6 +6,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.helpers import CLASH, EDGES, SCHEMA, SF, clashing, edges, given, same
@@ -202,6 +203,52 @@ def test_blocks_of_lines_first_held_alone(spark):
     assert found[7][1] == []
 
 
+def test_texts_without_blocks_are_not_shuffled(spark):
+    rng = random.Random(5)
+    line = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=1000))
+    common = line()
+    rows = [(n, "\n".join([line(), *[common] * (n < 10), line(), line()])) for n in range(300)]
+    rows += rows[:20] + [(None, rows[3][1]), (None, rows[200][1]), (None, None)]
+    context = spark.sparkContext
+    folders = list(context._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs())
+    files = lambda: {f for d in folders for f in Path(str(d)).rglob("shuffle_*.data")}
+    limits = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {key: spark.conf.get(key, None) for key in limits}
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+    assert frame.count() == len(rows)
+    try:
+        for key in limits:
+            spark.conf.set(key, "-1")
+        there = files()
+        found = linedup.cut_lines(frame)
+        cut = found.collect()
+        written = sum(f.stat().st_size for f in files() - there)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    assert written < 0.3 * sum(len(t or "") for _, t in rows)
+    assert Counter((r["row"]["doc_id"], r["row"]["text"]) for r in cut) == Counter(rows)
+    # A missing id is the latest: of the two texts without one, all lines are in earlier documents.
+    wanted = {i: (1, [0]) if 0 < i < 10 else (0, []) for i in range(300)}
+    for r in cut:
+        i, text = r["row"]
+        if i is not None:
+            assert (r["n_removed"], r["earlier"]) == wanted[i]
+        elif text is not None:
+            assert r["kept"] == ""
+        else:
+            assert (r["kept"], r["n_lines"], r["n_removed"], r["earlier"]) == ("", 1, 0, [])
+
+
+def test_marks_lose_no_id(spark):
+    rows = spark.range(0, 40_000, 1, 3).select(F.unhex(F.md5(F.col("id").cast("string"))).alias("id"), F.col("id").alias("n"))
+    ids = rows.filter("n % 2 = 0").select("id")
+    found = {r["n"]: r["marked"] for r in linedup._marked(rows, ids).select("n", "marked").collect()}
+    assert len(found) == 40_000 and all(found[n] for n in range(0, 40_000, 2))
+    assert sum(found[n] for n in range(1, 40_000, 2)) < 200
+    assert not any(r["marked"] for r in linedup._marked(rows, ids.limit(0)).collect())
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_runs_cover_every_block(seed):
     rng = random.Random(seed)

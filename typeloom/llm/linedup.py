@@ -23,6 +23,8 @@ from typeloom.llm.registry import load, query
 BLOCK_CHARS = 100
 #: Lines that a task turns into Python objects at once.
 PIECE_LINES = 50_000
+#: Bitmaps that mark the documents with blocks, 4 KB each, and the bits in one.
+BITMAPS, BITS = 1024, 32768
 
 
 def patience(a: list, b: list) -> list[tuple[int, int]]:
@@ -198,6 +200,20 @@ def _overlaps(texts: DataFrame, id_type: str, keep: Callable[[DataFrame, str], D
     return pairs.mapInArrow(_align, f"id binary, of {id_type}, blocks {kind}").filter(F.size("blocks") > 0)
 
 
+def _marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` with ``marked``: true where ``id`` is one of ``ids``, and for a few others.
+
+    The marks are bits at hashes of the ids, in tables that together take 4 MB at most, however many ids there are.
+    """
+    place = F.pmod(F.xxhash64("id"), F.lit(BITMAPS * BITS))
+    part, bit = F.floor(place / BITS).alias("part"), (place % BITS).cast("int")
+    maps = ids.groupBy(part).agg(F.bitmap_construct_agg(bit).alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    marked = F.coalesce(F.getbit(byte, bit % 8) == 1, F.lit(False))
+    rows = rows.withColumn("part", part).join(F.broadcast(maps), "part", "left")
+    return rows.withColumn("marked", marked).drop("part", "bits")
+
+
 def cut_lines(documents: DataFrame) -> DataFrame:
     """Every row of ``documents`` as ``row``, with ``kept`` text, ``n_lines``, ``n_removed`` and ``earlier`` ids.
 
@@ -206,12 +222,17 @@ def cut_lines(documents: DataFrame) -> DataFrame:
     However many documents hold a passage, it stays in the earliest only, unless there it stands out of order: what the
     alignment with the earliest holder passes over is not sought in later ones.
     """
-    found = overlaps(documents).groupBy("id").agg(
+    blocks = overlaps(documents)
+    found = blocks.groupBy("id").agg(
         F.array_sort(F.flatten(F.collect_list("blocks"))).alias("blocks"),
         F.array_sort(F.collect_set("of")).alias("earlier"),
     )
-    rows = _keyed(documents).drop("text").join(found, "id", "left").withColumn("text", text_of("row.text"))
-    rows = rows.withColumn("lines", _lines(F.col("text")))
+    # Rows that surely have no blocks stay where they are: only the others are shuffled, with their texts.
+    rows = _marked(_keyed(documents).drop("text"), blocks)
+    none = [F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("blocks", "earlier")]
+    whole = rows.filter(~F.col("marked")).select("id", "row", *none)
+    rows = rows.filter("marked").join(found, "id", "left").select("id", "row", "blocks", "earlier").unionByName(whole)
+    rows = rows.withColumn("text", text_of("row.text")).withColumn("lines", _lines(F.col("text")))
     # What lies between the blocks, which may overlap as they come from several earlier documents.
     rests = F.expr(
         """aggregate(blocks, named_struct('at', 0, 'rests', CAST(array() AS array<struct<at:int,n:int>>)),
